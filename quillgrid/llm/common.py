@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def pieces(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece has more than ``most_bytes`` of ``column``, single rows apart."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         n = n or 0

@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -158,7 +159,7 @@ def write_token_files(encoded: DataFrame, folder: str, width: int, partitions: i
         at, docs = 0, 0
         with fs.open_output_stream(f"{path}/ids-{name}.bin") as ids, fs.open_output_stream(f"{path}/docs-{name}.idx") as index:
             for b in batches:
-                lengths = np.asarray(pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False), np.int64) // width
+                lengths = np.asarray(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False), np.int64) // width
                 rows = np.empty((len(lengths), 2), "<i8")
                 rows[:, 0] = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
                 rows[:, 1] = at + np.cumsum(lengths) - lengths
