@@ -19,6 +19,7 @@ bytes that are no such JPEG, or of null, are null.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,9 +34,6 @@ from quillgrid.llm.common import arrow_batches, id_and_text, table
 UNIT = 192
 #: Units that are coded or decoded side by side.
 SLICE = 8192
-#: Units in a row of the picture, unless the height would pass what a frame header can hold.
-ROW = 128
-HIGHEST = 65535 // 8
 COMMENT = b"payload "
 
 
@@ -173,8 +171,8 @@ def code_units(coefficients: np.ndarray, number: np.ndarray, last: np.ndarray) -
 
 
 def picture_units(n_units: int) -> tuple[int, int]:
-    """Units in a row and in a column of a picture for so many units."""
-    across = min(n_units, max(ROW, -(-n_units // HIGHEST)))
+    """Units in a row and in a column of a picture for so many units: nearly a square."""
+    across = math.isqrt(n_units - 1) + 1
     return across, -(-n_units // across)
 
 

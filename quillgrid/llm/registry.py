@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from quillgrid.llm.media_jpeg import op2_media
 from quillgrid.llm.sentencepiece_agenda import op7_sentencepiece
+from quillgrid.llm.simhash import op4_simhash
 from quillgrid.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_media": op2_media,
+    "op4_simhash": op4_simhash,
     "op7_sentencepiece": op7_sentencepiece,
 }
 
