@@ -96,22 +96,40 @@ class WordEncoder:
         get = cores.__getitem__
         self.words.update((w, b"".join(map(get, c))) for w, c in zip(words, cut))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of ``wide`` integers, without an end id."""
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> pa.BinaryArray:
+        """The ids of each text as bytes of ``wide`` integers, with an end id if given."""
+        end = b"" if end_id is None else np.array([end_id], self.wide).tobytes()
         if not self.by_words:
-            return self._library(texts)
+            return pa.array([x + end for x in self._library(texts.to_pylist())], pa.binary())
         # only U+0020 and line feeds are cut at: white space for every library involved
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.words) > self.memo_words:
             self.words.clear()
             self.words[""] = b""
         if len(self.cores) > self.memo_cores:
             self.cores.clear()
-        new = set(chain.from_iterable(cut)).difference(self.words)
+        new = [w for w in distinct if w not in self.words]
         if new:
-            self._learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+            self._learn(new)
+        found = list(map(self.words.__getitem__, distinct))
+        size = self.wide.itemsize
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
+        ids = np.frombuffer(b"".join(found), self.wide)
+        first = np.cumsum(lengths) - lengths
+        # ids of every word in turn, out of those of the distinct ones
+        own = lengths[index]
+        stops = np.cumsum(own)
+        total = int(own.sum())
+        words = np.diff(cut.offsets.to_numpy())
+        edges = np.concatenate([[0], np.concatenate([[0], stops])[np.cumsum(words)]])
+        flat = ids[np.repeat(first[index] - (stops - own), own) + np.arange(total)]
+        if end:
+            flat = np.insert(flat, edges[1:], self.wide.type(end_id))
+            edges = edges + np.arange(len(edges))
+        offsets = pa.py_buffer((edges * size).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(np.ascontiguousarray(flat))])
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -125,32 +143,37 @@ def encoder(path: str, by_words: bool) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, by_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tie, ids``: ids as binary little-endian integers as wide as the vocabulary needs."""
+def in_order(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text`` in ascending order over range partitions, equal ids by a hash of the text.
+
+    Texts are dealt out before they are encoded: the sampling of a range partitioning runs what stands before it.
+    """
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return source.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+
+
+def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, by_words: bool = True) -> DataFrame:
+    """``doc_id, ids`` of ``doc_id, text``, order kept: binary little-endian integers as wide as the vocabulary needs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, by_words)
-        end = b"" if end_id is None else np.array([end_id], dtype=enc.wide).tobytes()
-        for b in arrow_batches(batches, column=2):
-            ids = [x + end for x in enc.encode(b.column(2).to_pylist())]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+        for b in arrow_batches(batches, most_bytes=12 << 20):
+            yield pa.record_batch([b.column(0), enc.encode(b.column(1), end_id)], ["doc_id", "ids"])
 
-    source = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return source.mapInArrow(run, "doc_id long, tie long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_token_files(encoded: DataFrame, folder: str, width: int, partitions: int | None = None) -> dict:
-    """Write ``encoded`` in ascending doc_id order below ``folder``; return the manifest.
+def write_token_files(encoded: DataFrame, folder: str, width: int) -> dict:
+    """Write ``encoded`` (ordered partitions) below ``folder``, a part for each partition; return the manifest.
 
     The driver sees one row per partition (name and totals), never ids or documents.
     """
-    spark = encoded.sparkSession
     kind = "<u2" if width == 2 else "<u4"
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     _file_system(folder)[0].create_dir(_file_system(folder)[1], recursive=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +193,7 @@ def write_token_files(encoded: DataFrame, folder: str, width: int, partitions: i
         if docs:
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([at], pa.int64())], ["part", "name", "n_docs", "n_ids"])
 
-    dealt = encoded.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    parts = dealt.mapInArrow(run, "part int, name string, n_docs long, n_ids long").collect()
+    parts = encoded.mapInArrow(run, "part int, name string, n_docs long, n_ids long").collect()
     parts.sort(key=lambda r: r["part"])
     totals = np.array([r["n_ids"] for r in parts], np.int64)
     bases = np.cumsum(totals) - totals
@@ -241,6 +263,6 @@ def op1_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
 
     tokenizer_path = tokenizer_path or default_tokenizer()
     folder = new_folder(spark, "tokens")
-    encoded = encode_tokens(table(spark, sf_dir, "documents"), tokenizer_path, end_id=1)
+    encoded = encode_tokens(in_order(table(spark, sf_dir, "documents")), tokenizer_path, end_id=1)
     write_token_files(encoded, folder, token_width(tokenizer_path))
     return read_token_files(spark, folder)
