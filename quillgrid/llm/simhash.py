@@ -9,7 +9,9 @@ Comparison. Equal fingerprints are one node. The nodes are split into blocks by
 whose counts can differ by at most the radius is one task, and inside a task rows lie in tiles of
 equal population counts of both halves; a tile pair whose counts differ beyond the radius is
 skipped, every other is compared in full with exclusive-or and bit counts in numpy. A task returns
-a spanning forest of the links it finds, never all pairs.
+a minimum spanning forest of the links it finds, never all pairs. Where a similarity is asked for as well,
+the links are candidates: all of them but those of crowded tile pairs, which their forest stands for, are held
+against the texts' shingles.
 
 Components. Links are contracted by alternating large and small stars, with a table in the shared
 folder after each round; nothing but counts reaches the driver.
@@ -61,8 +63,8 @@ def shingle_hashes(text: str, size: int) -> list[int]:
     return [digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[size - 1 :])]
 
 
-def fingerprint_batch(texts: list[str], size: int) -> np.ndarray:
-    """The fingerprints of texts as unsigned 64-bit integers."""
+def fingerprint_batch(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of texts as unsigned 64-bit integers, and their numbers of distinct shingles."""
     hashes = [shingle_hashes(x, size) for x in texts]
     counts = np.array([len(h) for h in hashes], np.int64)
     out = np.zeros(len(texts), np.uint64)
@@ -73,19 +75,19 @@ def fingerprint_batch(texts: list[str], size: int) -> np.ndarray:
         starts = (np.cumsum(counts) - counts)[some]
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
         out[some] = np.packbits(2 * ones > counts[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    return out, np.array([len(set(h)) for h in hashes], np.int64)
 
 
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tie, fp``: the fingerprint as a (signed) long; ``tie`` is a hash of the text."""
+    """``doc_id, tie, fp, n``: the fingerprint as a (signed) long; ``tie`` is a hash of the text, ``n`` its number of distinct shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_batches(batches, column=2, most_bytes=1 << 20):
-            found = fingerprint_batch(b.column(2).to_pylist(), size)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(found.view(np.int64))], ["doc_id", "tie", "fp"])
+            found, sizes = fingerprint_batch(b.column(2).to_pylist(), size)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(found.view(np.int64)), pa.array(sizes)], ["doc_id", "tie", "fp", "n"])
 
     source = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return source.mapInArrow(run, "doc_id long, tie long, fp long")
+    return source.mapInArrow(run, "doc_id long, tie long, fp long, n long")
 
 
 def plan_blocks(histogram: dict[int, int], block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> list[tuple[int, int, int]]:
@@ -125,25 +127,29 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def _link_tile(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray, forest: Forest) -> None:
-    """Join all that the matrix links; a dense matrix is first reduced to a forest by labels."""
-    n = int(np.count_nonzero(hit))
-    if n <= 2 * (hit.shape[0] + hit.shape[1]):
-        for i, j in zip(*np.nonzero(hit)):
-            forest.join(int(rows[i]), int(cols[j]))
-        return
-    far = np.int64(hit.shape[0])
-    label = np.where(hit.any(1), np.arange(hit.shape[0]), far)
-    while True:
-        of_cols = np.where(hit, label[:, None], far).min(0)
-        new = np.minimum(label, np.where(hit, of_cols[None, :], far).min(1))
-        if np.array_equal(new, label):
-            break
-        label = new
-    for i in np.flatnonzero(label < far):
-        forest.join(int(rows[i]), int(rows[label[i]]))
-    for j in np.flatnonzero(of_cols < far):
-        forest.join(int(cols[j]), int(rows[of_cols[j]]))
+def _spanning(distance: np.ndarray, allowed: np.ndarray, radius: int, one_side: bool) -> list[tuple[int, int, int]]:
+    """(row, column, distance): a minimum spanning forest of a dense tile, nearest links first.
+
+    ``one_side``: rows and columns are the same nodes.
+    """
+    rows, cols = distance.shape
+    forest = Forest(rows + cols)
+    for i in range(rows if one_side else 0):
+        forest.join(i, rows + i)
+    out = []
+    for d in range(radius + 1):
+        near = allowed & (distance == d)
+        while True:
+            label = np.fromiter(map(forest.root, range(rows + cols)), np.int64, rows + cols)
+            open_ = near & (label[:rows, None] != label[None, rows:])
+            some = np.flatnonzero(open_.any(1))
+            if not len(some):
+                break
+            for i, j in zip(some.tolist(), open_[some].argmax(1).tolist()):
+                if forest.root(i) != forest.root(rows + j):
+                    forest.join(i, rows + j)
+                    out.append((i, j, d))
+    return out
 
 
 def _tiles(values: np.ndarray, offset: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -161,32 +167,60 @@ def _tiles(values: np.ndarray, offset: int) -> list[tuple[int, int, np.ndarray,
     return out
 
 
-def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Forest edges (as indices; ``second`` follows ``first``) of all pairs within the radius.
+def _forest_of(found: np.ndarray, n: int) -> np.ndarray:
+    """The links (first, second, distance) that a minimum spanning forest keeps."""
+    forest, kept = Forest(n), []
+    order = np.argsort(found[:, 2], kind="stable")
+    for at, (x, y) in zip(order.tolist(), found[order, :2].tolist()):
+        if forest.root(x) != forest.root(y):
+            forest.join(x, y)
+            kept.append(at)
+    return found[kept]
 
-    ``second`` is None to compare a block with itself.
+
+def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, sizes: np.ndarray | None = None, least_ratio: float = 0.0, every: bool = False) -> np.ndarray:
+    """Links (indices, distance) within the radius; ``second`` follows ``first``, None: a block with itself.
+
+    They are a minimum spanning forest or, with ``every``, all links but those inside a tile pair so dense
+    (four links a row and more) that its own forest stands for them. ``sizes`` and ``least_ratio``: no link between
+    nodes whose sizes differ by more.
     """
     n = len(first) + (0 if second is None else len(second))
-    forest = Forest(n)
     left = _tiles(first, 0)
     right = left if second is None else _tiles(second, len(first))
     lows, highs = np.array([t[0] for t in right], np.int64), np.array([t[1] for t in right], np.int64)
+    found, held = [np.empty((0, 3), np.int64)], 0
     for i, (low, high, values, indices) in enumerate(left):
         near = np.flatnonzero(np.abs(lows - low) + np.abs(highs - high) <= radius)
         for j in near[near >= i] if second is None else near:
             _, _, others, their = right[j]
-            hit = np.bitwise_count(values[:, None] ^ others[None, :]) <= radius
-            if second is None and i == j:
+            distance = np.bitwise_count(values[:, None] ^ others[None, :])
+            hit = distance <= radius
+            same = second is None and i == j
+            if same:
                 hit = np.triu(hit, 1)
-            if hit.any():
-                _link_tile(hit, indices, their, forest)
-    return [(r, x) for x in range(n) if (r := forest.root(x)) != x]
-
-
-def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
-    """``a, b``: edges that span the components of distinct ``fp`` under the radius."""
+            if not hit.any():
+                continue
+            if sizes is not None:
+                a, b = sizes[indices][:, None], sizes[their][None, :]
+                hit &= np.minimum(a, b) >= least_ratio * np.maximum(a, b)
+            x, y = np.nonzero(hit)
+            if len(x) > 4 * (len(values) + len(others)):
+                spans = np.array(_spanning(distance, hit | hit.T if same else hit, radius, same), np.int64)
+                x, y = spans[:, 0], spans[:, 1]
+            found.append(np.stack([indices[x], their[y], distance[x, y].astype(np.int64)], axis=1))
+            held += len(x)
+            if not every and held > 2_000_000:
+                found = [_forest_of(np.concatenate(found), n)]
+                held = len(found[0])
+    links = np.concatenate(found)
+    return links if every else _forest_of(links, n)
+
+
+def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, least_ratio: float = 0.0, every: bool = False) -> DataFrame:
+    """``a, b``: links of distinct ``fp`` under the radius, as ``compare_blocks`` gives them; ``n`` is a node's size."""
     spark = nodes.sparkSession
-    counted = nodes.select("fp", F.bit_count("fp").alias("ones"))
+    counted = nodes.select("fp", "n", F.bit_count("fp").alias("ones"))
     blocks = plan_blocks({r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}, block_rows, least_blocks)
     numbered = [(k, low, high) for k, (low, high, way) in enumerate((b[0], b[1], w) for b in blocks for w in range(b[2]))]
     pairs = [(k, m) for k, low, high in numbered for m, lo, hi in numbered if k <= m and max(lo - high, low - hi) <= radius]
@@ -201,7 +235,7 @@ def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blo
     # 65 counts and as many rows as pairs of blocks: small tables that the number of blocks bounds
     by_count = F.create_map(*[F.lit(x) for p, (k, w) in first.items() for x in (p, k * 65536 + w)])
     own = by_count[F.col("ones")]
-    blocked = counted.select("fp", (F.floor(own / 65536) + F.pmod(F.xxhash64("fp"), own % 65536)).cast("int").alias("block"))
+    blocked = counted.select("fp", "n", (F.floor(own / 65536) + F.pmod(F.xxhash64("fp"), own % 65536)).cast("int").alias("block"))
     sides = [(k, p, 0) for p, (k, _) in enumerate(pairs)] + [(m, p, 1) for p, (k, m) in enumerate(pairs) if k != m]
     sent = blocked.join(spark.createDataFrame(sides, "block int, pair int, side int"), "block")
 
@@ -210,12 +244,15 @@ def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blo
         side = pdf["side"].to_numpy()
         a, b = values[side == 0], values[side == 1]
         pair = pairs[int(pdf["pair"].iloc[0])]
-        found = compare_blocks(a, None if pair[0] == pair[1] else b, radius)
+        sizes = None
+        if least_ratio:
+            n = pdf["n"].to_numpy()
+            sizes = np.concatenate([n[side == 0], n[side == 1]])
+        found = compare_blocks(a, None if pair[0] == pair[1] else b, radius, sizes, least_ratio, every)
         both = np.concatenate([a, b]).view(np.int64)
-        edges = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": both[edges[:, 0]], "b": both[edges[:, 1]]})
+        return pd.DataFrame({"a": both[found[:, 0]], "b": both[found[:, 1]]})
 
-    return sent.select("pair", "side", "fp").groupBy("pair").applyInPandas(run, "a long, b long")
+    return sent.select("pair", "side", "fp", "n").groupBy("pair").applyInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, what: str = "links") -> DataFrame:
@@ -242,17 +279,64 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tie, fingerprint, component_id``: a row for each row of ``docs``."""
-    prints = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(links(nodes, radius, block_rows, least_blocks)).withColumnRenamed("node", "fp")
+def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The edges whose nodes' texts have a Jaccard similarity of shingles of ``least`` or more.
+
+    A node's text is that of its row of the smallest doc_id; only linked nodes' texts are moved.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = written(nodes.join(ends, "fp").select("fp", F.col("least_row.doc_id").alias("i"), F.col("least_row.tie").alias("t")), "wanted")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.i) & (rows.tie == wanted.t)).select("fp", "text").dropDuplicates(["fp"])
+    texts = written(texts, "texts")
+    pairs = edges.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("first")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("second")), "b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for first, second in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = set(shingle_hashes(first, size)), set(shingle_hashes(second, size))
+                both = len(x & y)
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "first", "second").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, least: float | None = None, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tie, fingerprint, component_id``: a row for each row of ``docs``; ``tie`` is a hash of the text.
+
+    With ``least`` a link within the radius counts only if the texts' shingles have that Jaccard similarity.
+    """
+    source = id_and_text(docs, id_col, text_col)
+    prints = written(fingerprints(source, size), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n")).alias("least_row")).withColumn("n", F.col("least_row.n")), "nodes")
+    edges = links(nodes, radius, block_rows, least_blocks, least or 0.0, every=least is not None)
+    if least is not None:
+        edges = similar(written(edges.distinct(), "edges"), nodes, source, size, least)
+    roots = components(edges).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_print = placed.join(ids, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 12, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id; all columns stay.
+
+    Rows of one doc_id and one text count once; groups whose doc_ids are all null keep one row.
+    """
+    tie, spare = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), "quillgrid_" + "_".join(sorted(docs.columns))
+    found = near_duplicates(docs, size, radius, least, id_col=id_col, text_col=text_col)
+    group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
+    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least"))
+    first = first.select(F.col("least.doc_id").alias(spare + "i"), F.col("least.tie").alias(spare + "t"))
+    kept = docs.join(first, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"`{spare}i`")) & (tie == F.col(f"`{spare}t`")), "left_semi")
+    # the same row twice: one of them stays
+    again = kept.withColumn(spare, F.xxhash64(F.col(f"`{id_col}`"), tie))
+    return again.dropDuplicates([spare]).drop(spare)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents``: four-word shingles, four bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, radius=4).drop("tie")
