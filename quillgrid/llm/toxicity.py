@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ INTERCEPT = -9.0
 RATE = 0.5
 SHRINK = 0.0005
 PREFIXES = range(4, 9)
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(r"\S+")
 
@@ -143,31 +144,43 @@ class Scorer:
 
 
 def bags(texts: list[str], vocabulary: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, sentence of each place) of each text, for training."""
+    """(places, number of places of each sentence) of each text, for training."""
     numbers, again, starts, edges = vocabulary.cut(texts)
-    sentence = np.zeros(len(numbers), np.int64)
-    sentence[starts] = 1
-    sentence = np.cumsum(sentence) - 1
-    out = []
-    for a, b in zip(edges, edges[1:]):
-        first, last = (int(starts[a]), int(starts[b]) if b < len(starts) else len(numbers)) if b > a else (0, 0)
-        own = [i for i in range(first, last) if not again[i]]
-        found = [vocabulary.places[numbers[i]] for i in own]
-        counts = [len(x) for x in found]
-        out.append((np.fromiter((p for x in found for p in x), np.int64, sum(counts)), np.repeat(sentence[own] - a, counts)))
-    return out
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS, places: int = PLACES) -> np.ndarray:
+    found = [() if r else vocabulary.places[i] for i, r in zip(numbers, again)]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    sizes = np.add.reduceat(counts, starts) if len(starts) else counts
+    places = np.fromiter((p for x in found for p in x), np.int32, int(counts.sum()))
+    stops = np.concatenate([[0], np.cumsum(sizes)])[edges]
+    return [(places[s:e], sizes[a:b]) for s, e, a, b in zip(stops, stops[1:], edges, edges[1:])]
+
+
+class Bags:
+    """The bags of a sample inside their Arrow buffers: (places, places of each sentence, label) by number."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        order = [(i, y, n, k, r) for k, b in enumerate(batches) for r, (i, y, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.binary_length(b.column(2)).to_pylist()))]
+        self.batches, self.order = batches, sorted(order)
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+        _, label, _, k, row = self.order[at]
+        own = self.batches[k]
+        return np.frombuffer(own.column(2)[row].as_buffer(), "<i4"), np.frombuffer(own.column(3)[row].as_buffer(), "<i4"), label
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]] | Bags, steps: int = STEPS, places: int = PLACES) -> np.ndarray:
     """Weights, the intercept last."""
     w, g2 = np.zeros(places + 1), np.full(places + 1, 1e-3)
     w[-1] = INTERCEPT
     for epoch in range(min(40, max(2, steps // max(1, len(rows))))):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
-            at, of, label = rows[i]
+            at, sizes, label = rows[i]
             if not len(at):
                 continue
-            p = sigmoid(np.bincount(of, w[at]) + w[-1])
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            p = sigmoid(np.bincount(of, w[at], len(sizes)) + w[-1])
             none = np.log1p(-np.minimum(p, 1 - 1e-12)).sum()  # log of no sentence being toxic
             some = -np.expm1(none)
             # slope of the log-likelihood by each sentence's logit
@@ -194,12 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
         vocabulary = Vocabulary()
         for b in arrow_batches(batches):
             found = bags(b.column(1).to_pylist(), vocabulary)
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()), pa.array([of.astype("<i4").tobytes() for _, of in found], pa.binary())], ["doc_id", "label", "places", "sentences"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["doc_id", "label", "places", "sentences"])
 
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(i, np.frombuffer(p, "<i4"), np.frombuffer(s, "<i4"), y) for b in batches for i, y, p, s in zip(*(c.to_pylist() for c in b.columns))]
-        rows.sort(key=lambda r: (r[0], r[3], len(r[1])))
-        yield pa.record_batch([pa.array([fit([r[1:] for r in rows]).tobytes()], pa.binary())], ["weights"])
+        yield pa.record_batch([pa.array([fit(Bags(list(batches))).tobytes()], pa.binary())], ["weights"])
 
     features = written(sample.mapInArrow(featured, "doc_id long, label int, places binary, sentences binary"), "bags")
     found = features.repartition(1).mapInArrow(fitted, "weights binary").collect()
@@ -270,7 +281,9 @@ def clean(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, te
             found, _ = scorer.documents([x or "" for x in b.column(at).to_pylist()])
             yield b.filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns go by number meanwhile: names may have dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
