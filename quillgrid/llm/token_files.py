@@ -39,62 +39,77 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import arrow_batches, id_and_text, new_folder
 
 NULL_ID = -(1 << 63)
-#: Distinct words, and distinct cores of words, whose ids a Python worker keeps at most.
-MEMO_WORDS = 600_000
-MEMO_CORES = 900_000
+#: Distinct words, and distinct pieces of words, whose ids a Python worker keeps at most.
+MEMO_WORDS = 350_000
+MEMO_PIECES = 500_000
+#: ASCII punctuation at which the patterns always cut behind a letter (no apostrophe, no part of a special token).
+EDGE = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
     """Ids of a text by the tokenizers library, a word at a time, remembered.
 
     The tokenizers used here drop white space and no rule of theirs looks across it, so a text's
-    ids are its words' ids in order. A word is cut once more between an ASCII letter and ASCII
-    punctuation, where their patterns always cut, and ASCII letters are lower-cased as the
-    normaliser does; the library encodes each distinct piece that remains, many in one call, with
-    a special token between them. With ``by_words=False`` (any other tokenizer) whole texts go to
-    the library.
+    ids are its words' ids in order. A word is cut once more between a letter and the ASCII
+    punctuation at its end (Latin letters only: others may change as they are lower-cased), where their patterns
+    always cut, and ASCII letters are lower-cased as the
+    normaliser does; the library encodes each distinct piece that remains, many in one call. Pieces of
+    letters alone give one run of ids each, whose last has the end-of-word mark; others stand between
+    special tokens. With ``by_words=False`` (any other tokenizer) whole texts go to the library.
     """
 
-    SPECIAL = "<|endoftext|>"
+    SPECIAL, MARK = "<|endoftext|>", "</w>"
 
-    def __init__(self, path: str, by_words: bool = True, memo_words: int = MEMO_WORDS, memo_cores: int = MEMO_CORES):
+    def __init__(self, path: str, by_words: bool = True, memo_words: int = MEMO_WORDS, memo_pieces: int = MEMO_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = by_words
-        self.memo_words, self.memo_cores = memo_words, memo_cores
-        self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.memo_words, self.memo_pieces = memo_words, memo_pieces
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.wide = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.special = self.tokenizer.token_to_id(self.SPECIAL)
-        self.edge = re.compile(r"^([A-Za-z]+)([!-&(-/:-@\[-`{-~][ -~]*)$")
+        self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(self.MARK) for i in range(n)), bool, n)
+        if by_words and self.special is None:
+            raise ValueError("a tokenizer with a special token and end-of-word marks is needed, or by_words=False")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.wide).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str], letters: bool) -> None:
+        """Encode pieces joined: letters alone by spaces, others by special tokens."""
+        groups = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
+        by = " " if letters else f" {self.SPECIAL} "
+        size = self.wide.itemsize
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([by.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=self.wide)
+            ends = np.flatnonzero(self.ends[ids]) + 1 if letters else np.append(np.flatnonzero(ids == self.special), len(ids))
+            raw, start = ids.tobytes(), 0
+            for x, end in zip(group, (ends * size).tolist(), strict=True):
+                self.pieces[x] = raw[start:end]
+                start = end if letters else end + size
+
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words: look up their pieces, and encode the new ones."""
-        cores, cut = self.cores, []
+        cut = []
         for w in words:
-            m = self.edge.match(w)
-            cut.append((m[1].lower(), m[2].lower()) if m and "<|" not in w else (w.lower() if w.isascii() and "<|" not in w else w,))
-        new = [x for x in set(chain.from_iterable(cut)) if x not in cores]
-        odd = [x for x in new if "<|" in x]
-        plain = [x for x in new if "<|" not in x] if odd else new
-        if self.special is None:
-            odd, plain = new, []
-        cores.update(zip(odd, self._library(odd)) if odd else ())
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        joined = self.tokenizer.encode_batch_fast([f" {self.SPECIAL} ".join(g) for g in groups], add_special_tokens=False) if groups else []
-        for group, found in zip(groups, joined):
-            ids = np.array(found.ids, dtype=self.wide)
-            ends = np.append(np.flatnonzero(ids == self.special), len(ids)).tolist()
-            raw, size, start = ids.tobytes(), self.wide.itemsize, 0
-            for x, end in zip(group, ends, strict=True):
-                cores[x] = raw[start * size : end * size]
-                start = end + 1
-        get = cores.__getitem__
-        self.words.update((w, b"".join(map(get, c))) for w, c in zip(words, cut))
+            stem = w.rstrip(EDGE)
+            if len(stem) < len(w) and _LETTERS.fullmatch(stem):
+                cut.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
+            else:
+                cut.append((w.lower() if w.isascii() and "<|" not in w else w,))
+        new = set(chain.from_iterable(cut)).difference(self.pieces)
+        letters = [x for x in new if _LETTERS.fullmatch(x)]
+        others = new.difference(letters)
+        odd = [x for x in others if "<|" in x]
+        self.pieces.update(zip(odd, self._library(odd)) if odd else ())
+        self._joined(letters, True)
+        self._joined(list(others.difference(odd)), False)
+        get = self.pieces.__getitem__
+        self.words.update((w, get(c[0]) if len(c) == 1 else get(c[0]) + get(c[1])) for w, c in zip(words, cut))
 
     def encode(self, texts: pa.StringArray, end_id: int | None = None) -> pa.BinaryArray:
         """The ids of each text as bytes of ``wide`` integers, with an end id if given."""
@@ -108,8 +123,8 @@ class WordEncoder:
         if len(self.words) > self.memo_words:
             self.words.clear()
             self.words[""] = b""
-        if len(self.cores) > self.memo_cores:
-            self.cores.clear()
+        if len(self.pieces) > self.memo_pieces:
+            self.pieces.clear()
         new = [w for w in distinct if w not in self.words]
         if new:
             self._learn(new)
@@ -153,52 +168,42 @@ def in_order(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_
     return source.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
 
-def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, by_words: bool = True) -> DataFrame:
-    """``doc_id, ids`` of ``doc_id, text``, order kept: binary little-endian integers as wide as the vocabulary needs."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, by_words)
-        for b in arrow_batches(batches, most_bytes=12 << 20):
-            yield pa.record_batch([b.column(0), enc.encode(b.column(1), end_id)], ["doc_id", "ids"])
-
-    return docs.mapInArrow(run, "doc_id long, ids binary")
-
-
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_token_files(encoded: DataFrame, folder: str, width: int) -> dict:
-    """Write ``encoded`` (ordered partitions) below ``folder``, a part for each partition; return the manifest.
+def write_token_files(ordered: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 1, by_words: bool = True) -> dict:
+    """Encode ``doc_id, text`` (ordered partitions) and write a part for each below ``folder``; return the manifest.
 
     The driver sees one row per partition (name and totals), never ids or documents.
     """
-    kind = "<u2" if width == 2 else "<u4"
-    _file_system(folder)[0].create_dir(_file_system(folder)[1], recursive=True)
+    fs, path = _file_system(folder)
+    fs.create_dir(path, recursive=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path, by_words)
+        width = enc.wide.itemsize
         fs, path = _file_system(folder)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         at, docs = 0, 0
         with fs.open_output_stream(f"{path}/ids-{name}.bin") as ids, fs.open_output_stream(f"{path}/docs-{name}.idx") as index:
-            for b in batches:
-                lengths = np.asarray(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False), np.int64) // width
+            for b in arrow_batches(batches, most_bytes=6 << 20):
+                found = enc.encode(b.column(1), end_id)
+                lengths = pc.binary_length(found).to_numpy(zero_copy_only=False).astype(np.int64) // width
                 rows = np.empty((len(lengths), 2), "<i8")
                 rows[:, 0] = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
                 rows[:, 1] = at + np.cumsum(lengths) - lengths
                 index.write(rows.tobytes())
-                for x in b.column(1):
-                    ids.write(x.as_buffer())
+                ids.write(b"".join(found.to_pylist()))
                 at, docs = at + int(lengths.sum()), docs + len(lengths)
         if docs:
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([at], pa.int64())], ["part", "name", "n_docs", "n_ids"])
 
-    parts = encoded.mapInArrow(run, "part int, name string, n_docs long, n_ids long").collect()
+    parts = ordered.mapInArrow(run, "part int, name string, n_docs long, n_ids long").collect()
     parts.sort(key=lambda r: r["part"])
     totals = np.array([r["n_ids"] for r in parts], np.int64)
     bases = np.cumsum(totals) - totals
-    manifest = {"dtype": kind, "n_ids": int(totals.sum()), "parts": [{"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "base": int(b)} for r, b in zip(parts, bases)]}
-    fs, path = _file_system(folder)
+    manifest = {"dtype": encoder(tokenizer_path, by_words).wide.str, "n_ids": int(totals.sum()), "parts": [{"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "base": int(b)} for r, b in zip(parts, bases)]}
     with fs.open_output_stream(f"{path}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
     return manifest
@@ -247,10 +252,6 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_width(tokenizer_path: str, by_words: bool = True) -> int:
-    return encoder(tokenizer_path, by_words).wide.itemsize
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -263,6 +264,5 @@ def op1_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
 
     tokenizer_path = tokenizer_path or default_tokenizer()
     folder = new_folder(spark, "tokens")
-    encoded = encode_tokens(in_order(table(spark, sf_dir, "documents")), tokenizer_path, end_id=1)
-    write_token_files(encoded, folder, token_width(tokenizer_path))
+    write_token_files(in_order(table(spark, sf_dir, "documents")), folder, tokenizer_path, end_id=1)
     return read_token_files(spark, folder)
