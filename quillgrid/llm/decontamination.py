@@ -114,7 +114,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     tie = F.xxhash64(F.col(f"`{text_col}`"))
     keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), tie.alias("tie")).alias("key"), F.col(f"`{text_col}`").alias("text"))
     found = hits(keyed.select(F.xxhash64("key.id", "key.tie").alias("doc_id"), "text"), benchmark)
-    return docs.join(found.select(F.col("doc_id").alias("_hit")).distinct(), F.xxhash64(F.col(f"`{id_col}`"), tie) == F.col("_hit"), "left_anti")
+    spare = "quillgrid_" + "_".join(sorted(docs.columns))
+    return docs.join(found.select(F.col("doc_id").alias(spare)).distinct(), F.xxhash64(F.col(f"`{id_col}`"), tie) == F.col(f"`{spare}`"), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

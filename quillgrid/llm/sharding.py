@@ -72,8 +72,9 @@ def place(rows: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS,
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:
     """Write a folder for each shard; rows of a shard are dealt to so many files, none to one task alone."""
-    dealt = placed.withColumn("_file", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns if c != "shard"]), F.lit(files_per_shard)))
-    dealt.repartition(F.col("shard"), F.col("_file")).drop("_file").write.partitionBy("shard").parquet(path)
+    spare = "quillgrid_" + "_".join(sorted(placed.columns))
+    dealt = placed.withColumn(spare, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns if c != "shard"]), F.lit(files_per_shard)))
+    dealt.repartition(F.col("shard"), F.col(f"`{spare}`")).drop(spare).write.partitionBy("shard").parquet(path)
 
 
 def shard_names(n: int = SHARDS) -> list[str]:

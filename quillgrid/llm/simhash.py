@@ -304,7 +304,9 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, leas
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, least: float | None = None, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tie, fingerprint, component_id``: a row for each row of ``docs``; ``tie`` is a hash of the text.
+    """``doc_id, tie, fingerprint, component_id, root``: a row for each row of ``docs``.
+
+    ``tie`` is a hash of the text, ``root`` tells components apart whose smallest doc_id is the same or null.
 
     With ``least`` a link within the radius counts only if the texts' shingles have that Jaccard similarity.
     """
@@ -317,8 +319,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, least: floa
     roots = components(edges).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = placed.join(ids, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = placed.join(ids, "root").select("fp", "component_id", "root")
+    return prints.join(of_print, "fp").select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = 12, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,8 +330,7 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 12, least: float = 0.
     """
     tie, spare = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), "quillgrid_" + "_".join(sorted(docs.columns))
     found = near_duplicates(docs, size, radius, least, id_col=id_col, text_col=text_col)
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least"))
     first = first.select(F.col("least.doc_id").alias(spare + "i"), F.col("least.tie").alias(spare + "t"))
     kept = docs.join(first, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"`{spare}i`")) & (tie == F.col(f"`{spare}t`")), "left_semi")
     # the same row twice: one of them stays
@@ -339,4 +340,4 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 12, least: float = 0.
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents``: four-word shingles, four bits."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, radius=4).drop("tie")
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, radius=4).drop("tie", "root")
