@@ -11,21 +11,26 @@ from quillgrid.schemas import MANIFEST, REPORT_TYPES, UPLOAD_LIMIT
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, modificationTime, length, content`` of each file."""
+    """``path, modificationTime, length, content`` of each file; Spark's file listing leaves out files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def register(files: DataFrame, company_id: str, report_year: int, report_type: str, limit: int = UPLOAD_LIMIT) -> DataFrame:
-    """Report rows of files, with the names of failed checks; no row is dropped.
-
-    ``content`` isn't carried on: only its hash, length and header are read.
-    """
+def check_metadata(company_id: str, report_year: int, report_type: str) -> None:
+    """ValueError for what can't be a report's company, year or type."""
     if report_type not in REPORT_TYPES:
         raise ValueError(f"report_type must be one of {', '.join(REPORT_TYPES)}")
     if not isinstance(report_year, int) or isinstance(report_year, bool) or not 1900 <= report_year <= 2200:
         raise ValueError("report_year must be a year")
     if not company_id:
         raise ValueError("company_id is empty")
+
+
+def register(files: DataFrame, company_id: str, report_year: int, report_type: str, limit: int = UPLOAD_LIMIT) -> DataFrame:
+    """Report rows of files, with the names of failed checks; no row is dropped.
+
+    ``content`` isn't carried on: only its hash, length and header are read.
+    """
+    check_metadata(company_id, report_year, report_type)
     digest = C.sha256(F.col("content"))
     checks = F.array_compact(
         F.array(
