@@ -222,37 +222,34 @@ def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blo
     spark = nodes.sparkSession
     counted = nodes.select("fp", "n", F.bit_count("fp").alias("ones"))
     blocks = plan_blocks({r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}, block_rows, least_blocks)
-    numbered = [(k, low, high) for k, (low, high, way) in enumerate((b[0], b[1], w) for b in blocks for w in range(b[2]))]
-    pairs = [(k, m) for k, low, high in numbered for m, lo, hi in numbered if k <= m and max(lo - high, low - hi) <= radius]
-    if not pairs:
+    if not blocks:
         return spark.createDataFrame([], "a long, b long")
-    first: dict[int, tuple[int, int]] = {}
-    at = 0
-    for low, high, ways in blocks:
+    firsts = [0, *accumulate(ways for *_, ways in blocks)]
+    # for each of 65 counts: its first block, hash parts, and the first and last block that it must meet
+    plan: dict[int, tuple[int, int, int, int]] = {}
+    for i, (low, high, ways) in enumerate(blocks):
+        near = [j for j, (lo, hi, _) in enumerate(blocks) if max(lo - high, low - hi) <= radius]
         for p in range(low, high + 1):
-            first[p] = (at, ways)
-        at += ways
-    # 65 counts and as many rows as pairs of blocks: small tables that the number of blocks bounds
-    by_count = F.create_map(*[F.lit(x) for p, (k, w) in first.items() for x in (p, k * 65536 + w)])
-    own = by_count[F.col("ones")]
-    blocked = counted.select("fp", "n", (F.floor(own / 65536) + F.pmod(F.xxhash64("fp"), own % 65536)).cast("int").alias("block"))
-    sides = [(k, p, 0) for p, (k, _) in enumerate(pairs)] + [(m, p, 1) for p, (k, m) in enumerate(pairs) if k != m]
-    sent = blocked.join(spark.createDataFrame(sides, "block int, pair int, side int"), "block")
+            plan[p] = firsts[i], ways, firsts[near[0]], firsts[near[-1] + 1] - 1
+    names = ("first", "ways", "low", "high")
+    by_count = F.create_map(*[x for p, own in plan.items() for x in (F.lit(p), F.struct(*[F.lit(v).alias(name) for name, v in zip(names, own)]))])
+    blocked = counted.select("fp", "n", by_count[F.col("ones")].alias("own")).select("fp", "n", (F.col("own.first") + F.pmod(F.xxhash64("fp"), F.col("own.ways"))).cast("int").alias("block"), "own.low", "own.high")
+    met = blocked.select("fp", "n", "block", F.explode(F.sequence("low", "high")).alias("other"))
+    sent = met.select(F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), (F.col("block") > F.col("other")).alias("second"), "fp", "n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        side = pdf["side"].to_numpy()
-        a, b = values[side == 0], values[side == 1]
-        pair = pairs[int(pdf["pair"].iloc[0])]
+        second = pdf["second"].to_numpy(bool)
+        a, b = values[~second], values[second]
         sizes = None
         if least_ratio:
             n = pdf["n"].to_numpy()
-            sizes = np.concatenate([n[side == 0], n[side == 1]])
-        found = compare_blocks(a, None if pair[0] == pair[1] else b, radius, sizes, least_ratio, every)
+            sizes = np.concatenate([n[~second], n[second]])
+        found = compare_blocks(a, None if pdf["k"].iloc[0] == pdf["m"].iloc[0] else b, radius, sizes, least_ratio, every)
         both = np.concatenate([a, b]).view(np.int64)
         return pd.DataFrame({"a": both[found[:, 0]], "b": both[found[:, 1]]})
 
-    return sent.select("pair", "side", "fp", "n").groupBy("pair").applyInPandas(run, "a long, b long")
+    return sent.groupBy("k", "m").applyInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, what: str = "links") -> DataFrame:
