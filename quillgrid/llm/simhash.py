@@ -325,14 +325,15 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 12, least: float = 0.
 
     Rows of one doc_id and one text count once; groups whose doc_ids are all null keep one row.
     """
-    tie, spare = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), "quillgrid_" + "_".join(sorted(docs.columns))
+    spare = "quillgrid_" + "_".join(sorted(docs.columns))
+    keys = [spare + "i", spare + "t"]
     found = near_duplicates(docs, size, radius, least, id_col=id_col, text_col=text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least"))
-    first = first.select(F.col("least.doc_id").alias(spare + "i"), F.col("least.tie").alias(spare + "t"))
-    kept = docs.join(first, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"`{spare}i`")) & (tie == F.col(f"`{spare}t`")), "left_semi")
-    # the same row twice: one of them stays
-    again = kept.withColumn(spare, F.xxhash64(F.col(f"`{id_col}`"), tie))
-    return again.dropDuplicates([spare]).drop(spare)
+    first = first.select(F.xxhash64("least.doc_id").alias(keys[0]), F.col("least.tie").alias(keys[1]))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = docs.withColumns({keys[0]: F.xxhash64(F.col(f"`{id_col}`").cast("long")), keys[1]: F.xxhash64(text)})
+    # one exchange of the texts serves the join and the last step: the same row twice, of which one stays
+    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
