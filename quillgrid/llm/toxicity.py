@@ -6,7 +6,8 @@ is no letter or digit) has hashed features: itself and
 its first four to eight letters. A sentence's logit is the intercept plus the weights of its words'
 features, its probability p the logistic of that, and the document's probability 1 - prod(1 - p). Only
 documents have labels; the likelihood's gradient is shared out among the sentences by the noisy-or, which
-finds out which of them are to blame. Weights move by AdaGrad with an L1 shrinkage.
+finds out which of them are to blame. Weights move by AdaGrad with an L1 shrinkage. Three fits on two thirds each score
+the last third; the score that parts the labels best there becomes ``THRESHOLD`` by a shift of all logits.
 
 Labels are learnt from a bounded sample (``SAMPLE_ROWS`` labelled rows by a hash of their id): all rows of the
 rarer label count as they are. Features are taken on the executors, the model is fitted in one task, and weights (a
@@ -59,6 +60,12 @@ def places_of(word: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(x.encode()) % PLACES for x in names)
 
 
+def shifted(none: np.ndarray, shift: float) -> np.ndarray:
+    """Probability that some sentence is toxic, its logit moved, by the log of the probability that none is."""
+    some = -np.expm1(np.minimum(none, 0))
+    return np.where(some > 0, sigmoid(np.log(np.maximum(some, 1e-300)) - none + shift), 0.0)
+
+
 class Vocabulary:
     """A number for each distinct word, with its features' places (and weight) and whether it ends a sentence."""
 
@@ -112,29 +119,30 @@ class Vocabulary:
 
 
 class Scorer:
-    """Probabilities of sentences and texts under given weights."""
+    """Probabilities of sentences and texts under given weights (the intercept and the shift last)."""
 
     def __init__(self, weights: np.ndarray):
-        self.intercept = float(weights[-1])
+        self.intercept, self.shift = float(weights[-2]), float(weights[-1])
         self.vocabulary = Vocabulary(weights)
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(probability and first word of each sentence, first sentence of each text and the end, words)."""
+        """(logit and first word of each sentence, first sentence of each text and the end, words)."""
         numbers, again, starts, edges = self.vocabulary.cut(texts)
         values = np.where(again, 0.0, self.vocabulary.weights[numbers]) if len(numbers) else np.empty(0)
         sums = np.add.reduceat(values, starts) if len(starts) else values
-        return sigmoid(sums + self.intercept), starts, edges, len(numbers)
+        return sums + self.intercept, starts, edges, len(numbers)
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(noisy-or of the sentences, number of offending ones) of each text."""
-        p, _, edges, _ = self.sentences(texts)
+        logits, _, edges, _ = self.sentences(texts)
         of = np.repeat(np.arange(len(texts)), np.diff(edges))
-        none = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-15)), len(texts))
-        return -np.expm1(none), np.bincount(of, p >= OFFENDING, len(texts)).astype(np.int64)
+        none = np.bincount(of, np.log1p(-sigmoid(logits)), len(texts))
+        return shifted(none, self.shift), np.bincount(of, sigmoid(logits + self.shift) >= OFFENDING, len(texts)).astype(np.int64)
 
     def offending(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of each offending sentence, in code points."""
-        p, starts, _, n = self.sentences([text])
+        logits, starts, _, n = self.sentences([text])
+        p = sigmoid(logits + self.shift)
         bad = np.flatnonzero(p >= OFFENDING)
         if not len(bad):
             return []
@@ -196,7 +204,42 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]] | Bags, steps: int = STEP
             g = slope.sum()
             g2[-1] += g * g
             w[-1] += 0.1 * RATE / np.sqrt(g2[-1]) * g
-    return w.astype(np.float32)
+    return w
+
+
+def nothing_toxic(bag: tuple[np.ndarray, np.ndarray, int], w: np.ndarray) -> float:
+    """Log of the probability that no sentence of a bag is toxic."""
+    at, sizes, _ = bag
+    if not len(sizes):
+        return 0.0
+    return float(np.log1p(-sigmoid(np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[at], len(sizes)) + w[-1])).sum())
+
+
+def best_cut(scores: np.ndarray, labels: np.ndarray) -> float | None:
+    """The score that parts the labels best by F1, in the middle of equally good ones; None without both labels."""
+    order = np.argsort(-scores, kind="stable")
+    s, y = scores[order], labels[order]
+    last = np.append(s[1:] != s[:-1], True) & (s > 0)
+    if not last.any() or not 0 < y.sum() < len(y):
+        return None
+    f1 = 2 * np.cumsum(y)[last] / (np.arange(1, len(s) + 1)[last] + y.sum())
+    good = s[last][f1 >= f1.max() - 1e-9]
+    # a cut is anywhere down to the next lower score
+    below = s[last][s[last] < good.min()]
+    return float(np.sqrt(good.max() * good.min())) if len(good) > 1 else float(np.sqrt(good[0] * (below[0] if len(below) else good[0])))
+
+
+def fit_shifted(rows: list[tuple[np.ndarray, np.ndarray, int]] | Bags, folds: int = 3) -> np.ndarray:
+    """Weights, the intercept and the shift (float32)."""
+    n = len(rows)
+    none, labels = np.zeros(n), np.array([rows[i][2] for i in range(n)], np.int64)
+    for k in range(folds):
+        part = fit([rows[i] for i in range(n) if i % folds != k], STEPS // folds)
+        for i in range(k, n, folds):
+            none[i] = nothing_toxic(rows[i], part)
+    cut = best_cut(-np.expm1(none), labels)
+    move = 0.0 if cut is None else float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - min(cut, 1 - 1e-9))))
+    return np.append(fit(rows), move).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, fold: int = 2, most_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -210,13 +253,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
             yield pa.record_batch([b.column(0), b.column(2), pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["doc_id", "label", "places", "sentences"])
 
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.record_batch([pa.array([fit(Bags(list(batches))).tobytes()], pa.binary())], ["weights"])
+        yield pa.record_batch([pa.array([fit_shifted(Bags(list(batches))).tobytes()], pa.binary())], ["weights"])
 
     features = written(sample.mapInArrow(featured, "doc_id long, label int, places binary, sentences binary"), "bags")
     found = features.repartition(1).mapInArrow(fitted, "weights binary").collect()
     if found:
         return np.frombuffer(found[0]["weights"], np.float32)
-    return np.append(np.zeros(PLACES, np.float32), np.float32(INTERCEPT))
+    return np.concatenate([np.zeros(PLACES), [INTERCEPT, 0.0]]).astype(np.float32)
 
 
 _SCORERS: dict[int, Scorer] = {}
