@@ -38,12 +38,17 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quillgrid/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder; the table as read back, and its path."""
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``written_at`` without the path: results may read the table later, so it stays until the folder is cleaned."""
+    return written_at(df, what)[0]
 
 
 def drop_written(spark: SparkSession, path: str) -> None:

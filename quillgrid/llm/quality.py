@@ -11,7 +11,7 @@ there are fewer): features are taken on the executors, the model is fitted in on
 weights (a table whose size is fixed) go to every task in the closure. All rows are scored.
 
 Defined results: a null or empty text scores what the intercept alone gives; repeated rows and ids are scored
-alike; a null doc_id is kept and never learnt from; with no usable label every score is 0.5; an empty table gives no
+alike; a null doc_id is kept and never learnt from; of rows that share an id one is learnt from; with no usable label every score is 0.5; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -141,13 +141,17 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, label``: about ``most_rows`` labelled rows outside the held-out fold, by a hash of the id."""
+    """``doc_id, text, label``: about ``most_rows`` labelled rows outside the held-out fold, by a hash of the id.
+
+    One row for each id, that of the smallest hash of its text: an id that very many rows share stays one example.
+    """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, most_rows / max(1, usable.count()))
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # ``most_rows`` bounds this side
-    return id_and_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    met = id_and_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, fold: int = 0, most_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:

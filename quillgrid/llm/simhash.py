@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import arrow_batches, id_and_text, table, written
+from quillgrid.llm.common import arrow_batches, drop_written, id_and_text, table, written, written_at
 
 #: Rows of a block at most (up to the unevenness of a hash); a task holds two blocks.
 BLOCK_ROWS = 1 << 17
@@ -249,12 +249,14 @@ def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blo
         both = np.concatenate([a, b]).view(np.int64)
         return pd.DataFrame({"a": both[found[:, 0]], "b": both[found[:, 1]]})
 
-    return sent.groupBy("k", "m").applyInPandas(run, "a long, b long")
+    # an own exchange with a fixed number of partitions: a pair is few bytes and much work
+    dealt = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "m")
+    return dealt.groupBy("k", "m").applyInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, what: str = "links") -> DataFrame:
     """``node, root``: the smallest node of each component, for nodes that have a link."""
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), what)
+    now, path = written_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), what)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -267,9 +269,10 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
         # small star: a node's smaller neighbours and itself go to the smallest of them
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = written(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), what)
+        after, later = written_at(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), what)
         found = state(after)
-        now = after
+        drop_written(now.sparkSession, path)
+        now, path = after, later
         if found == seen:
             break
         seen = found
@@ -289,11 +292,25 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, leas
     pairs = edges.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("first")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("second")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        total = 0
+
+        def shingles(node: int, text: pa.StringScalar) -> np.ndarray:
+            """Sorted distinct shingles of a node's text; those of some 64 MB are remembered."""
+            nonlocal total
+            if node not in held:
+                if total > 64 << 20:
+                    held.clear()
+                    total = 0
+                held[node] = np.unique(np.array(shingle_hashes(text.as_py(), size), np.uint64))
+                total += held[node].nbytes
+            return held[node]
+
         for b in batches:
             keep = []
-            for first, second in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = set(shingle_hashes(first, size)), set(shingle_hashes(second, size))
-                both = len(x & y)
+            for i, (first, second) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                x, y = shingles(first, b.column(2)[i]), shingles(second, b.column(3)[i])
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
