@@ -5,9 +5,11 @@ Nothing here holds rows: every helper either builds a plan or works on one Arrow
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,6 +60,27 @@ def drop_written(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps for later tasks of the same operator, made once; other operators' things go.
+
+    Workers are used again by later stages: without this, the stores of all stages would add up.
+    """
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what earlier operators have kept in this worker process."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text (null: empty), whatever other columns are there."""
     return df.select(

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm.common import arrow_batches, id_and_text, table
+from quillgrid.llm.common import arrow_batches, forget, id_and_text, table
 
 UNIT = 192
 #: Units that are coded or decoded side by side.
@@ -471,6 +471,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, n_bytes, media``: each text as a JPEG in a binary column."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in arrow_batches(batches, most_bytes=1 << 20):
             raw = [x.encode() for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(encode_pictures([padded(x) for x in raw]), pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -515,6 +516,7 @@ def media_features(pictures: DataFrame, media_col: str = "media") -> DataFrame:
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in arrow_batches(batches, column=len(others), most_bytes=1 << 20):
             found = features(b.column(len(others)).to_pylist())
             columns = [pa.array([x and x[k] for x in found], pa.type_for_alias(kind)) for k, kind in enumerate(kinds)]

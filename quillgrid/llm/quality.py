@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import arrow_batches, id_and_text, table, written
+from quillgrid.llm.common import arrow_batches, id_and_text, kept, table, written
 
 PLACES = 1 << 18
 SAMPLE_ROWS = 6000
@@ -59,12 +59,9 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of each n-gram, text it is of, words of each text)."""
-    memo = _HASHES
+    memo = kept(("ngrams",), _Hashes)
     if len(memo) > MEMO_WORDS:
         memo.clear()
     words = [_TOKEN.findall(x) for x in texts]

@@ -28,7 +28,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm.common import arrow_batches, id_and_text, table
+from quillgrid.llm.common import arrow_batches, id_and_text, kept, table
 
 SPACE = "▁"
 #: Distinct chunks that a Python worker remembers; the store is emptied when it is full.
@@ -136,14 +136,9 @@ class AgendaEncoder:
         return self.library.decode(ids, num_threads=1)
 
 
-_ENCODERS: dict[tuple, AgendaEncoder] = {}
-
-
 def encoder(model_path: str, check: bool = True) -> AgendaEncoder:
     """One encoder per worker process and model, so that its memory serves later tasks too."""
-    if (model_path, check) not in _ENCODERS:
-        _ENCODERS[model_path, check] = AgendaEncoder(model_path, check=check)
-    return _ENCODERS[model_path, check]
+    return kept(("pieces", model_path, check), lambda: AgendaEncoder(model_path, check=check))
 
 
 def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, check: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import arrow_batches, drop_written, id_and_text, table, written, written_at
+from quillgrid.llm.common import arrow_batches, drop_written, forget, id_and_text, table, written, written_at
 
 #: Rows of a block at most (up to the unevenness of a hash); a task holds two blocks.
 BLOCK_ROWS = 1 << 17
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
     """``doc_id, tie, fp, n``: the fingerprint as a (signed) long; ``tie`` is a hash of the text, ``n`` its number of distinct shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in arrow_batches(batches, column=2, most_bytes=1 << 20):
             found, sizes = fingerprint_batch(b.column(2).to_pylist(), size)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found.view(np.int64)), pa.array(sizes)], ["doc_id", "tie", "fp", "n"])
@@ -181,15 +182,15 @@ def _forest_of(found: np.ndarray, n: int) -> np.ndarray:
 def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, sizes: np.ndarray | None = None, least_ratio: float = 0.0, every: bool = False) -> np.ndarray:
     """Links (indices, distance) within the radius; ``second`` follows ``first``, None: a block with itself.
 
-    They are a minimum spanning forest or, with ``every``, all links but those inside a tile pair so dense
-    (four links a row and more) that its own forest stands for them. ``sizes`` and ``least_ratio``: no link between
+    They are a minimum spanning forest or, with ``every``, all links but those inside tile pairs so dense
+    (four links a row and more) that one forest of these stands for them. ``sizes`` and ``least_ratio``: no link between
     nodes whose sizes differ by more.
     """
     n = len(first) + (0 if second is None else len(second))
     left = _tiles(first, 0)
     right = left if second is None else _tiles(second, len(first))
     lows, highs = np.array([t[0] for t in right], np.int64), np.array([t[1] for t in right], np.int64)
-    found, held = [np.empty((0, 3), np.int64)], 0
+    found, crowded, held = [np.empty((0, 3), np.int64)], [np.empty((0, 3), np.int64)], 0
     for i, (low, high, values, indices) in enumerate(left):
         near = np.flatnonzero(np.abs(lows - low) + np.abs(highs - high) <= radius)
         for j in near[near >= i] if second is None else near:
@@ -204,17 +205,22 @@ def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, si
             if sizes is not None:
                 a, b = sizes[indices][:, None], sizes[their][None, :]
                 hit &= np.minimum(a, b) >= least_ratio * np.maximum(a, b)
-            x, y = np.nonzero(hit)
-            if len(x) > 4 * (len(values) + len(others)):
+            dense = np.count_nonzero(hit) > 4 * (len(values) + len(others))
+            if dense:
                 spans = np.array(_spanning(distance, hit | hit.T if same else hit, radius, same), np.int64)
                 x, y = spans[:, 0], spans[:, 1]
-            found.append(np.stack([indices[x], their[y], distance[x, y].astype(np.int64)], axis=1))
-            held += len(x)
-            if not every and held > 2_000_000:
-                found = [_forest_of(np.concatenate(found), n)]
-                held = len(found[0])
-    links = np.concatenate(found)
-    return links if every else _forest_of(links, n)
+            else:
+                x, y = np.nonzero(hit)
+            own = np.stack([indices[x], their[y], distance[x, y].astype(np.int64)], axis=1)
+            if every and not dense:
+                found.append(own)
+                continue
+            crowded.append(own)
+            held += len(own)
+            if held > 1_000_000:
+                crowded = [_forest_of(np.concatenate(crowded), n)]
+                held = len(crowded[0])
+    return np.concatenate([*found, _forest_of(np.concatenate(crowded), n)])
 
 
 def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, least_ratio: float = 0.0, every: bool = False) -> DataFrame:
@@ -238,6 +244,7 @@ def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blo
     sent = met.select(F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), (F.col("block") > F.col("other")).alias("second"), "fp", "n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         values = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         second = pdf["second"].to_numpy(bool)
         a, b = values[~second], values[second]
@@ -292,6 +299,7 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, leas
     pairs = edges.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("first")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("second")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[int, np.ndarray] = {}
         total = 0
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import arrow_batches, id_and_text, table
+from quillgrid.llm.common import arrow_batches, id_and_text, kept, table
 
 LEAST = 50
 BASE = 42
@@ -52,9 +52,6 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def _powers(n: int, factor: int) -> np.ndarray:
     out = np.full(n, factor, np.uint64)
     out[0] = 1
@@ -89,7 +86,7 @@ def minimisers(texts: list[str], least: int = LEAST, base: int = BASE) -> tuple[
     Neighbours beyond the text are zero, which equals nothing.
     """
     span = least - base
-    memo = _HASHES
+    memo = kept(("suffixes",), _Hashes)
     if len(memo) > MEMO_WORDS:
         memo.clear()
     words = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]

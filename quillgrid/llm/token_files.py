@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import arrow_batches, id_and_text, new_folder
+from quillgrid.llm.common import arrow_batches, id_and_text, kept, new_folder
 
 NULL_ID = -(1 << 63)
 #: Distinct words, and distinct pieces of words, whose ids a Python worker keeps at most.
@@ -147,15 +147,9 @@ class WordEncoder:
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def encoder(path: str, by_words: bool) -> WordEncoder:
     """One encoder per worker process and tokenizer, so that its memory serves later tasks too."""
-    key = (path, by_words)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, by_words)
-    return _ENCODERS[key]
+    return kept(("tokens", path, by_words), lambda: WordEncoder(path, by_words))
 
 
 def in_order(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import arrow_batches, id_and_text, table, written
+from quillgrid.llm.common import arrow_batches, forget, id_and_text, kept, table, written
 from quillgrid.llm.quality import held_out, labelled_sample, sigmoid
 
 PLACES = 1 << 20
@@ -247,12 +247,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     sample = labelled_sample(docs, labels, label_col, folds, fold, most_rows, id_col, text_col)
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         vocabulary = Vocabulary()
         for b in arrow_batches(batches):
             found = bags(b.column(1).to_pylist(), vocabulary)
             yield pa.record_batch([b.column(0), b.column(2), pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["doc_id", "label", "places", "sentences"])
 
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         yield pa.record_batch([pa.array([fit_shifted(Bags(list(batches))).tobytes()], pa.binary())], ["weights"])
 
     features = written(sample.mapInArrow(featured, "doc_id long, label int, places binary, sentences binary"), "bags")
@@ -262,15 +264,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     return np.concatenate([np.zeros(PLACES), [INTERCEPT, 0.0]]).astype(np.float32)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer:
+def _scorer(shared: _Shared) -> Scorer:
     """One scorer per worker process and broadcast."""
-    if shared.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[shared.id] = Scorer(shared.value)
-    return _SCORERS[shared.id]
+    return kept(("toxicity", shared.id), lambda: Scorer(shared.value))
 
 
 class _Shared:
