@@ -112,14 +112,14 @@ def minimisers(texts: list[str], least: int = LEAST, base: int = BASE) -> tuple[
     low = _sliding(order, span + 1, np.minimum)
     low = np.where(at + least <= stop[: len(at)], low, np.uint64(0))
     reached = _sliding(low[::-1], span + 1, np.maximum)[::-1]
-    kept = np.flatnonzero((reached == order) & (at + base <= stop[: len(at)]))
+    chosen = np.flatnonzero((reached == order) & (at + base <= stop[: len(at)]))
     short = np.maximum((h >> np.uint64(48)).astype(np.uint16), np.uint16(1))
     start = np.repeat(stops - counts, counts)
-    right = kept[:, None] + base + np.arange(span)
-    left = kept[:, None] - 1 - np.arange(span)
-    right = np.where(right < stop[kept][:, None], short[np.minimum(right, total - 1)], 0).astype(np.uint16)
-    left = np.where(left >= start[kept][:, None], short[np.maximum(left, 0)], 0).astype(np.uint16)
-    return np.repeat(np.arange(len(texts)), counts)[kept], kept - start[kept], window[kept], right, left
+    right = chosen[:, None] + base + np.arange(span)
+    left = chosen[:, None] - 1 - np.arange(span)
+    right = np.where(right < stop[chosen][:, None], short[np.minimum(right, total - 1)], 0).astype(np.uint16)
+    left = np.where(left >= start[chosen][:, None], short[np.maximum(left, 0)], 0).astype(np.uint16)
+    return np.repeat(np.arange(len(texts)), counts)[chosen], chosen - start[chosen], window[chosen], right, left
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
