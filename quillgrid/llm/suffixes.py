@@ -7,7 +7,9 @@ then keeps at least one suffix that begins with ``base`` of its words, wherever
 stands. The kept suffixes are sorted, each by a 64-bit hash of its first ``base`` words, the
 words to the right of these and, nearest first, those to the left of it; each is compared with
 the nearest suffix of another document on either side and the match is extended right and left.
-Matches of ``least`` words or more are merged into passages. Words in extensions are compared by
+The nearest suffix agrees furthest to the right; where another one may agree less to the right but
+more to the left, so that ``least`` words are reached all the same, the windows in question are
+looked up by their hash. Matches of ``least`` words or more are merged into passages. Words in extensions are compared by
 16-bit hashes (a passage one word too short passes about once in 30,000 cases); as far as
 ``least - base`` words on each side, which is enough, as a longer passage keeps further suffixes.
 
@@ -162,32 +164,51 @@ def suffixes(docs: DataFrame, least: int, base: int, id_col: str, text_col: str)
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "hash long, key binary, doc_id long, word int")
 
 
+def _mix(hashed: np.ndarray, columns: Iterable[np.ndarray]) -> np.ndarray:
+    out = hashed.astype(np.uint64)
+    for c in columns:
+        out = (out ^ c.astype(np.uint64)) * np.uint64(MULTIPLIER)
+        out ^= out >> np.uint64(31)
+    return out
+
+
 def matches(sorted_suffixes: DataFrame, least: int, base: int) -> DataFrame:
-    """``doc_id, start, stop``: a match of ``least`` words or more for each suffix that has one."""
+    """``doc_id, start, stop, probe``: matches of ``least`` words or more (probe null), and windows to look up."""
     span = least - base
     width = 8 + 4 * span
+    offsets = np.arange(span + 1)
 
-    def given(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"])
+    def given(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, probe: np.ndarray | None = None) -> pa.RecordBatch:
+        probes = pa.nulls(len(doc), pa.int64()) if probe is None else pa.array(probe.view(np.int64))
+        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), probes], ["doc_id", "start", "stop", "probe"])
 
-    def compare(key: np.ndarray, doc: np.ndarray, word: np.ndarray, skip: bool, last: bool) -> tuple[pa.RecordBatch, int]:
-        """Matches of all runs (one hash, one document) but the first with ``skip`` and, unless ``last``, the last.
+    def shares(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """For each number of words to the left whether the window with these is shared."""
+        return (offsets <= before[:, None]) & (span - offsets <= after[:, None])
+
+    def compare(key: np.ndarray, doc: np.ndarray, word: np.ndarray, skip: bool, last: bool) -> tuple[list[pa.RecordBatch], int]:
+        """Matches and probes of all runs (one hash, one document) but the first with ``skip`` and, unless ``last``, the last.
 
         Also the row from which on rows are needed again.
         """
         hashed = key[:, :8].copy().view(">u8")[:, 0]
         right, left = (key[:, a : a + 2 * span].copy().view(">u2") for a in (8, 8 + 2 * span))
-        begin = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1])]))
+        fresh = np.concatenate([[True], hashed[1:] != hashed[:-1]])
+        begin = np.flatnonzero(fresh | np.concatenate([[True], doc[1:] != doc[:-1]]))
         run = np.zeros(len(doc), np.int64)
         run[begin[1:]] = 1
         run = np.cumsum(run)
         low = np.full(len(doc), np.iinfo(np.int64).max)
         high = np.full(len(doc), -1, np.int64)
+        furthest = np.full(len(doc), -1, np.int64)
+        known = np.zeros((len(doc), span + 1), bool)
         for other, there in ((begin[run] - 1, run > 0), (np.append(begin, len(doc) - 1)[run + 1], run + 1 < len(begin))):
             rows = np.flatnonzero(there)
             rows = rows[hashed[rows] == hashed[other[rows]]]
             to = other[rows]
             before, after = _same(left[rows], left[to]), _same(right[rows], right[to])
+            furthest[rows] = np.maximum(furthest[rows], after)
+            known[rows] |= shares(before, after)
             enough = base + before + after >= least
             rows = rows[enough]
             low[rows] = np.minimum(low[rows], word[rows] - before[enough])
@@ -196,7 +217,29 @@ def matches(sorted_suffixes: DataFrame, least: int, base: int) -> DataFrame:
         if skip:
             final &= run > 0
         found = np.flatnonzero(final & (high >= 0))
-        return given(doc[found], low[found], high[found]), max(0, int(begin[-1]) - 1)
+        out = [given(doc[found], low[found], high[found])] if len(found) else []
+        # windows that a suffix further away may share: those of this one must be known to all of its hash
+        rows = np.flatnonzero(furthest >= 0)
+        if len(rows):
+            own = shares(_same(left[rows], left[rows]), np.minimum(_same(right[rows], right[rows]), furthest[rows]))
+            asked = own & ~known[rows]
+            group = np.cumsum(fresh)[rows]
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            wanted = np.logical_or.reduceat(asked, starts)
+            # the first and the last hash may go on beyond these rows
+            edge = np.isin(group[starts], (group[0] if fresh.sum() == 1 or skip else -1, int(fresh.sum()) if not last else -1, 1 if skip else -1))
+            wanted |= edge[:, None]
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+            before = np.maximum(rows - 1, 0)
+            first = (rows == 0) | (hashed[before] != hashed[rows])
+            again = shares(_same(left[rows], left[before]), _same(right[rows], right[before])) & ~first[:, None]
+            sent = (asked | own & known[rows] & ~again & wanted[of]) & final[rows][:, None]
+            for s in offsets:
+                at = rows[sent[:, s]]
+                if len(at):
+                    window = _mix(hashed[at], [np.full(len(at), s), *left[at, :s].T, *right[at, : span - s].T])
+                    out.append(given(doc[at], word[at] - s, word[at] - s + least, window))
+        return out, max(0, int(begin[-1]) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -214,24 +257,59 @@ def matches(sorted_suffixes: DataFrame, least: int, base: int) -> DataFrame:
             if not len(rows[1]):
                 continue
             found, again = compare(*rows, skip, False)
-            if found.num_rows:
-                yield found
+            yield from found
             # kept: the last run, and before it one row of the run before
-            skip = again > 0 or skip and len(rows[1]) == 1
             held = tuple(x[again:].copy() for x in rows) if again else rows
             skip = bool(len(held[1]) > 1 and (held[1][0] != held[1][1] or (held[0][0, :8] != held[0][1, :8]).any()))
         if held is not None:
-            found, _ = compare(*held, skip, True)
-            if found.num_rows:
-                yield found
+            yield from compare(*held, skip, True)[0]
+
+    return sorted_suffixes.select("key", "doc_id", "word").mapInArrow(run, "doc_id long, start int, stop int, probe long")
+
+
+def looked_up(found: DataFrame) -> DataFrame:
+    """``doc_id, start, stop``: the matches, and the windows to look up that two documents or more have."""
 
-    return sorted_suffixes.select("key", "doc_id", "word").mapInArrow(run, "doc_id long, start int, stop int")
+    def given(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        shared = False  # whether a document before the held rows has their window
+        for b in batches:
+            probe = b.column(0)
+            asked = np.asarray(probe.is_valid())
+            others = [b.column(k).to_numpy() for k in (1, 2, 3)]
+            if not asked.all():
+                yield given(*(x[~asked] for x in others))
+            rows = (np.asarray(probe.drop_null()), *(x[asked] for x in others))
+            if held is not None:
+                rows = tuple(np.concatenate([x, y]) for x, y in zip(held, rows))
+            if not len(rows[0]):
+                continue
+            window, doc = rows[0], rows[1]
+            begin = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (doc[1:] != doc[:-1])]))
+            head = window[begin]
+            prior = np.concatenate([[shared and held is not None], head[1:] == head[:-1]])
+            good = prior | np.append(head[1:] == head[:-1], False)
+            sizes = np.diff(np.append(begin, len(window)))
+            good[-1] = False  # not known yet
+            keep = np.repeat(good, sizes)
+            if keep.any():
+                yield given(*(x[keep] for x in rows[1:]))
+            held, shared = tuple(x[begin[-1] :].copy() for x in rows), bool(prior[-1])
+        if held is not None and shared:
+            yield given(*held[1:])
+
+    # matches are dealt out by a hash of their own, and pass through
+    dealt = found.withColumn("part", F.coalesce("probe", F.xxhash64("doc_id", "start"))).repartition("part").sortWithinPartitions("probe", "doc_id", "start")
+    return dealt.select("probe", "doc_id", "start", "stop").mapInArrow(run, "doc_id long, start int, stop int")
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start_word, end_word, n_words``: passages (end exclusive) that other documents hold too."""
     kept = suffixes(docs, least, base, id_col, text_col)
-    found = matches(kept.repartition("hash").sortWithinPartitions("key", "doc_id", "word"), least, base)
+    found = looked_up(matches(kept.repartition("hash").sortWithinPartitions("key", "doc_id", "word"), least, base))
     ordered = Window.partitionBy("doc_id").orderBy("start", "stop")
     reached = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)
