@@ -183,7 +183,7 @@ def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, si
     """Links (indices, distance) within the radius; ``second`` follows ``first``, None: a block with itself.
 
     They are a minimum spanning forest or, with ``every``, all links but those inside tile pairs so dense
-    (four links a row and more) that one forest of these stands for them. ``sizes`` and ``least_ratio``: no link between
+    (more links than rows and columns) that one forest of these stands for them. ``sizes`` and ``least_ratio``: no link between
     nodes whose sizes differ by more.
     """
     n = len(first) + (0 if second is None else len(second))
@@ -205,7 +205,7 @@ def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, si
             if sizes is not None:
                 a, b = sizes[indices][:, None], sizes[their][None, :]
                 hit &= np.minimum(a, b) >= least_ratio * np.maximum(a, b)
-            dense = np.count_nonzero(hit) > 4 * (len(values) + len(others))
+            dense = np.count_nonzero(hit) > len(values) + len(others)
             if dense:
                 spans = np.array(_spanning(distance, hit | hit.T if same else hit, radius, same), np.int64)
                 x, y = spans[:, 0], spans[:, 1]
