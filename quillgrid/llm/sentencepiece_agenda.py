@@ -32,7 +32,7 @@ from quillgrid.llm.common import arrow_batches, id_and_text, kept, table
 
 SPACE = "▁"
 #: Distinct chunks that a Python worker remembers; the store is emptied when it is full.
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 600_000
 
 
 class AgendaEncoder:
