@@ -43,6 +43,8 @@ from quillgrid.llm.common import arrow_batches, drop_written, forget, id_and_tex
 BLOCK_ROWS = 1 << 17
 #: Blocks at least, so that small inputs keep several cores busy too.
 LEAST_BLOCKS = 6
+#: Candidates inside larger groups are those of a minimum spanning forest.
+CROWD = 64
 #: Rows and columns of a comparison at most.
 TILE = 512
 
@@ -183,7 +185,8 @@ def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, si
     """Links (indices, distance) within the radius; ``second`` follows ``first``, None: a block with itself.
 
     They are a minimum spanning forest or, with ``every``, all links but those inside tile pairs so dense
-    (more links than rows and columns) that one forest of these stands for them. ``sizes`` and ``least_ratio``: no link between
+    (more links than rows and columns), or inside groups of more than ``CROWD`` nodes, that a forest of these
+    stands for them. ``sizes`` and ``least_ratio``: no link between
     nodes whose sizes differ by more.
     """
     n = len(first) + (0 if second is None else len(second))
@@ -220,7 +223,15 @@ def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, si
             if held > 1_000_000:
                 crowded = [_forest_of(np.concatenate(crowded), n)]
                 held = len(crowded[0])
-    return np.concatenate([*found, _forest_of(np.concatenate(crowded), n)])
+    links = np.concatenate([*found, _forest_of(np.concatenate(crowded), n)])
+    if not every:
+        return links
+    forest = Forest(n)
+    for x, y in links[:, :2].tolist():
+        forest.join(x, y)
+    root = np.fromiter(map(forest.root, range(n)), np.int64, n)
+    many = np.bincount(root, minlength=n)[root[links[:, 0]]] > CROWD
+    return np.concatenate([links[~many], _forest_of(links[many], n)])
 
 
 def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, least_ratio: float = 0.0, every: bool = False) -> DataFrame:
