@@ -9,9 +9,13 @@ Comparison. Equal fingerprints are one node. The nodes are split into blocks by
 whose counts can differ by at most the radius is one task, and inside a task rows lie in tiles of
 equal population counts of both halves; a tile pair whose counts differ beyond the radius is
 skipped, every other is compared in full with exclusive-or and bit counts in numpy. A task returns
-a minimum spanning forest of the links it finds, never all pairs. Where a similarity is asked for as well,
-the links are candidates: all of them but those of crowded tile pairs, which their forest stands for, are held
-against the texts' shingles.
+a minimum spanning forest of the links it finds, never all pairs.
+
+Similarity (``keep_one``). Fingerprints aren't used: a set of distinct shingles is one node, and links are all
+pairs of a Jaccard similarity of ``least`` or more. The shingles of a set have an order (common ones last); of two similar sets,
+the first shared shingle lies in a prefix of both, of about 1 - ``least`` of their length. Rows are dealt by the prefix's
+shingles, pairs that sizes and places rule out are dropped, and within each component of the others all
+pairs of sets are compared, in blocks of bounded size.
 
 Components. Links are contracted by alternating large and small stars, with a table in the shared
 folder after each round; nothing but counts reaches the driver.
@@ -28,7 +32,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -47,6 +51,16 @@ LEAST_BLOCKS = 6
 CROWD = 64
 #: Rows and columns of a comparison at most.
 TILE = 512
+#: One of so many texts counts for common shingles; counts from LEAST_COMMON on, MOST_COMMON shingles at most.
+SAMPLE_OF, LEAST_COMMON, MOST_COMMON = 16, 3, 100_000
+#: Keeps rounding from making a bound too strict.
+SLACK = 1e-6
+#: Nodes of one shingle up to which each pair is tried, and of one group up to which sets are intersected one by one.
+SMALL, FEW = 16, 6
+#: Blocks of a group: rows aimed at, in how many blocks at most, then rows and shingles of a block at most (but for one hash's unevenness).
+GROUP_ROWS, GROUP_WAYS, MOST_GROUP_ROWS, GROUP_SHINGLES = 256, 16, 1024, 1 << 20
+#: Shingles of a matrix product.
+COLUMNS = 4096
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -297,58 +311,265 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The edges whose nodes' texts have a Jaccard similarity of shingles of ``least`` or more.
+def _spanning_of(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of 0..n-1; ``linked`` says which of some nodes one node is linked with."""
+    rest, out = np.arange(n), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = linked(x, rest)
+            met = rest[hit].tolist()
+            out += [(x, y) for y in met]
+            queue += met
+            rest = rest[~hit]
+    return out
+
+
+def distinct_shingles(text: str, size: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def common_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts of a sample have, and their counts.
 
-    A node's text is that of its row of the smallest doc_id; only linked nodes' texts are moved.
+    They come last in the order of a prefix. Any order gives the same links; this one keeps groups small.
     """
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = written(nodes.join(ends, "fp").select("fp", F.col("least_row.doc_id").alias("i"), F.col("least_row.tie").alias("t")), "wanted")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.i) & (rows.tie == wanted.t)).select("fp", "text").dropDuplicates(["fp"])
-    texts = written(texts, "texts")
-    pairs = edges.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("first")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("second")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        held: dict[int, np.ndarray] = {}
-        total = 0
-
-        def shingles(node: int, text: pa.StringScalar) -> np.ndarray:
-            """Sorted distinct shingles of a node's text; those of some 64 MB are remembered."""
-            nonlocal total
-            if node not in held:
-                if total > 64 << 20:
-                    held.clear()
-                    total = 0
-                held[node] = np.unique(np.array(shingle_hashes(text.as_py(), size), np.uint64))
-                total += held[node].nbytes
-            return held[node]
+        for b in arrow_batches(batches, column=0, most_bytes=1 << 18):
+            found = [distinct_shingles(x, size) for x in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], ["h"])
+
+    tie = F.xxhash64("text")
+    sample = source.select(tie.alias("tie"), "text").where(F.pmod("tie", F.lit(SAMPLE_OF)) == 0).dropDuplicates(["tie"]).select("text")
+    counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COMMON)
+    top = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    hashes, counts = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(own: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of the sorted distinct shingles ``own`` in the order of (count among common ones, hash).
+
+    Of two sets with a Jaccard similarity of ``least`` or more, the first shared shingle is in both prefixes.
+    """
+    many = len(own) - max(1, math.ceil(least * len(own) - SLACK)) + 1
+    hashes, counts = common
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
+    return own[:many]
 
+
+def sets(source: DataFrame, size: int, least: float) -> DataFrame:
+    """``doc_id, tie, node, n, prefix``: ``tie`` is a hash of the text, ``node`` of its ``n`` distinct shingles; a task gives a node's prefix once."""
+    common = common_shingles(source, size)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        forget()
+        seen: set[int] = set()
+        for b in arrow_batches(batches, column=2, most_bytes=1 << 20):
+            nodes, sizes, first = [], [], []
+            for text in b.column(2).to_pylist():
+                own = distinct_shingles(text, size)
+                node = xxhash.xxh64_intdigest(own.tobytes(), 42)
+                nodes.append(node)
+                sizes.append(len(own))
+                first.append(prefix(own, least, common).tobytes() if len(own) and node not in seen else None)
+                seen.add(node)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(first, pa.binary())], ["doc_id", "tie", "node", "n", "prefix"])
+
+    return source.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, node long, n long, prefix binary")
+
+
+def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of nodes whose prefixes share a shingle and that can reach ``least``, for rows sorted by shingle and node.
+
+    ``n`` is a node's number of shingles and ``left`` of those from this one on: two nodes whose first
+    shared shingle this is share no more than the lesser ``left``. Groups of over ``SMALL`` give a spanning forest.
+    """
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+    h, node, n, left = h[new], node[new], n[new], left[new]
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    many = np.diff(np.append(starts, len(h)))
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    share = least / (1 + least)
+
+    def can(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        least_n, most_n = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        return (least_n >= least * most_n - SLACK) & (np.minimum(left[x], left[y]) >= share * (n[x] + n[y]) - SLACK)
+
+    at = np.flatnonzero(np.repeat((many > 1) & (many <= SMALL), many))
+    for lag in range(1, SMALL):
+        x, y = at[:-lag], at[lag:]
+        same = h[x] == h[y]
+        if not same.any():
+            break
+        x, y = x[same], y[same]
+        hit = can(x, y)
+        out_a.append(node[x[hit]])
+        out_b.append(node[y[hit]])
+    for start, count in zip(starts[many > SMALL].tolist(), many[many > SMALL].tolist()):
+        found = np.array(_spanning_of(count, lambda x, rest: can(start + x, start + rest)), np.int64).reshape(-1, 2) + start
+        out_a.append(node[found[:, 0]])
+        out_b.append(node[found[:, 1]])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def candidate_links(prints: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links that connect all nodes whose similarity can be ``least`` or more."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in arrow_batches(batches, column=2, most_bytes=1 << 19):
+            parts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            many = np.array([len(x) for x in parts], np.int64)
+            node, n = (np.repeat(b.column(i).to_numpy(), many) for i in (0, 1))
+            place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.record_batch([pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array((n - place).astype(np.int32))], ["h", "node", "n", "left"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def linked(parts: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = bucket_links(*np.concatenate(parts, axis=1), least)
+            out = []
+            for x, y in zip(a.tolist(), b.tolist()):
+                u, v = root(x), root(y)
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+                    out.append((x, y))
+            got = np.array(out, np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+        held: list[np.ndarray] = []
         for b in batches:
-            keep = []
-            for i, (first, second) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                x, y = shingles(first, b.column(2)[i]), shingles(second, b.column(3)[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            # the last shingle's group may go on in the next batch
+            edge = int(np.searchsorted(rows[0], rows[0, -1]))
+            if edge or held and held[-1][0, -1] != rows[0, 0]:
+                held.append(rows[:, :edge])
+                if sum(x.shape[1] for x in held) >= 100_000:
+                    yield linked(held)
+                    held = []
+                held.append(rows[:, edge:]) if edge else held.append(rows)
+            else:
+                held.append(rows)
+        if held:
+            yield linked(held)
+
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.where("prefix is not null").select("node", "n", "prefix").mapInArrow(cut, "h long, node long, n int, left int")
+    return rows.repartition(tasks, "h").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long")
+
+
+def similar_links(own: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all pairs of sets with a Jaccard similarity of ``least`` or more; every pair counts."""
+    sizes = np.array([len(x) for x in own], np.int64)
+    if len(own) <= FEW:
+
+        def few(x: int, rest: np.ndarray) -> np.ndarray:
+            both = np.array([len(np.intersect1d(own[x], own[y], assume_unique=True)) for y in rest.tolist()])
+            return both >= least * (sizes[x] + sizes[rest] - both)
+
+        return _spanning_of(len(own), few)
+    _, column, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = count > 1
+    owner, column = np.repeat(np.arange(len(own)), sizes)[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(own), len(own)), np.float32)
+    width = int(shared.sum())
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        held = np.zeros((len(own), min(COLUMNS, width - low)), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        both += held @ held.T
+
+    def enough(x: int, rest: np.ndarray) -> np.ndarray:
+        common = both[x, rest].astype(np.int64)
+        return common >= least * (sizes[x] + sizes[rest] - common)
+
+    return _spanning_of(len(own), enough)
+
+
+def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """``a, b``: links that connect all nodes of a similarity of ``least`` or more.
+
+    Components of the candidates are groups; within a group all pairs are compared. Larger groups are dealt
+    to blocks, and every two blocks meet in one task, which has the texts of both and returns a forest.
+    A node's text is that of its row of the smallest doc_id; only texts of groups are moved.
+    """
+    spark = nodes.sparkSession
+    members = components(candidates, "candidates").withColumnRenamed("root", "group")
+    roots = members.select(F.col("group").alias("node"), "group").distinct()
+    members = nodes.join(members.unionByName(roots).distinct(), "node")
+    counted = members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    ways = F.greatest(F.least(F.ceil(F.col("c") / GROUP_ROWS), F.lit(GROUP_WAYS)), F.ceil(F.col("c") / MOST_GROUP_ROWS), F.ceil(F.col("n") / GROUP_SHINGLES))
+    wanted = written(members.select("node", "group", F.col("least_row.doc_id").alias("i"), F.col("least_row.tie").alias("t")).join(counted.select("group", ways.cast("int").alias("ways")), "group"), "wanted")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.i) & (rows.tie == wanted.t)).select("group", "ways", "node", "text").dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("ways") - 1), lambda o: (F.col("ways") == 1) | (o != F.col("block")))
+    met = texts.withColumn("block", block).select("group", "node", "text", "block", F.explode(others).alias("other"))
+    sent = met.select("group", F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), "node", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
+        def linked(names: list[int], own: list[np.ndarray]) -> pa.RecordBatch:
+            found = similar_links(own, least)
+            return pa.record_batch([pa.array([names[x] for x, _ in found], pa.int64()), pa.array([names[y] for _, y in found], pa.int64())], ["a", "b"])
 
-    return pairs.select("a", "b", "first", "second").mapInArrow(run, "a long, b long")
+        now, names, own = None, [], []
+        for b in arrow_batches(batches, column=4, most_bytes=1 << 20):
+            for key, name, text in zip(zip(*(b.column(i).to_pylist() for i in range(3))), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if key != now:
+                    if len(own) > 1:
+                        yield linked(names, own)
+                    now, names, own = key, [], []
+                names.append(name)
+                own.append(distinct_shingles(text, size))
+        if len(own) > 1:
+            yield linked(names, own)
 
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(tasks, "group", "k", "m").sortWithinPartitions("group", "k", "m").mapInArrow(run, "a long, b long")
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, least: float | None = None, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def resemblances(docs: DataFrame, size: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tie, root``: a row for each row of ``docs``; rows of one root are linked by Jaccard similarities of ``least`` or more."""
+    source = id_and_text(docs, id_col, text_col)
+    prints = written(sets(source, size, least), "sets")
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least_row"), F.first("n").alias("n"))
+    edges = similar(candidate_links(prints, least), nodes, source, size, least)
+    return prints.join(components(edges), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tie, fingerprint, component_id, root``: a row for each row of ``docs``.
 
     ``tie`` is a hash of the text, ``root`` tells components apart whose smallest doc_id is the same or null.
-
-    With ``least`` a link within the radius counts only if the texts' shingles have that Jaccard similarity.
     """
     source = id_and_text(docs, id_col, text_col)
     prints = written(fingerprints(source, size), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n")).alias("least_row")).withColumn("n", F.col("least_row.n")), "nodes")
-    edges = links(nodes, radius, block_rows, least_blocks, least or 0.0, every=least is not None)
-    if least is not None:
-        edges = similar(written(edges.distinct(), "edges"), nodes, source, size, least)
+    edges = links(nodes, radius, block_rows, least_blocks)
     roots = components(edges).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -356,14 +577,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, least: floa
     return prints.join(of_print, "fp").select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 12, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id; all columns stay.
 
     Rows of one doc_id and one text count once; groups whose doc_ids are all null keep one row.
     """
     spare = "quillgrid_" + "_".join(sorted(docs.columns))
     keys = [spare + "i", spare + "t"]
-    found = near_duplicates(docs, size, radius, least, id_col=id_col, text_col=text_col)
+    found = resemblances(docs, size, least, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least"))
     first = first.select(F.xxhash64("least.doc_id").alias(keys[0]), F.col("least.tie").alias(keys[1]))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

@@ -346,6 +346,35 @@ def test_keep_one_by_similarity(spark):
     assert values(kept, "doc_id") == sorted(((i,) for i, g in group.items() if i == g), key=str)
 
 
+def kept_by_plain_similarity(docs):
+    """The ids that stay if all pairs of texts are compared."""
+    sets = [set(simhash.shingle_hashes(x, 5)) for _, x in docs]
+    pairs = [(docs[a][0], docs[b][0]) for a in range(len(docs)) for b in range(a) if (m := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - m)]
+    return [(i,) for i, g in sorted(groups([i for i, _ in docs], pairs).items()) if i == g]
+
+
+def random_words(rng, n):
+    return ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(n)]
+
+
+def test_keep_one_of_large_groups(spark, monkeypatch):
+    """Groups of over CROWD near copies, of which some pairs pass and others don't; also in several blocks."""
+    rng = np.random.default_rng(3)
+    docs = []
+    for _ in range(3):
+        base = random_words(rng, 200)
+        for _ in range(150):
+            words = list(base)
+            for at in rng.choice(200, int(rng.integers(2, 8)), replace=False):
+                words[at] = "x" + str(rng.integers(1 << 30))
+            docs.append((len(docs), " ".join(words)))
+    wanted = kept_by_plain_similarity(docs)
+    assert 3 < len(wanted) < len(docs)
+    assert values(simhash.keep_one(documents(spark, [(i, x, "s") for i, x in docs])), "doc_id") == sorted(wanted, key=str)
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 20)
+    assert values(simhash.keep_one(documents(spark, [(i, x, "s") for i, x in docs])), "doc_id") == sorted(wanted, key=str)
+
+
 # --- 5 decontamination -------------------------------------------------------------------------
 
 
