@@ -375,6 +375,24 @@ def test_keep_one_of_large_groups(spark, monkeypatch):
     assert values(simhash.keep_one(documents(spark, [(i, x, "s") for i, x in docs])), "doc_id") == sorted(wanted, key=str)
 
 
+def test_keep_one_of_distant_fingerprints(spark):
+    """Pairs near 0.8, and a text with a line of its own many times: similar, whatever the fingerprints' distance."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for k in range(60):
+        words = random_words(rng, 120)
+        copy = list(words)
+        for at in range(10, 10 + 20 * (1 + k % 3), 20):
+            copy[at] = "y" + str(k)
+        docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(copy))]
+    line = random_words(rng, 9)
+    text = line + random_words(rng, 150)
+    docs += [(len(docs), " ".join(text)), (len(docs) + 1, " ".join(line * 60 + text))]
+    wanted = kept_by_plain_similarity(docs)
+    assert len(wanted) < len(docs)
+    assert values(simhash.keep_one(documents(spark, [(i, x, "s") for i, x in docs])), "doc_id") == sorted(wanted, key=str)
+
+
 # --- 5 decontamination -------------------------------------------------------------------------
 
 
