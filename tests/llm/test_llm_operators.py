@@ -393,6 +393,15 @@ def test_keep_one_of_distant_fingerprints(spark):
     assert values(simhash.keep_one(documents(spark, [(i, x, "s") for i, x in docs])), "doc_id") == sorted(wanted, key=str)
 
 
+def test_keep_one_of_equal_fingerprints(spark):
+    """A much repeated line fills the fingerprint; texts with words of their own stay."""
+    rng = np.random.default_rng(5)
+    line = random_words(rng, 9)
+    docs = [(i, " ".join(line * 40 + random_words(rng, 100))) for i in range(6)]
+    assert len({plain_fingerprint(x, 5) for _, x in docs}) < len(docs)
+    assert values(simhash.keep_one(documents(spark, [(i, x, "s") for i, x in docs])), "doc_id") == sorted(((i,) for i, _ in docs), key=str)
+
+
 # --- 5 decontamination -------------------------------------------------------------------------
 
 
