@@ -59,6 +59,8 @@ SLACK = 1e-6
 SMALL, FEW = 16, 6
 #: Blocks of a group: rows aimed at, in how many blocks at most, then rows and shingles of a block at most (but for one hash's unevenness).
 GROUP_ROWS, GROUP_WAYS, MOST_GROUP_ROWS, GROUP_SHINGLES = 256, 16, 1024, 1 << 20
+#: Larger groups are first split by parity maps: bytes of a map, those of sets of over LONG shingles, rows of a block.
+LARGE, MAP_BYTES, LONG_BYTES, LONG, MAP_ROWS = 64, 256, 2048, 3000, 2048
 #: Shingles of a matrix product.
 COLUMNS = 4096
 
@@ -365,8 +367,33 @@ def prefix(own: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray])
     return own[:many]
 
 
+def parity_map(own: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' last bits: set if an odd number of the shingles has it."""
+    size = LONG_BYTES if len(own) > LONG else MAP_BYTES
+    seen = np.bincount((own & np.uint64(8 * size - 1)).astype(np.int64), minlength=8 * size)
+    return np.packbits(seen & 1, bitorder="little").tobytes()
+
+
+def map_links(maps: list[bytes], n: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all pairs that sizes and parity maps don't rule out.
+
+    Two maps differ in no more bits than their sets in shingles. A longer map is folded to the shortest one's length.
+    """
+    short = min(map(len, maps))
+    words = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, short // 8), axis=0) for x in maps])
+    share = (1 - least) / (1 + least)
+
+    def can(x: int, rest: np.ndarray) -> np.ndarray:
+        out = np.minimum(n[x], n[rest]) >= least * np.maximum(n[x], n[rest]) - SLACK
+        near = rest[out]
+        out[out] = np.bitwise_count(words[near] ^ words[x]).sum(axis=1, dtype=np.int64) <= share * (n[x] + n[near]) + SLACK
+        return out
+
+    return _spanning_of(len(maps), can)
+
+
 def sets(source: DataFrame, size: int, least: float) -> DataFrame:
-    """``doc_id, tie, node, n, prefix``: ``tie`` is a hash of the text, ``node`` of its ``n`` distinct shingles; a task gives a node's prefix once."""
+    """``doc_id, tie, node, n, prefix, map``: ``tie`` is a hash of the text, ``node`` of its ``n`` distinct shingles; a task gives a node's prefix and map once."""
     common = common_shingles(source, size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,17 +402,18 @@ def sets(source: DataFrame, size: int, least: float) -> DataFrame:
         forget()
         seen: set[int] = set()
         for b in arrow_batches(batches, column=2, most_bytes=1 << 20):
-            nodes, sizes, first = [], [], []
+            nodes, sizes, first, maps = [], [], [], []
             for text in b.column(2).to_pylist():
                 own = distinct_shingles(text, size)
                 node = xxhash.xxh64_intdigest(own.tobytes(), 42)
                 nodes.append(node)
                 sizes.append(len(own))
                 first.append(prefix(own, least, common).tobytes() if len(own) and node not in seen else None)
+                maps.append(parity_map(own) if first[-1] is not None else None)
                 seen.add(node)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(first, pa.binary())], ["doc_id", "tie", "node", "n", "prefix"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(first, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "tie", "node", "n", "prefix", "map"])
 
-    return source.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, node long, n long, prefix binary")
+    return source.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, node long, n long, prefix binary, map binary")
 
 
 def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -508,6 +536,56 @@ def similar_links(own: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return _spanning_of(len(own), enough)
 
 
+def groups_of(candidates: DataFrame, what: str) -> DataFrame:
+    """``node, group``: the component of each node that has a link."""
+    found = components(candidates, what).withColumnRenamed("root", "group")
+    return found.unionByName(found.select(F.col("group").alias("node"), "group").distinct())
+
+
+def refined(members: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links that connect the nodes of a group that can be similar; larger groups are split by parity maps.
+
+    Sizes fall in classes so wide that similar sets lie in one class or in neighbours; a window is
+    two neighbours. A window's rows are dealt to blocks, and every two blocks meet in one task.
+    """
+    members = members.join(members.groupBy("group").agg(F.count("*").alias("c")), "group")
+    small = members.where(F.col("c") <= LARGE).select(F.col("node").alias("a"), F.col("group").alias("b"))
+    maps = prints.where("map is not null").select("node", "n", "map").join(members.where(F.col("c") > LARGE).select("node", "group"), "node").dropDuplicates(["node"])
+    # a little wider than needed, so that rounding can't part neighbours
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.001 * math.log(least))).cast("int")
+    placed = written(maps.withColumn("kind", kind), "maps")
+    keyed = placed.select("node", "group", F.explode(F.array(F.col("kind") - 1, F.col("kind"))).alias("window"), "n", "map")
+    ways = placed.select("group", F.explode(F.array(F.col("kind") - 1, F.col("kind"))).alias("window")).groupBy("group", "window").agg(F.ceil(F.count("*") / MAP_ROWS).cast("int").alias("ways"))
+    block = F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("ways") - 1), lambda o: (F.col("ways") == 1) | (o != F.col("block")))
+    met = keyed.join(ways, ["group", "window"]).withColumn("block", block).select("group", "window", "node", "n", "map", "block", F.explode(others).alias("other"))
+    sent = met.select("group", "window", F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), "node", "n", "map")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
+        def linked(names: list[int], sizes: list[int], maps: list[bytes]) -> pa.RecordBatch:
+            found = map_links(maps, np.array(sizes, np.int64), least)
+            return pa.record_batch([pa.array([names[x] for x, _ in found], pa.int64()), pa.array([names[y] for _, y in found], pa.int64())], ["a", "b"])
+
+        now, names, sizes, maps = None, [], [], []
+        for b in batches:
+            for *key, name, n, own in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if key != now:
+                    if len(names) > 1:
+                        yield linked(names, sizes, maps)
+                    now, names, sizes, maps = key, [], [], []
+                names.append(name)
+                sizes.append(n)
+                maps.append(own)
+        if len(names) > 1:
+            yield linked(names, sizes, maps)
+
+    keys = ["group", "window", "k", "m"]
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionByName(sent.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long"))
+
+
 def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """``a, b``: links that connect all nodes of a similarity of ``least`` or more.
 
@@ -516,9 +594,7 @@ def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     A node's text is that of its row of the smallest doc_id; only texts of groups are moved.
     """
     spark = nodes.sparkSession
-    members = components(candidates, "candidates").withColumnRenamed("root", "group")
-    roots = members.select(F.col("group").alias("node"), "group").distinct()
-    members = nodes.join(members.unionByName(roots).distinct(), "node")
+    members = nodes.join(groups_of(candidates, "candidates"), "node")
     counted = members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     ways = F.greatest(F.least(F.ceil(F.col("c") / GROUP_ROWS), F.lit(GROUP_WAYS)), F.ceil(F.col("c") / MOST_GROUP_ROWS), F.ceil(F.col("n") / GROUP_SHINGLES))
     wanted = written(members.select("node", "group", F.col("least_row.doc_id").alias("i"), F.col("least_row.tie").alias("t")).join(counted.select("group", ways.cast("int").alias("ways")), "group"), "wanted")
@@ -557,7 +633,8 @@ def resemblances(docs: DataFrame, size: int, least: float, id_col: str = "doc_id
     source = id_and_text(docs, id_col, text_col)
     prints = written(sets(source, size, least), "sets")
     nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least_row"), F.first("n").alias("n"))
-    edges = similar(candidate_links(prints, least), nodes, source, size, least)
+    coarse = groups_of(candidate_links(prints, least), "coarse")
+    edges = similar(refined(coarse, prints, least), nodes, source, size, least)
     return prints.join(components(edges), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
 
 
