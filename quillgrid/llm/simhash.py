@@ -14,8 +14,8 @@ a minimum spanning forest of the links it finds, never all pairs.
 Similarity (``keep_one``). Fingerprints aren't used: a set of distinct shingles is one node, and links are all
 pairs of a Jaccard similarity of ``least`` or more. The shingles of a set have an order (common ones last); of two similar sets,
 the first shared shingle lies in a prefix of both, of about 1 - ``least`` of their length. Rows are dealt by the prefix's
-shingles, pairs that sizes and places rule out are dropped, and within each component of the others all
-pairs of sets are compared, in blocks of bounded size.
+shingles and pairs that sizes and places rule out are dropped; larger components of the others are split by
+sizes and parity maps, and within a component all pairs of sets are compared, in blocks of bounded size.
 
 Components. Links are contracted by alternating large and small stars, with a table in the shared
 folder after each round; nothing but counts reaches the driver.
