@@ -5,6 +5,7 @@ Nothing here holds rows: every helper either builds a plan or works on one Arrow
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -75,10 +76,15 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Drop what earlier operators have kept in this worker process."""
+    """Drop what earlier operators have kept in this worker process, and give free memory back to the system."""
     if _KEPT:
         _KEPT.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,14 +25,17 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm.common import arrow_batches, id_and_text, kept, table
 
 SPACE = "▁"
-#: Distinct chunks that a Python worker remembers; the store is emptied when it is full.
-MEMO_CHUNKS = 600_000
+#: Distinct chunks that a Python worker remembers: when half as many are new, those not seen since the half before are dropped.
+MEMO_CHUNKS = 500_000
+#: New chunks that are encoded and checked in one go.
+NEW_CHUNKS = 10_000
 
 
 class AgendaEncoder:
@@ -52,7 +55,10 @@ class AgendaEncoder:
             raise ValueError("pieces go across words: texts can't be cut at spaces")
         if self.library.normalize("  a  ﬁ ") != f"{SPACE}{SPACE}{SPACE}a {SPACE}ﬁ{SPACE}":
             raise ValueError("a model without normalisation and with a leading space mark is needed")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: ids of each chunk as bytes of ``wide`` integers: a third of a tuple's memory
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.wide = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         self.memo_chunks = memo_chunks
         self.check = check
 
@@ -103,37 +109,44 @@ class AgendaEncoder:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """The text with space marks, cut before each run of them."""
+        """The text cut before each run of spaces; each chunk stands without the first space mark of its run."""
         if not text:
             return []
-        marked = SPACE + text.replace(" ", SPACE)
-        if SPACE + SPACE in marked:
-            return re.findall(f"{SPACE}*[^{SPACE}]*", marked)[:-1]
-        return [SPACE + x for x in marked[1:].split(SPACE)]
+        if text[0] == " " or "  " in text or SPACE in text:
+            marked = SPACE + text.replace(" ", SPACE)
+            return [x[1:] for x in re.findall(f"{SPACE}*[^{SPACE}]*", marked)[:-1]]
+        return text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [self.chunks(x) for x in texts]
-        memo = self.memo
-        if len(memo) > self.memo_chunks:
-            memo.clear()
-        new = list(set(chain.from_iterable(cut)).difference(memo))
-        if new:
-            found = [self.agenda(x) for x in new]
+        if len(self.memo) > self.memo_chunks // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        missing = set(chain.from_iterable(cut)).difference(memo)
+        memo.update((x, older[x]) for x in missing if x in older)
+        new = [x for x in missing if x not in older]
+        for at in range(0, len(new), NEW_CHUNKS):
+            part = new[at : at + NEW_CHUNKS]
+            found = [self.agenda(SPACE + x) for x in part]
             if self.check:
-                self.compare(new, found)
-            memo.update(zip(new, found))
+                self.compare(part, found)
+            memo.update((x, np.array(ids, self.wide).tobytes()) for x, ids in zip(part, found))
         get = memo.__getitem__
-        return [list(chain.from_iterable(map(get, x))) for x in cut]
+        return [np.frombuffer(b"".join(map(get, x)), self.wide) for x in cut]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.arrays(texts)]
 
     def compare(self, chunks: list[str], found: list[tuple[int, ...]]) -> None:
         """Hold new chunks against the library, which sets the first space mark itself."""
-        theirs = self.library.encode([x[1:].replace(SPACE, " ") for x in chunks], num_threads=1)
+        theirs = self.library.encode([x.replace(SPACE, " ") for x in chunks], num_threads=1)
         for chunk, mine, other in zip(chunks, found, theirs):
-            if chunk != SPACE and list(mine) != other:
+            if chunk and list(mine) != other:
                 raise AssertionError(f"{chunk!r}: {mine} here, {other} by the library")
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.library.decode(ids, num_threads=1)
+    def decode(self, ids: list[int]) -> str:
+        return self.library.decode(ids)
 
 
 def encoder(model_path: str, check: bool = True) -> AgendaEncoder:
@@ -149,18 +162,21 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, check
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path, check)
-        for b in arrow_batches(batches):
-            ids = enc.encode(b.column(1).to_pylist())
-            decoded = enc.decode(ids) if ids else []
-            columns = [
-                b.column(0),
-                pa.array(map(len, ids), pa.int64()),
-                pa.array([hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-            ]
+        for b in arrow_batches(batches, most_bytes=2 << 20):
+            ids = enc.arrays(b.column(1).to_pylist())
+            decoded, digests, of_decoded = [], [], []
+            for x in ids:  # one text's ids as numbers at a time
+                own = x.tolist()
+                digests.append(hashlib.sha256(str(own)[1:-1].replace(" ", "").encode()).hexdigest())
+                text = enc.decode(own)
+                of_decoded.append(hashlib.sha256(text.encode()).hexdigest())
+                if keep_ids:
+                    decoded.append(text)
+            columns = [b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array(of_decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                columns += [pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, enc.wide)]).astype(np.int32)), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.record_batch(columns, names)
 
