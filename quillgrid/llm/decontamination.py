@@ -2,21 +2,25 @@
 
 A text becomes words (runs of letters and digits, lower-cased; a point or comma between digits belongs
 to the number), and words that a re-parameterised question would change become typed placeholders:
-numbers, units, and names, i.e. words with a capital and a small letter at their start that do not begin a
-sentence. Windows of ``WINDOW`` words over these templates are hashed and joined with those of the
-benchmark. Matches of a document and an item lie on diagonals (the window's place in the document
-less its place in the item); a diagonal with ``LEAST_RUN`` windows or more is a hit if its slots
-are consistent: one value in the item always stands for one value in the document. Windows with
-fewer than ``LEAST_WORDS`` plain words match nothing of themselves.
+numbers (also spelled), units, and names, i.e. words that start with a capital and a small letter, wherever they
+stand. Of a run of such words only the first two become placeholders, so that a window always has plain words
+too. The benchmark's templates come in three versions, as a copy may be written: as it is, with plain words at the
+starts of sentences, and with names as plain words.
+
+Windows of ``WINDOW`` words over these templates are hashed and joined with those of the
+benchmark; an item of fewer words is one window of its own length. Matches of a document and an item lie on diagonals (the
+window's place in the document less its place in the item); a diagonal with ``LEAST_RUN`` windows (all, of an item
+that has fewer) is a hit if its slots are consistent: one value in the item always stands for one value in
+the document, and the other way round. Windows whose slots hold the item's own values are a hit without that, if they are as many.
 
 The benchmark is small against the corpus; its windows are broadcast where they are counted to be
-at most ``BROADCAST_WINDOWS`` and joined by a shuffle beyond it. Nothing of a document but hashes of windows
-and its slots' values is carried on, and the groups (document, item, diagonal) are combined on the map side.
+at most ``BROADCAST_WINDOWS`` and joined by a shuffle beyond it. Only hashes of windows meet them. The texts are read a second time
+for slots, for documents on whose diagonals there are enough windows: these are told by 64-bit keys,
+broadcast up to ``BROADCAST_KEYS`` of them and joined by a shuffle beyond it.
 
-Defined results: a null text is empty and never hit; a text or an item of fewer words than a
-window is never hit; repeated rows of a document each count (a null doc_id is a row of its own); equal
-items are each reported; an empty table gives no rows; other columns are ignored by ``hits`` and kept
-by ``clean``.
+Defined results: a null text is empty and never hit, and so is an item without words; repeated rows of a document each count
+(a null doc_id is a row of its own); equal items are each reported, an item_id once; an empty table gives no rows; other columns
+are ignored by ``hits`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -27,58 +31,119 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import table, written
 
 WINDOW = 8
-#: Plain words of a window at least.
-LEAST_WORDS = 4
 #: Windows on one diagonal at least: eleven words in a row.
 LEAST_RUN = 4
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_KEYS = 1_000_000
 
-# Words for units of measure, currency and time.
+# Words for units of measure, currency and time, and for numbers.
 UNITS = (
     "mm cm dm km meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards "
     "mg kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml liter liters litre litres gallon gallons "
     "second seconds minute minutes hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent degrees mph kmh watt watts volt volts joule joules"
 ).split()
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
 
-NAME_MARK, INNER_MARK = "\x01", "\x04"
+NAME_MARK, INNER_MARK, START_MARK = "\x01", "\x04", "\x05"
 NUMBER, UNIT, NAME = "\x02num", "\x02unit", "\x02name"
 
 
+def _cut(text: Column, marks: str = "") -> Column:
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,](?=[0-9])", INNER_MARK)
+    return F.array_remove(F.split(joined, rf"[^\p{{L}}\p{{N}}\x04{marks}]+"), "")
+
+
 def words(text: Column) -> Column:
     """Lower-cased words; a name has a mark before it."""
-    named = F.regexp_replace(text, r"(?<=[^.!?\s]\s)(?=\p{Lu}\p{Ll})", NAME_MARK)
-    joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", INNER_MARK)
-    return F.filter(F.split(F.lower(joined), r"[^\p{L}\p{N}\x01\x04]+"), lambda w: w != "")
+
+    def marked(w: Column) -> Column:
+        first = F.left(w, F.lit(1))
+        return F.when((F.lower(first) != first) & w.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.lit(NAME_MARK), F.lower(w))).otherwise(F.lower(w))
+
+    return F.transform(_cut(text), marked)
+
+
+def item_words(text: Column) -> Column:
+    """The versions of a benchmark item's words: names marked, names inside sentences marked, none marked."""
+    starts = F.regexp_replace(F.coalesce(text, F.lit("")), r"((?:^|[.!?]\s)[^\p{L}\p{N}]*)(?=\p{Lu}\p{Ll})", "$1" + START_MARK)
+    cut = _cut(starts, r"\x05")
+    plain = lambda w: F.lower(F.replace(w, F.lit(START_MARK), F.lit("")))
+    named = lambda w: F.concat(F.lit(NAME_MARK), plain(w))
+    return F.array(
+        F.transform(cut, lambda w: F.when(w.rlike(r"^\x05?\p{Lu}\p{Ll}"), named(w)).otherwise(plain(w))),
+        F.transform(cut, lambda w: F.when(w.rlike(r"^\p{Lu}\p{Ll}"), named(w)).otherwise(plain(w))),
+        F.transform(cut, plain),
+    )
 
 
 def placeholder(word: Column) -> Column:
     """The word's placeholder, or null for a plain word."""
-    return F.when(word.startswith(NAME_MARK), NAME).when((word >= "0") & (word < ":"), NUMBER).when(word.isin(UNITS), UNIT)
-
-
-def windows(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key, at, hash, slots``: each window of a row, its place, its hash, and the values in its slots."""
-    worded = rows.select(key, words(text).alias("words"))
-    marked = worded.select(
-        key,
-        F.transform("words", lambda w: F.coalesce(placeholder(w), w)).alias("canon"),
-        F.transform("words", lambda w: F.when(placeholder(w).isNotNull(), w)).alias("slots"),
-    ).where(F.size("canon") >= WINDOW)
-    places = F.sequence(F.lit(1), F.size("canon") - (WINDOW - 1))
-    cut = F.transform(
-        places,
-        lambda i: F.struct(
-            i.alias("at"),
-            F.xxhash64(F.slice("canon", i, WINDOW)).alias("hash"),
-            F.array_join(F.slice("slots", i, WINDOW), " ").alias("slots"),
-        ),
-    )
-    return marked.select(key, F.inline(cut))
+    return F.when(word.startswith(NAME_MARK), NAME).when(((word >= "0") & (word < ":")) | word.isin(NUMBERS), NUMBER).when(word.isin(UNITS), UNIT)
+
 
+def templates(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``words``) with ``canon``: the words, of each run of changeable ones the first two as placeholders."""
+    typed = rows.withColumn("types", F.transform("words", placeholder))
+    kind = lambda i: F.get(F.col("types"), i)
+    canon = F.transform("words", lambda w, i: F.when(kind(i).isNull() | (kind(i - 1).isNotNull() & kind(i - 2).isNotNull()), w).otherwise(kind(i)))
+    return typed.withColumn("canon", canon).drop("types")
 
-def _plain_enough(slots: Column) -> Column:
-    return F.when(slots == "", 0).otherwise(F.size(F.split(slots, " "))) <= WINDOW - LEAST_WORDS
+
+def windows(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """``keys, at, size, hash``: each window of a row's ``canon`` (from 1), for windows of the given lengths."""
+
+    def of(n: int) -> Column:
+        cut = lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.xxhash64(F.slice("canon", i, n)).alias("hash"))
+        none = F.array().cast("array<struct<at:int,size:int,hash:bigint>>")
+        return F.when(F.size("canon") >= n, F.transform(F.sequence(F.lit(1), F.size("canon") - (n - 1)), cut)).otherwise(none)
+
+    return rows.select(*keys, F.inline(F.concat(*map(of, lengths))))
+
+
+def _key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells a document: its id and its text, as one number."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+
+
+def found_in(keyed: DataFrame, benchmark: DataFrame, least_run: int, broadcast_windows: int, item_col: str, item_text_col: str) -> DataFrame:
+    """``key, row.., item_id, n_windows, n_slots, exact``: for each row of ``keyed`` (``key, text`` and others) and item that it holds."""
+    own = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).distinct()
+    versions = item_words(F.col("text"))
+    items = own.select(F.monotonically_increasing_id().alias("item"), "item_id", versions.alias("versions")).where(F.size(F.get("versions", F.lit(0))) > 0)
+    items = written(items, "items")
+    lengths = [r[0] for r in items.select(F.least(F.size(F.get("versions", F.lit(0))), F.lit(WINDOW))).distinct().collect()]  # WINDOW values at most
+    each = templates(items.select("item", F.size(F.get("versions", F.lit(0))).alias("n"), F.explode("versions").alias("words")))
+    known = windows(each, ["item", "n"], lengths or [WINDOW]).where(F.col("size") == F.least("n", F.lit(WINDOW)))
+    known = written(known.select("item", F.col("at").alias("item_at"), "hash", "size", F.least(F.lit(least_run), F.col("n") - F.col("size") + 1).alias("least")).distinct(), "benchmark")
+    small = known.count() <= broadcast_windows
+    met = windows(templates(keyed.select("key", words(F.col("text")).alias("words"))), ["key"], lengths or [WINDOW]).drop("size")
+    met = met.join(F.broadcast(known) if small else known, "hash")
+    runs = met.groupBy("key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.first("size").alias("size"), F.first("least").alias("least"))
+    runs = written(runs.where(F.size("ats") >= F.col("least")), "runs")
+    keys = runs.select("key").distinct()
+    few = keys.count() <= BROADCAST_KEYS
+    # texts of documents with runs alone go on
+    again = keyed.join(F.broadcast(keys) if few else keys, "key", "left_semi").withColumn("words", words(F.col("text"))).drop("text")
+    there = items.select("item", "item_id", F.get("versions", F.lit(2)).alias("theirs"))
+    both = templates(again).join(runs, "key").join(F.broadcast(there) if small else there, "item")
+    places = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
+    slots = F.filter(places, lambda p: F.get(F.col("canon"), p - 1).startswith("\x02"))
+    bare = lambda w: F.replace(w, F.lit(NAME_MARK), F.lit(""))
+    pairs = F.transform("slots", lambda p: F.struct(p.alias("at"), F.get(F.col("theirs"), p - F.col("diagonal") - 1).alias("a"), bare(F.get(F.col("words"), p - 1)).alias("b")))
+    kept = [c for c in keyed.columns if c not in ("key", "text")]
+    sided = both.withColumn("slots", slots).select("key", *kept, "item_id", "ats", "size", "least", pairs.alias("pairs"))
+    judged = sided.withColumns({"values": F.array_distinct(F.transform("pairs", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))), "other": F.filter("pairs", lambda p: p["a"] != p["b"])})
+    one = lambda side: F.size("values") == F.size(F.array_distinct(F.transform("values", lambda p: p[side])))
+    same = F.size(F.filter("ats", lambda a: ~F.exists("other", lambda p: (p["at"] >= a) & (p["at"] < a + F.col("size")))))
+    n_same = F.size(F.filter("values", lambda p: p["a"] == p["b"]))
+    outcome = F.when(one("a") & one("b"), F.struct(F.size("ats").alias("n"), (F.size("other") == 0).alias("exact"), F.size("values").alias("n_slots")))
+    outcome = outcome.when(same >= F.col("least"), F.struct(same.alias("n"), F.lit(True).alias("exact"), n_same.alias("n_slots")))
+    best = judged.select("key", *kept, "item_id", outcome.alias("best")).where("best is not null").groupBy("key", *kept, "item_id").agg(F.max("best").alias("best"))
+    return best.select("key", *kept, "item_id", F.col("best.n").cast("long").alias("n_windows"), F.col("best.n_slots").cast("long").alias("n_slots"), "best.exact")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, least_run: int = LEAST_RUN, broadcast_windows: int = BROADCAST_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -86,36 +151,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, least_run: int = LEAST_RUN, broa
 
     ``row`` tells rows of ``docs`` with one doc_id apart; ``exact`` is false where slots were filled anew.
     """
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
-    known = windows(items, "item_id", F.col("text")).where(_plain_enough(F.col("slots")))
-    known = written(known.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct(), "benchmark")
-    small = known.count() <= broadcast_windows
-    # the key of a window's row is both numbers of its document
-    own = windows(keyed.select(F.struct("row", "doc_id").alias("doc"), "text"), "doc", F.col("text"))
-    found = own.join(F.broadcast(known) if small else known, "hash")
-    lined = found.select("doc", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots")
-    # windows on a diagonal, and the slots' values side by side
-    pairs = F.when(F.col("slots") == "", F.array().cast("array<struct<a:string,b:string>>")).otherwise(F.arrays_zip(F.split("item_slots", " ").alias("a"), F.split("slots", " ").alias("b")))
-    runs = lined.groupBy("doc", "item_id", "diagonal").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    runs = runs.where(F.col("n") >= least_run)
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    exact = F.forall("pairs", lambda p: p["a"] == p["b"])
-    kept = runs.where(consistent).select("doc", "item_id", "n", F.size("pairs").alias("n_slots"), exact.alias("exact"))
-    best = kept.groupBy("doc", "item_id").agg(F.max(F.struct("n", "exact", "n_slots")).alias("best"))
-    return best.select("doc.row", "doc.doc_id", "item_id", F.col("best.n").alias("n_windows"), F.col("best.n_slots").cast("long").alias("n_slots"), "best.exact")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), _key(docs, id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return found_in(own, benchmark, least_run, broadcast_windows, item_col, item_text_col).drop("key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; every other row and column stays.
 
-    A hit is told by doc_id and a hash of the text, so repeated ids go only with their own text.
+    A hit is told by doc_id and text, so repeated ids go only with their own text.
     """
-    tie = F.xxhash64(F.col(f"`{text_col}`"))
-    keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), tie.alias("tie")).alias("key"), F.col(f"`{text_col}`").alias("text"))
-    found = hits(keyed.select(F.xxhash64("key.id", "key.tie").alias("doc_id"), "text"), benchmark)
+    key = _key(docs, id_col, text_col)
+    found = found_in(docs.select(key.alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")), benchmark, LEAST_RUN, BROADCAST_WINDOWS, "item_id", "text")
     spare = "quillgrid_" + "_".join(sorted(docs.columns))
-    return docs.join(found.select(F.col("doc_id").alias(spare)).distinct(), F.xxhash64(F.col(f"`{id_col}`"), tie) == F.col(f"`{spare}`"), "left_anti")
+    gone = written(found.select(F.col("key").alias(spare)).distinct(), "hits")
+    few = gone.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone, key == F.col(f"`{spare}`"), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,28 +174,37 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB's SQL: windows joined as text, and look-arounds as two replacements."""
-    units = ", ".join(f"'{u}'" for u in UNITS)
+    """The same in DuckDB's SQL: windows joined as text, and slots compared word by word."""
+    listed = lambda names: ", ".join(f"'{x}'" for x in names)
+    split = "list_filter(string_split_regex({}, '[^\\p{{L}}\\p{{N}}\\x04\\x05]+'), lambda w: w <> '')"
 
-    def templates(source: str, key: str) -> str:
-        marked = "coalesce(text, '')"
+    def inner(text: str) -> str:
         for _ in range(2):  # matches can't overlap, so neighbours come with the second
-            marked = f"regexp_replace({marked}, '([^.!?\\s]\\s)(\\p{{Lu}}\\p{{Ll}})', '\\1' || chr(1) || '\\2', 'g')"
-        for _ in range(2):
-            marked = f"regexp_replace({marked}, '([0-9])[.,]([0-9])', '\\1' || chr(4) || '\\2', 'g')"
+            text = f"regexp_replace({text}, '([0-9])[.,]([0-9])', '\\1' || chr(4) || '\\2', 'g')"
+        return text
+
+    def named(pattern: str) -> str:
+        return f"list_transform(w, lambda x: CASE WHEN regexp_matches(x, '{pattern}') THEN chr(1) ELSE '' END || lower(replace(x, chr(5), '')))"
+
+    def canonical(source: str, keys: str) -> str:
         return f"""
-{key}_w AS (SELECT {key}, list_filter(string_split_regex(lower({marked}), '[^\\p{{L}}\\p{{N}}\\x01\\x04]+'), lambda w: w <> '') AS w FROM {source}),
-{key}_p AS (SELECT {key}, w, list_transform(w, lambda x: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN x >= '0' AND x < ':' THEN '<num>' WHEN x IN ({units}) THEN '<unit>' END) AS p FROM {key}_w),
-{key}_n AS (SELECT {key}, i, array_to_string(list_transform(range(i, i + {WINDOW}), lambda j: coalesce(p[j], w[j])), ' ') AS template, list_filter(list_transform(range(i, i + {WINDOW}), lambda j: CASE WHEN p[j] IS NOT NULL THEN w[j] END), lambda x: x IS NOT NULL) AS slots
-  FROM {key}_p, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i))"""
+{source}_t AS (SELECT {keys}, a, list_transform(a, lambda x: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN (x >= '0' AND x < ':') OR x IN ({listed(NUMBERS)}) THEN '<num>' WHEN x IN ({listed(UNITS)}) THEN '<unit>' END) AS t FROM {source}_a),
+{source}_c AS (SELECT {keys}, a, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN t[i] IS NULL OR (i > 2 AND t[i - 1] IS NOT NULL AND t[i - 2] IS NOT NULL) THEN a[i] ELSE t[i] END) AS c FROM {source}_t)"""
 
     return f"""
-WITH {templates("(SELECT row_number() OVER () AS doc_row, text FROM documents)", "doc_row")},
-{templates("benchmark", "item_id")},
-known AS (SELECT DISTINCT * FROM item_id_n WHERE len(slots) <= {WINDOW - LEAST_WORDS}),
-m AS (SELECT d.doc_row, k.item_id, d.i - k.i AS diagonal, list_zip(k.slots, d.slots) AS pairs FROM doc_row_n AS d JOIN known AS k USING (template)),
-r AS (SELECT doc_row, item_id, diagonal, count(*) AS n, list_distinct(flatten(list(pairs))) AS pairs FROM m GROUP BY ALL HAVING count(*) >= {LEAST_RUN}),
-g AS (SELECT doc_row, item_id, n, len(list_filter(pairs, lambda x: x[1] <> x[2])) = 0 AS exact, len(pairs) AS n_slots FROM r WHERE len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x[1])))),
-b AS (SELECT doc_row, item_id, max({{'n': n, 'exact': exact, 'n_slots': n_slots}}) AS best FROM g GROUP BY ALL)
-SELECT d.doc_id, b.item_id, best.n::BIGINT AS n_windows, best.n_slots::BIGINT AS n_slots, best.exact AS exact
-FROM b JOIN (SELECT row_number() OVER () AS doc_row, doc_id FROM documents) AS d USING (doc_row)"""
+WITH docs_a AS (SELECT r, {named('^\\p{Lu}\\p{Ll}')} AS a FROM (SELECT row_number() OVER () AS r, {split.format(inner("replace(coalesce(text, ''), chr(5), ' ')"))} AS w FROM documents)),
+{canonical("docs", "r")},
+bench AS (SELECT row_number() OVER () AS item, item_id, {split.format(inner("regexp_replace(coalesce(text, ''), '((?:^|[.!?]\\s)[^\\p{L}\\p{N}]*)(\\p{Lu}\\p{Ll})', '\\1' || chr(5) || '\\2', 'g')"))} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+bench_a AS (SELECT item, item_id, unnest([{named('^\\x05?\\p{Lu}\\p{Ll}')}, {named('^\\p{Lu}\\p{Ll}')}, {named('^$')}]) AS a FROM bench),
+{canonical("bench", "item, item_id")},
+known AS (SELECT DISTINCT item, i, least({WINDOW}, len(c)) AS size, least({LEAST_RUN}, len(c) - least({WINDOW}, len(c)) + 1) AS least, array_to_string(c[i:i + least({WINDOW}, len(c)) - 1], ' ') AS template FROM bench_c, unnest(range(1, len(c) - least({WINDOW}, len(c)) + 2)) AS u(i) WHERE len(c) > 0),
+own AS (SELECT r, i, size, array_to_string(c[i:i + size - 1], ' ') AS template FROM docs_c, (SELECT DISTINCT size FROM known) AS s, unnest(range(1, len(c) - size + 2)) AS u(i)),
+runs AS (SELECT r, item, o.i - k.i AS diagonal, list(DISTINCT o.i) AS ats, any_value(k.size) AS size, any_value(k.least) AS least FROM own AS o JOIN known AS k USING (template, size) GROUP BY ALL HAVING count(DISTINCT o.i) >= any_value(k.least)),
+p AS (SELECT DISTINCT r, item, diagonal, place + j AS place FROM (SELECT r, item, diagonal, size, unnest(ats) AS place FROM runs), unnest(range(0, size)) AS u(j)),
+v AS (SELECT r, p.item, diagonal, place, replace(b.w[place - diagonal], chr(5), '').lower() AS x, replace(d.a[place], chr(1), '') AS y FROM p JOIN docs_c AS d USING (r) JOIN bench AS b ON b.item = p.item WHERE starts_with(d.c[place], '<')),
+s AS (SELECT r, item, diagonal, count(DISTINCT {{'x': x, 'y': y}}) AS n_values, count(DISTINCT x) AS n_x, count(DISTINCT y) AS n_y, coalesce(list(place) FILTER (x <> y), []) AS other, count(DISTINCT x) FILTER (x = y) AS n_same FROM v GROUP BY ALL),
+j AS (SELECT runs.r, runs.item, len(ats) AS n, coalesce(n_values, 0) AS n_values, coalesce(n_same, 0) AS n_same, least, coalesce(n_values = n_x AND n_values = n_y, true) AS consistent, len(coalesce(other, [])) = 0 AS exact,
+  len(list_filter(ats, lambda a: len(list_filter(coalesce(other, []), lambda o: o >= a AND o < a + size)) = 0)) AS n_exact FROM runs LEFT JOIN s USING (r, item, diagonal)),
+g AS (SELECT r, item_id, CASE WHEN consistent THEN {{'n': n, 'exact': exact, 'n_slots': n_values}} ELSE {{'n': n_exact, 'exact': true, 'n_slots': n_same}} END AS best FROM j JOIN bench USING (item) WHERE consistent OR n_exact >= least)
+SELECT d.doc_id, item_id, m.best.n::BIGINT AS n_windows, m.best.n_slots::BIGINT AS n_slots, m.best.exact AS exact
+FROM (SELECT r, item_id, max(best) AS best FROM g GROUP BY ALL) AS m JOIN (SELECT row_number() OVER () AS r, doc_id FROM documents) AS d USING (r)"""

@@ -412,8 +412,9 @@ def test_decontamination_sql(spark, duck):
 def test_decontamination_of_templates(spark, odd, none):
     item = "A train leaves the old station at 9 hours and Alice rides 120 km before Alice meets Bob near the river bank."
     other = item.replace("Alice", "Maria").replace("Bob", "Chen").replace("120", "1,450.5").replace("9", "11").replace("km", "miles")
-    mixed = item.replace("Alice rides", "Maria rides")
-    rows = [(1, "Before it all. " + item + " And after.", "s"), (2, other, "s"), (3, mixed, "s"), (4, "A train leaves the station. Nothing else is the same here at all.", "s"), (5, None, "s"), (6, "", None), (None, item, "s"), (1, item, "s")]
+    mixed = item.replace("Alice rides", "Maria rides").replace("120", "7").replace("Bob", "Chen")
+    joined = item.replace("Alice", "Bob").replace("120", "7")
+    rows = [(1, "Before it all. " + item + " And after.", "s"), (2, other, "s"), (3, mixed, "s"), (4, "A train leaves the station. Nothing else is the same here at all.", "s"), (5, None, "s"), (6, "", None), (None, item, "s"), (1, item, "s"), (8, joined, "s")]
     bench = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (10, ""), (7, item)], "item_id long, text string")
     for limit in (10, 0):
         got = values(decontamination.hits(documents(spark, rows), bench, broadcast_windows=limit), "doc_id", "item_id", "exact")
@@ -421,10 +422,31 @@ def test_decontamination_of_templates(spark, odd, none):
     assert decontamination.hits(documents(spark, rows), bench.limit(0)).count() == 0
     assert decontamination.hits(none, bench).count() == 0 and decontamination.clean(none, bench).count() == 0
     left = decontamination.clean(documents(spark, rows), bench)
-    assert values(left, "doc_id") == [(3,), (4,), (5,), (6,)] and left.columns == documents(spark, rows).columns
+    assert values(left, "doc_id") == [(3,), (4,), (5,), (6,), (8,)] and left.columns == documents(spark, rows).columns
     assert decontamination.clean(odd, bench).count() == len(ODD)
 
 
+def test_decontamination_of_starts_numbers_and_short_items(spark):
+    long = "Alice walks 120 km along the old river bank before noon today. Alice then counts seven boats near the wooden bridge."
+    bench = spark.createDataFrame([(1, long), (2, "Which colour is the sky at noon?"), (3, "How many legs has a spider in total when counted twice?"), (4, "."), (5, long.replace("120", "9"))], "item_id long, text string")
+    rows = [
+        (1, long.replace("Alice", "Maria").replace("120", "ninety").replace("seven", "12"), "s"),
+        (2, "He asked: which colour is the sky at noon? Nobody knew.", "s"),
+        (3, "Which colour is the sky at midnight?", "s"),
+        (4, "So how many legs has a spider in total when counted twice? Sixteen.", "s"),
+        (5, long.lower(), "s"),
+        (6, "and then " + long[0].lower() + long[1:], "s"),
+        (7, "Alice walks 120 km along the old road. Nothing more.", "s"),
+        # one slot differs in two ways, but eleven words and more are the item's own
+        (8, long.replace("Alice then counts seven boats", "Maria then counts seven boats"), "s"),
+        # spelled out in capitals: names all over
+        (9, " ".join(w.capitalize() for w in long.split()), "s"),
+    ]
+    got = values(decontamination.hits(documents(spark, rows), bench), "doc_id", "item_id", "exact")
+    assert [g for g in got if g[1] != 5] == sorted([(1, 1, False), (2, 2, True), (4, 3, True), (5, 1, True), (6, 1, True), (8, 1, True)], key=str)
+    assert {g[0] for g in got if g[1] == 5} == {1, 5, 6}
+
+
 # --- 6 and 8 classifiers -----------------------------------------------------------------------
 
 
