@@ -556,7 +556,7 @@ def test_agenda_of_random_texts(sp):
         assert enc.encode(texts[at : at + 200]) == sp.encode(texts[at : at + 200])
     assert enc.encode(["x" * 5000]) == [sp.encode("x" * 5000)]
     with pytest.raises(AssertionError):
-        enc.compare(["▁the"], [(1,)])
+        enc.compare(["the"], [(1,)])
 
 
 # --- 9 secrets ---------------------------------------------------------------------------------
@@ -619,11 +619,38 @@ def test_ownership_separates_copies_from_credentials(spark):
     assert clean[90] == "mine [SECRET] and [SECRET]" and clean[0] == rows[0][1] and clean[92] == example and clean[93] == "plain"
 
 
-def test_redaction_of_odd_tables(spark, odd, none):
+def test_copies_by_repositories_and_hot_values(spark):
+    often, rare = "Often7Ab8Cd9Ef0Gh1Ij2Kl", "Live7Ab8Cd9Ef0Gh1Ij2Kl"
+    docs = documents(spark, [(n, f"see {often} now", "s1") for n in range(secrets.COPIED_REPOSITORIES)] + [(-1, f"mine {rare}", "s1"), (-2, "plain", "s1")])
+    for hot in (1, 5, 10_000):
+        got = {r.doc_id: (len(r.added), r.n_live, r.n_copied, r.max_repositories, r.max_owners) for r in secrets.scan(docs, hot_repositories=hot).collect()}
+        assert got == {n: (0, 0, 1, secrets.COPIED_REPOSITORIES, 1) for n in range(secrets.COPIED_REPOSITORIES)} | {-1: (1, 1, 0, 1, 1), -2: (0, 0, 0, 0, 0)}
+
+
+def test_secrets_of_long_texts(spark):
+    rng = random.Random(5)
+    words = ["token", "secret=", "passworD", " ", "  ", ":", "=", '"', "'", "abcdef", "AKIA" + "Q" * 18, "deadbeef" * 3, "x", ".", ",", "Zx9-Qw8Er7Ty6Ui5Op4As3", "é", "\n", "t "]
+    texts = ["".join(rng.choice(words) for _ in range(6000)) for _ in range(6)]
+    dump = "\n".join(f"token = {i:032x} {i * i % 9973}" for i in range(16_000))
+    rows = [(n, x, "s") for n, x in enumerate([*texts, dump, dump * 9])]
+    got = {r.doc_id: r for r in secrets.scan(documents(spark, rows)).collect()}
+    for n, x, _ in rows:
+        assert [(s["start"], s["kind"], s["end"]) for s in got[n].base] == plain_spans(x)
+    own = [(m.start(), m.end()) for x in texts[:1] for m in re.finditer("[A-Za-z0-9_-]{20,}", x) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
+    free = [(a, z) for a, z in own if not any(b < z and a < e for b, _, e in plain_spans(texts[0]))]
+    found = secrets.candidates(documents(spark, rows[:1])).first().opaque
+    assert free and [(s["start"], s["end"]) for s in found] == free
+
+
+def test_redaction_of_odd_tables(spark, odd, none, monkeypatch):
     # a run of 3,000 letters a is a hex match
     expected = sorted(((i, "[SECRET]" if i == -7 else x) for i, x, _ in ODD), key=str)
     assert values(secrets.redact(odd), "doc_id", "text") == expected and secrets.redact(odd).columns == odd.columns
     assert secrets.redact(none).count() == 0
+    for keys in (secrets.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_KEYS", keys)
+        again = values(secrets.redact(odd), "doc_id", "text")
+        assert again == expected
     rows = [(1, "a token=abcdefghij z", "s"), (1, "a token=abcdefghij z", "s"), (None, "password: " + "deadbeef" * 4, None), (2, None, "s")]
     assert values(secrets.redact(documents(spark, rows)), "doc_id", "text") == sorted([(1, "a [SECRET] z"), (1, "a [SECRET] z"), (None, "[SECRET]"), (2, None)], key=str)
 
