@@ -26,17 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillgrid-shared-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Folders of tables made in this session, for those who know when they are no longer read.
+made: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quillgrid/{what}-{uuid.uuid4().hex}"
 
@@ -45,6 +51,7 @@ def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Cut the lineage: write ``df`` as Parquet in the shared folder; the table as read back, and its path."""
     spark = df.sparkSession
     path = new_folder(spark, what)
+    made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -144,8 +144,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    share = min(1.0, most_rows / max(1, usable.count()))
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    n = usable.count()
+    # the hash as a number from 0 to 2**63 - 1, so that the share is exact at any size
+    picked = usable if n <= most_rows else usable.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < (most_rows << 63) // n)
     # ``most_rows`` bounds this side
     met = id_and_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")
     return met.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")

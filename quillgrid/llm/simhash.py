@@ -47,8 +47,6 @@ from quillgrid.llm.common import arrow_batches, drop_written, forget, id_and_tex
 BLOCK_ROWS = 1 << 17
 #: Blocks at least, so that small inputs keep several cores busy too.
 LEAST_BLOCKS = 6
-#: Candidates inside larger groups are those of a minimum spanning forest.
-CROWD = 64
 #: Rows and columns of a comparison at most.
 TILE = 512
 #: One of so many texts counts for common shingles; counts from LEAST_COMMON on, MOST_COMMON shingles at most.
@@ -197,19 +195,16 @@ def _forest_of(found: np.ndarray, n: int) -> np.ndarray:
     return found[kept]
 
 
-def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, sizes: np.ndarray | None = None, least_ratio: float = 0.0, every: bool = False) -> np.ndarray:
-    """Links (indices, distance) within the radius; ``second`` follows ``first``, None: a block with itself.
+def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int) -> np.ndarray:
+    """Links (indices, distance) within the radius that connect all nodes which links within the radius connect.
 
-    They are a minimum spanning forest or, with ``every``, all links but those inside tile pairs so dense
-    (more links than rows and columns), or inside groups of more than ``CROWD`` nodes, that a forest of these
-    stands for them. ``sizes`` and ``least_ratio``: no link between
-    nodes whose sizes differ by more.
+    ``second`` follows ``first``, None: a block with itself. They are a minimum spanning forest of all such links.
     """
     n = len(first) + (0 if second is None else len(second))
     left = _tiles(first, 0)
     right = left if second is None else _tiles(second, len(first))
     lows, highs = np.array([t[0] for t in right], np.int64), np.array([t[1] for t in right], np.int64)
-    found, crowded, held = [np.empty((0, 3), np.int64)], [np.empty((0, 3), np.int64)], 0
+    found, held = [np.empty((0, 3), np.int64)], 0
     for i, (low, high, values, indices) in enumerate(left):
         near = np.flatnonzero(np.abs(lows - low) + np.abs(highs - high) <= radius)
         for j in near[near >= i] if second is None else near:
@@ -221,9 +216,6 @@ def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, si
                 hit = np.triu(hit, 1)
             if not hit.any():
                 continue
-            if sizes is not None:
-                a, b = sizes[indices][:, None], sizes[their][None, :]
-                hit &= np.minimum(a, b) >= least_ratio * np.maximum(a, b)
             dense = np.count_nonzero(hit) > len(values) + len(others)
             if dense:
                 spans = np.array(_spanning(distance, hit | hit.T if same else hit, radius, same), np.int64)
@@ -231,29 +223,18 @@ def compare_blocks(first: np.ndarray, second: np.ndarray | None, radius: int, si
             else:
                 x, y = np.nonzero(hit)
             own = np.stack([indices[x], their[y], distance[x, y].astype(np.int64)], axis=1)
-            if every and not dense:
-                found.append(own)
-                continue
-            crowded.append(own)
+            found.append(own)
             held += len(own)
             if held > 1_000_000:
-                crowded = [_forest_of(np.concatenate(crowded), n)]
-                held = len(crowded[0])
-    links = np.concatenate([*found, _forest_of(np.concatenate(crowded), n)])
-    if not every:
-        return links
-    forest = Forest(n)
-    for x, y in links[:, :2].tolist():
-        forest.join(x, y)
-    root = np.fromiter(map(forest.root, range(n)), np.int64, n)
-    many = np.bincount(root, minlength=n)[root[links[:, 0]]] > CROWD
-    return np.concatenate([links[~many], _forest_of(links[many], n)])
-
-
-def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, least_ratio: float = 0.0, every: bool = False) -> DataFrame:
-    """``a, b``: links of distinct ``fp`` under the radius, as ``compare_blocks`` gives them; ``n`` is a node's size."""
+                found = [_forest_of(np.concatenate(found), n)]
+                held = len(found[0])
+    return _forest_of(np.concatenate(found), n)
+
+
+def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+    """``a, b``: links of distinct ``fp`` under the radius, as ``compare_blocks`` gives them."""
     spark = nodes.sparkSession
-    counted = nodes.select("fp", "n", F.bit_count("fp").alias("ones"))
+    counted = nodes.select("fp", F.bit_count("fp").alias("ones"))
     blocks = plan_blocks({r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}, block_rows, least_blocks)
     if not blocks:
         return spark.createDataFrame([], "a long, b long")
@@ -266,20 +247,16 @@ def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blo
             plan[p] = firsts[i], ways, firsts[near[0]], firsts[near[-1] + 1] - 1
     names = ("first", "ways", "low", "high")
     by_count = F.create_map(*[x for p, own in plan.items() for x in (F.lit(p), F.struct(*[F.lit(v).alias(name) for name, v in zip(names, own)]))])
-    blocked = counted.select("fp", "n", by_count[F.col("ones")].alias("own")).select("fp", "n", (F.col("own.first") + F.pmod(F.xxhash64("fp"), F.col("own.ways"))).cast("int").alias("block"), "own.low", "own.high")
-    met = blocked.select("fp", "n", "block", F.explode(F.sequence("low", "high")).alias("other"))
-    sent = met.select(F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), (F.col("block") > F.col("other")).alias("second"), "fp", "n")
+    blocked = counted.select("fp", by_count[F.col("ones")].alias("own")).select("fp", (F.col("own.first") + F.pmod(F.xxhash64("fp"), F.col("own.ways"))).cast("int").alias("block"), "own.low", "own.high")
+    met = blocked.select("fp", "block", F.explode(F.sequence("low", "high")).alias("other"))
+    sent = met.select(F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), (F.col("block") > F.col("other")).alias("second"), "fp")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         forget()
         values = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         second = pdf["second"].to_numpy(bool)
         a, b = values[~second], values[second]
-        sizes = None
-        if least_ratio:
-            n = pdf["n"].to_numpy()
-            sizes = np.concatenate([n[~second], n[second]])
-        found = compare_blocks(a, None if pdf["k"].iloc[0] == pdf["m"].iloc[0] else b, radius, sizes, least_ratio, every)
+        found = compare_blocks(a, None if pdf["k"].iloc[0] == pdf["m"].iloc[0] else b, radius)
         both = np.concatenate([a, b]).view(np.int64)
         return pd.DataFrame({"a": both[found[:, 0]], "b": both[found[:, 1]]})
 

@@ -20,9 +20,9 @@ so what thousands of documents share reaches a partition once a batch; the settl
 by a hash of their own.
 
 Defined results: a null text is empty; texts of fewer than ``least`` words have no passage; a
-passage must occur in two documents: rows that share a doc_id count as one document (so do
-rows of null doc_id) and repeats inside one document alone aren't reported; an empty table gives no
-rows; other columns are ignored.
+passage must occur in two documents. A document is told by its doc_id and text, null ids too: rows with equal ids and other texts are
+documents of their own (their passages are returned side by side under the one doc_id), rows that repeat both are one. Repeats
+inside one document alone aren't reported; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +31,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import arrow_batches, id_and_text, kept, table
 
 LEAST = 50
 BASE = 42
-NULL_ID = -(1 << 63)
 #: Odd, so that it has an inverse modulo 2**64.
 MULTIPLIER = 0x9E3779B97F4A7C15
 MEMO_WORDS = 600_000
@@ -130,13 +129,18 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(equal.all(1), a.shape[1], np.argmin(equal, 1))
 
 
+def document_key() -> Column:
+    """What tells a document inside: its id and text as one number."""
+    return F.xxhash64("doc_id", F.xxhash64("text")).alias("doc_id")
+
+
 def suffixes(docs: DataFrame, least: int, base: int, id_col: str, text_col: str) -> DataFrame:
-    """``hash, key, doc_id, word``: kept suffixes, and (key of 2 bytes: words left and right) settled ones."""
+    """``hash, key, doc_id (the document's key), word``: kept suffixes, and (key of 2 bytes: words left and right) settled ones."""
     span = least - base
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_batches(batches):
-            ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            ids = b.column(0).to_numpy()
             text, word, hashed, right, left = minimisers(b.column(1).to_pylist(), least, base)
             doc = ids[text]
             key = np.concatenate([hashed.astype(">u8").view(np.uint8).reshape(-1, 8), right.astype(">u2").view(np.uint8).reshape(-1, 2 * span), left.astype(">u2").view(np.uint8).reshape(-1, 2 * span)], axis=1)
@@ -161,7 +165,8 @@ def suffixes(docs: DataFrame, least: int, base: int, id_col: str, text_col: str)
                 own = (doc[settled].view(np.uint64) * np.uint64(MULTIPLIER) + word[settled].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
                 yield pa.record_batch([pa.array(own.view(np.int64)), pa.array([x.tobytes() for x in ends], pa.binary()), pa.array(doc[settled], pa.int64()), pa.array(word[settled], pa.int32())], ["hash", "key", "doc_id", "word"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "hash long, key binary, doc_id long, word int")
+    source = id_and_text(docs, id_col, text_col)
+    return source.select(document_key(), "text").mapInArrow(run, "hash long, key binary, doc_id long, word int")
 
 
 def _mix(hashed: np.ndarray, columns: Iterable[np.ndarray]) -> np.ndarray:
@@ -315,8 +320,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, base: int = BASE, id_
     new = F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)
     islands = found.withColumn("reached", reached).withColumn("island", F.sum(new).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     passages = islands.groupBy("doc_id", "island").agg(F.min("start").cast("long").alias("start_word"), F.max("stop").cast("long").alias("end_word"))
-    real = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id")
-    return passages.select(real, "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+    named = id_and_text(docs, id_col, text_col).select(document_key().alias("k"), "doc_id").distinct()
+    found = passages.withColumnRenamed("doc_id", "k").join(named, "k")
+    return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

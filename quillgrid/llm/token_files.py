@@ -60,6 +60,8 @@ class WordEncoder:
     """
 
     SPECIAL, MARK = "<|endoftext|>", "</w>"
+    # Fixed value: the pattern that cuts texts; nothing it matches holds white space.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, by_words: bool = True, memo_words: int = MEMO_WORDS, memo_pieces: int = MEMO_PIECES):
         from tokenizers import Tokenizer
@@ -73,8 +75,16 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
         self.special = self.tokenizer.token_to_id(self.SPECIAL)
         self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(self.MARK) for i in range(n)), bool, n)
-        if by_words and self.special is None:
-            raise ValueError("a tokenizer with a special token and end-of-word marks is needed, or by_words=False")
+        if by_words and (self.special is None or not self._by_words(json.loads(self.tokenizer.to_str()))):
+            raise ValueError("a lower-casing tokenizer without rules across white space, with a special token and end-of-word marks, is needed, or by_words=False")
+
+    def _by_words(self, rules: dict) -> bool:
+        """Whether a text's ids are its words' ids: the normaliser and the pattern are those that this class knows."""
+        normal = [{k: v for k, v in x.items() if k != "type"} | {"kind": x["type"]} for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        known = [{"kind": "NFC"}, {"pattern": {"Regex": r"\s+"}, "content": " ", "kind": "Replace"}, {"kind": "Lowercase"}]
+        cuts = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space")) for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        model = rules["model"]
+        return normal == known and cuts == [("Split", self.PATTERN, "Removed", True, None), ("ByteLevel", None, None, None, False)] and model.get("end_of_word_suffix") == self.MARK and not model.get("dropout")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.wide).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -9,8 +9,8 @@ documents have labels; the likelihood's gradient is shared out among the sentenc
 finds out which of them are to blame. Weights move by AdaGrad with an L1 shrinkage. Three fits on two thirds each score
 the last third; the score that parts the labels best there becomes ``THRESHOLD`` by a shift of all logits.
 
-Labels are learnt from a bounded sample (``SAMPLE_ROWS`` labelled rows by a hash of their id): all rows of the
-rarer label count as they are. Features are taken on the executors, the model is fitted in one task, and weights (a
+Labels are learnt from a bounded sample (``SAMPLE_ROWS`` labelled rows by a hash of their id, both labels alike). Features are
+taken on the executors, each of the four fits is one task over the sample, and weights (a
 table of fixed size) go to every task. All rows are scored, and ``locate`` gives the offending sentences.
 
 Defined results: a null or empty text has no sentence and scores 0; repeated rows and ids are scored alike; a null
@@ -36,6 +36,8 @@ PLACES = 1 << 20
 SAMPLE_ROWS = 12_000
 #: Training passes over the sample until so many documents have been seen: two passes at least, 40 at most.
 STEPS = 72_000
+#: Fits for the shift.
+FOLDS = 3
 LONGEST = 40
 THRESHOLD = 0.3
 #: A sentence offends from this probability on.
@@ -178,6 +180,20 @@ class Bags:
         return np.frombuffer(own.column(2)[row].as_buffer(), "<i4"), np.frombuffer(own.column(3)[row].as_buffer(), "<i4"), label
 
 
+def gradient(at: np.ndarray, sizes: np.ndarray, label: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(distinct places, slopes of the log-likelihood by their weights, slope by the intercept) of one bag."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    p = sigmoid(np.bincount(of, w[at], len(sizes)) + w[-1])
+    none = np.log1p(-np.minimum(p, 1 - 1e-12)).sum()  # log of no sentence being toxic
+    some = -np.expm1(none)
+    # slope by each sentence's logit
+    slope = np.exp(none) * p / max(some, 1e-9) if label else -p
+    move = slope[of]
+    order = np.argsort(at, kind="stable")
+    own, first = np.unique(at[order], return_index=True)
+    return own, np.add.reduceat(move[order], first), float(slope.sum())
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]] | Bags, steps: int = STEPS, places: int = PLACES) -> np.ndarray:
     """Weights, the intercept last."""
     w, g2 = np.zeros(places + 1), np.full(places + 1, 1e-3)
@@ -187,23 +203,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]] | Bags, steps: int = STEP
             at, sizes, label = rows[i]
             if not len(at):
                 continue
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            p = sigmoid(np.bincount(of, w[at], len(sizes)) + w[-1])
-            none = np.log1p(-np.minimum(p, 1 - 1e-12)).sum()  # log of no sentence being toxic
-            some = -np.expm1(none)
-            # slope of the log-likelihood by each sentence's logit
-            slope = np.exp(none) * p / max(some, 1e-9) if label else -p
-            move = slope[of]
-            order = np.argsort(at, kind="stable")
-            own, first = np.unique(at[order], return_index=True)
-            g = np.add.reduceat(move[order], first)
+            own, g, of_intercept = gradient(at, sizes, label, w)
             g2[own] += g * g
             step = RATE / np.sqrt(g2[own])
             new = w[own] + step * g
             w[own] = np.sign(new) * np.maximum(np.abs(new) - step * SHRINK, 0)
-            g = slope.sum()
-            g2[-1] += g * g
-            w[-1] += 0.1 * RATE / np.sqrt(g2[-1]) * g
+            g2[-1] += of_intercept * of_intercept
+            w[-1] += 0.1 * RATE / np.sqrt(g2[-1]) * of_intercept
     return w
 
 
@@ -229,21 +235,23 @@ def best_cut(scores: np.ndarray, labels: np.ndarray) -> float | None:
     return float(np.sqrt(good.max() * good.min())) if len(good) > 1 else float(np.sqrt(good[0] * (below[0] if len(below) else good[0])))
 
 
-def fit_shifted(rows: list[tuple[np.ndarray, np.ndarray, int]] | Bags, folds: int = 3) -> np.ndarray:
-    """Weights, the intercept and the shift (float32)."""
-    n = len(rows)
-    none, labels = np.zeros(n), np.array([rows[i][2] for i in range(n)], np.int64)
-    for k in range(folds):
-        part = fit([rows[i] for i in range(n) if i % folds != k], STEPS // folds)
-        for i in range(k, n, folds):
-            none[i] = nothing_toxic(rows[i], part)
+def fit_part(rows: list[tuple[np.ndarray, np.ndarray, int]] | Bags, k: int, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, log of no toxic sentence, labels): part ``folds`` is the fit on all rows, part k < ``folds`` scores every ``folds``th row by a fit on the others."""
+    if k == folds:
+        return fit(rows).astype(np.float32), np.empty(0), np.empty(0, np.int64)
+    part = fit([rows[i] for i in range(len(rows)) if i % folds != k], STEPS // folds)
+    held = [rows[i] for i in range(k, len(rows), folds)]
+    return np.empty(0, np.float32), np.array([nothing_toxic(x, part) for x in held]), np.array([y for *_, y in held], np.int64)
+
+
+def shift_of(none: np.ndarray, labels: np.ndarray) -> float:
+    """What moves the best cut of held-out scores to ``THRESHOLD``."""
     cut = best_cut(-np.expm1(none), labels)
-    move = 0.0 if cut is None else float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - min(cut, 1 - 1e-9))))
-    return np.append(fit(rows), move).astype(np.float32)
+    return 0.0 if cut is None else float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - min(cut, 1 - 1e-9))))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, fold: int = 2, most_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights fitted in one task on the sample's features."""
+    """Weights fitted on the sample's features: three fits for the shift and one for the weights, a task each."""
     sample = labelled_sample(docs, labels, label_col, folds, fold, most_rows, id_col, text_col)
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +263,24 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
 
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        yield pa.record_batch([pa.array([fit_shifted(Bags(list(batches))).tobytes()], pa.binary())], ["weights"])
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            part, own = b.column(0).to_numpy(), pa.record_batch(b.columns[1:], b.schema.names[1:])
+            for k in np.unique(part).tolist():
+                held.setdefault(k, []).append(own if (part == k).all() else own.filter(pa.array(part == k)))
+        for k, own in held.items():
+            found = fit_part(Bags(own), k)
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in found], ["weights", "none", "labels"])
 
     features = written(sample.mapInArrow(featured, "doc_id long, label int, places binary, sentences binary"), "bags")
-    found = features.repartition(1).mapInArrow(fitted, "weights binary").collect()
-    if found:
-        return np.frombuffer(found[0]["weights"], np.float32)
-    return np.concatenate([np.zeros(PLACES), [INTERCEPT, 0.0]]).astype(np.float32)
+    parts = features.select(F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("part"), "doc_id", "label", "places", "sentences")
+    # the driver gets weights of a fixed size, and a number and a label for each row of the sample
+    found = parts.repartitionByRange(FOLDS + 1, "part").mapInArrow(fitted, "weights binary, none binary, labels binary").collect()
+    weights = [w for r in found if len(w := np.frombuffer(r["weights"], np.float32))]
+    if not weights:
+        return np.concatenate([np.zeros(PLACES), [INTERCEPT, 0.0]]).astype(np.float32)
+    none, known = (np.concatenate([np.frombuffer(r[name], kind) for r in found]) for name, kind in (("none", np.float64), ("labels", np.int64)))
+    return np.append(weights[0], shift_of(none, known)).astype(np.float32)
 
 
 def _scorer(shared: _Shared) -> Scorer:

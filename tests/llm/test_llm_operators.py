@@ -325,10 +325,9 @@ def test_compare_blocks(seed):
     near = np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= radius, 1)
     wanted = groups(range(len(v)), zip(*map(list, np.nonzero(near))))
     cut = len(v) // 2
-    for every in (False, True):
-        links = [tuple(x) for part, at in ((simhash.compare_blocks(v[:cut], None, radius, every=every), 0), (simhash.compare_blocks(v[cut:], None, radius, every=every), cut)) for x in (part[:, :2] + at).tolist()]
-        links += [tuple(x) for x in simhash.compare_blocks(v[:cut], v[cut:], radius, every=every)[:, :2].tolist()]
-        assert groups(range(len(v)), links) == wanted
+    links = [tuple(x) for part, at in ((simhash.compare_blocks(v[:cut], None, radius), 0), (simhash.compare_blocks(v[cut:], None, radius), cut)) for x in (part[:, :2] + at).tolist()]
+    links += [tuple(x) for x in simhash.compare_blocks(v[:cut], v[cut:], radius)[:, :2].tolist()]
+    assert groups(range(len(v)), links) == wanted
 
 
 def test_blocks_cover_all_counts():
@@ -358,7 +357,7 @@ def random_words(rng, n):
 
 
 def test_keep_one_of_large_groups(spark, monkeypatch):
-    """Groups of over CROWD near copies, of which some pairs pass and others don't; also in several blocks."""
+    """Large groups of near copies, of which some pairs pass and others don't; also in several blocks."""
     rng = np.random.default_rng(3)
     docs = []
     for _ in range(3):
@@ -515,6 +514,124 @@ def test_ftrl_learns_a_line():
     assert w[1] > 0.5 > -0.5 > w[0] and abs(w[2:52]).max() < 0.5
 
 
+def plain_ftrl(rows, epochs, alpha=0.3, beta=1.0, l1=0.02, l2=1e-4):
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        sign = 1 if z[i] > 0 else -1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - sign * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            at, shares, y = rows[k]
+            x = [*zip(at.tolist(), shares.tolist()), (quality.PLACES, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - y) * v
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_ftrl_and_scores_by_plain_versions():
+    texts = [(x, y) for (i, x, *_), y in zip(source()[:150], [0, 1, 1] * 50) if x]
+    rows = [(at, v, y) for (at, v), (_, y) in zip(quality.examples([x for x, _ in texts]), texts)]
+    w = quality.fit(rows, epochs=2)
+    plain = plain_ftrl(rows, 2)
+    assert len(plain) > 1000 and max(abs(w[i] - v) for i, v in plain.items()) < 1e-6
+    assert np.count_nonzero(w) == sum(1 for v in plain.values() if np.float32(v))
+    got = quality.scores([x for x, _ in texts], w)
+    for (at, v, _), s in zip(rows, got):
+        assert abs(1 / (1 + np.exp(-(sum(float(w[i]) * a for i, a in zip(at, v)) + float(w[-1])))) - s) < 1e-6
+    assert abs(quality.scores([""], w)[0] - 1 / (1 + np.exp(-float(w[-1])))) < 1e-9
+
+
+def plain_sentences(text):
+    """Words of each sentence, a word that repeats the one before left out."""
+    out = []
+    for line in text.split("\n"):
+        own = []
+        for w in line.split():
+            own.append(w)
+            if w[-1] in ".!?" or len(own) == toxicity.LONGEST:
+                out.append(own)
+                own = []
+        out += [own] if own else []
+    return [[w for k, w in enumerate(s) if not k or s[k - 1] != w] for s in out]
+
+
+def test_noisy_or_by_plain_versions():
+    rng = np.random.default_rng(3)
+    weights = np.append(rng.normal(0, 0.7, toxicity.PLACES), [-4.0, 0.8]).astype(np.float32)
+    texts = [r[1] for r in source()[:80]] + ["", "so. so so! no\nyes"]
+    got, _ = toxicity.Scorer(weights).documents(texts)
+    for text, found in zip(texts, got):
+        none = 0.0
+        for s in plain_sentences(text):
+            logit = float(weights[-2]) + sum(float(weights[p]) for w in s for p in toxicity.places_of(w))
+            none += np.log1p(-1 / (1 + np.exp(-np.clip(logit, -35, 35))))
+        some = 1 - np.exp(none)
+        wanted = 1 / (1 + np.exp(-(np.log(some / np.exp(none)) + 0.8))) if some > 1e-12 and none > -30 else found
+        assert abs(found - wanted) < 1e-5
+    # slopes against differences of the log-likelihood
+    bag = toxicity.bags(["bad words here. fine words there! all of it. words"], toxicity.Vocabulary())[0]
+    w = np.zeros(toxicity.PLACES + 1)
+    w[:-1] = weights[:-2]
+    w[-1] = -1.0
+
+    def likelihood(label):
+        none = toxicity.nothing_toxic((*bag, label), w)
+        return np.log(-np.expm1(none)) if label else none
+
+    for label in (0, 1):
+        own, g, of_intercept = toxicity.gradient(*bag, label, w)
+        for place, slope in [*zip(own.tolist(), g.tolist()), (len(w) - 1, of_intercept)]:
+            w[place] += 1e-6
+            high = likelihood(label)
+            w[place] -= 2e-6
+            low = likelihood(label)
+            w[place] += 1e-6
+            assert abs((high - low) / 2e-6 - slope) < 1e-6
+
+
+def test_whole_sample_is_learnt_from_where_it_is_small(spark):
+    docs = documents(spark, [(i, f"text {i}", "s") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    for most in (10_000, 100):
+        found = quality.labelled_sample(docs, labels, "quality", 5, 0, most).count()
+        assert found == sum(1 for i in range(400) if not in_fold(i, 5, 0)) if most > 400 else 60 <= found <= 140
+
+
+def test_unsuitable_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({"a": 0, "b</w>": 1, "<|endoftext|>": 2}, [], end_of_word_suffix="</w>"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        tokens.WordEncoder(str(tmp_path / "t.json"))
+    assert tokens.WordEncoder(str(tmp_path / "t.json"), by_words=False).by_words is False
+
+
+def test_no_private_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
 def test_sentence_cuts():
     v = toxicity.Vocabulary()
     numbers, again, starts, edges = v.cut(["one two. Three\nfour four five", "", " ".join(["w"] * 41 + ["x"]), "a!"])
@@ -711,7 +828,13 @@ def test_passages_of_odd_tables(spark, odd, none):
     text = " ".join(f"x{k}" for k in range(70))
     rows = [(None, text, "s"), (None, text, "s"), (1, text.upper(), "s"), (2, "y " + text + " z", None), (2, text, "s")]
     got = values(suffixes.repeated_passages(documents(spark, rows)), "doc_id", "start_word", "end_word")
-    assert got == sorted([(None, 0, 70), (1, 0, 70), (2, 0, 71)], key=str)
+    assert got == sorted([(None, 0, 70), (1, 0, 70), (2, 1, 71), (2, 0, 70)], key=str)
+    # two texts of one id are documents of their own
+    shared, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    filler = " ".join(f"f{k}" for k in range(40))
+    rows = [(1, shared, "s"), (1, f"{filler} {other}", "s"), (2, shared, "s"), (3, other, "s"), (None, shared, "s"), (None, f"x {shared}", "s")]
+    got = values(suffixes.repeated_passages(documents(spark, rows)), "doc_id", "start_word", "end_word")
+    assert got == sorted([(1, 0, 60), (1, 40, 100), (2, 0, 60), (3, 0, 60), (None, 0, 60), (None, 1, 61)], key=str)
 
 
 # --- the pipeline ------------------------------------------------------------------------------
