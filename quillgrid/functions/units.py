@@ -42,9 +42,9 @@ def unit_table(spark: SparkSession, units: tuple[tuple[str, str, str], ...] = UN
 def normalise(candidates: DataFrame, units: DataFrame, value: str = "value", raw_unit: str = "raw_unit") -> DataFrame:
     """``value`` and ``unit`` in the canonical unit; an unknown unit keeps the value and gets a null ``unit``.
 
-    The unit table is small by nature (its rows are written by hand) and broadcast.
+    The unit table is small by nature (its rows are written by hand), so Spark broadcasts it.
     """
-    known = F.broadcast(units.select(F.col("raw_unit").alias("_raw"), F.col("canonical_unit").alias("_unit"), "factor"))
+    known = units.select(F.col("raw_unit").alias("_raw"), F.col("canonical_unit").alias("_unit"), "factor")
     joined = candidates.drop("unit").join(known, F.col(f"`{raw_unit}`") == F.col("_raw"), "left")
     scaled = (F.col(f"`{value}`").cast("decimal(28,6)") * F.coalesce(F.col("factor"), F.lit(Decimal(1)))).cast("decimal(28,6)")
     return joined.withColumn(value, scaled).withColumn("unit", F.col("_unit")).drop("_raw", "_unit", "factor")

@@ -28,6 +28,17 @@ def search(docs: DataFrame, term: str, id_col: str = "doc_id", text_col: str = "
     return hits.select(id_col, F.instr(F.col(text_col), term).cast("long").alias("pos"), C.fragment(F.col(text_col), term, before, after).alias("fragment"))
 
 
+def search_all(parts: list[DataFrame], term: str) -> DataFrame:
+    """Rows of all parts (equal columns, one of them ``text``) whose text holds the term."""
+    if not term:
+        raise ValueError("an empty search term")
+    out: DataFrame | None = None
+    for part in parts:
+        hits = part.where(F.contains("text", F.lit(term)))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def evidence_chain(results: DataFrame, evidence: DataFrame, key: str, rank: Column, fields: list[str]) -> DataFrame:
     """``results`` with ``chain``: an ordered array of evidence, empty where a result has none."""
     chains = evidence.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), *fields))).alias("chain"))
@@ -58,9 +69,22 @@ def complete_years(reports: DataFrame, company: str, year: str, wanted: list[int
 
 
 def compare(values: DataFrame, within: list[str], value: str = "value") -> DataFrame:
-    """``values`` with ``rank`` and the set's size and share: companies in one year and unit."""
+    """``values`` with ``rank`` and the set's size: companies in one year and unit.
+
+    A set is ranked in steps of its values (sixteen to each doubling), so that a large one isn't one task: a row's rank is the
+    number of rows in higher steps, a small table, and its rank in its own step.
+    """
+    size = F.log2(F.abs(F.col(value).cast("double")) + 1) * 16
+    stepped = values.withColumn("compare_step", F.floor(F.when(F.col(value) < 0, -size).otherwise(size)).cast("long"))
+    counts = stepped.groupBy(*within, "compare_step").agg(F.count("*").alias("compare_n"))
     own = Window.partitionBy(*within)
-    return values.withColumn("rank", F.rank().over(own.orderBy(F.col(value).desc())).cast("long")).withColumn("n_compared", F.count("*").over(own))
+    higher = F.sum("compare_n").over(own.orderBy(F.col("compare_step").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.withColumn("compare_higher", F.coalesce(higher, F.lit(0))).withColumn("n_compared", F.sum("compare_n").over(own))
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*within, "compare_step")]
+    joined = stepped.alias("v").join(placed.alias("p"), same).select("v.*", "p.compare_higher", "p.n_compared")
+    rank = F.rank().over(Window.partitionBy(*within, "compare_step").orderBy(F.col(value).desc()))
+    ranked = joined.withColumn("rank", (rank + F.col("compare_higher")).cast("long"))
+    return ranked.select(*[f"`{c}`" for c in values.columns], "rank", "n_compared")
 
 
 def mixed_units(series: DataFrame, keys: list[str], unit: str) -> DataFrame:

@@ -16,16 +16,27 @@ from quillgrid.operators.files import failed_rules
 from quillgrid.schemas import REPORT_TYPES
 
 
-def robots_verdict(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """``urls`` with ``robots_allowed``: the rule of the longest prefix of the path decides, allow before disallow.
+def robots_verdict(urls: DataFrame, rules: DataFrame, url_col: str = "url", agent: str = "*") -> DataFrame:
+    """``urls`` with ``robots_allowed``: the longest rule that matches the path decides, allow before disallow.
 
-    ``rules``: ``host, prefix, allow``. Joined on the host (an equality, so no nested loop), then by prefix.
+    ``rules``: ``host, prefix, allow`` and, if there are any, ``agent``: a host's rules for ``agent`` stand for its rules for all (``*``).
+    In a prefix ``*`` stands for any characters and a ``$`` at its end for the end of the path. Joined on the host (an equality, so
+    no nested loop), then by the rule.
     """
-    keyed = urls.select(F.col(url_col)).distinct().withColumn("_host", C.host(F.col(url_col))).withColumn("_path", C.url_path(F.col(url_col)))
-    own = rules.select(F.lower("host").alias("_host"), "prefix", "allow")
-    met = keyed.join(own, "_host").where(F.col("_path").startswith(F.col("prefix")))
-    verdict = met.groupBy(url_col).agg(F.max(F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow"))).alias("best"))
-    return urls.join(verdict, url_col, "left").withColumn("robots_allowed", F.coalesce(F.col("best.allow"), F.lit(True))).drop("best")
+    keyed = urls.select(F.col(url_col).alias("robots_url")).distinct().select("robots_url", C.host(F.col("robots_url")).alias("robots_host"), C.url_path(F.col("robots_url")).alias("robots_path"))
+    whose = F.lower(F.coalesce("agent", F.lit("*"))) if "agent" in rules.columns else F.lit("*")
+    own = rules.select(F.lower("host").alias("robots_host"), "prefix", "allow", whose.alias("of_agent")).where(F.col("of_agent").isin("*", agent.lower()) & (F.length("prefix") > 0))
+    ends = F.col("prefix").endswith("$")
+    body = F.when(ends, F.regexp_replace("prefix", r"\$$", "")).otherwise(F.col("prefix"))
+    quoted = F.regexp_replace(F.regexp_replace(body, r"([\\.\[\]{}()+?^$|])", r"\\$1"), r"\*", ".*")
+    own = own.withColumn("rule", F.concat(F.lit("(?s)^"), quoted, F.when(ends, "$").otherwise("")))
+    named = own.where(F.col("of_agent") != "*").select("robots_host").distinct()
+    own = own.where(F.col("of_agent") != "*").unionByName(own.where(F.col("of_agent") == "*").join(named, "robots_host", "left_anti").select(own.columns))
+    plain = ~F.col("prefix").rlike(r"[*]|\$$")
+    met = keyed.join(own, "robots_host").where(F.when(plain, F.col("robots_path").startswith(F.col("prefix"))).otherwise(F.rlike("robots_path", F.col("rule"))))
+    verdict = met.groupBy("robots_url").agg(F.max(F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow"))).alias("robots_best"))
+    joined = urls.join(verdict, F.col(url_col) == F.col("robots_url"), "left").withColumn("robots_allowed", F.coalesce(F.col("robots_best.allow"), F.lit(True)))
+    return joined.drop("robots_best", "robots_url")
 
 
 def paced(urls: DataFrame, delay_seconds: float, url_col: str = "url") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import columns as C
@@ -24,15 +24,31 @@ def valued(docs: DataFrame, units: list[str], id_col: str = "doc_id", text_col:
     return hits.select(id_col, F.regexp_extract(text_col, pattern, 1).alias("raw_value"), F.regexp_extract(text_col, pattern, 2).alias("raw_unit"))
 
 
+#: A catalogue is written by hand; more rows than this are a mistake.
+MOST_INDICATORS = 2000
+
+
 def by_catalogue(lines: DataFrame, catalogue: DataFrame, source_type: str = "rule", confidence: str = "0.9000") -> DataFrame:
-    """Candidates of each page line by each indicator's pattern (group 1 the value, group 2 the unit).
+    """Candidates of each page line by each indicator's pattern (group 1 the value, group 2 the unit), all hits of a line.
 
-    The catalogue has some eighty rows and is broadcast; a pattern is a column, so one pass serves all indicators.
+    The patterns become constants of one projection; a pattern of all of them leaves out lines that none can hit.
     """
-    met = lines.crossJoin(F.broadcast(catalogue.select("indicator_id", "canonical_unit", "pattern"))).where(F.expr("text rlike pattern"))
-    raw, unit = F.expr("regexp_extract(text, pattern, 1)"), F.expr("regexp_extract(text, pattern, 2)")
+    known = [(r["indicator_id"], r["pattern"]) for r in catalogue.select("indicator_id", "pattern").where("pattern is not null").orderBy("indicator_id").limit(MOST_INDICATORS + 1).collect()]
+    if len(known) > MOST_INDICATORS:
+        raise ValueError(f"a catalogue of over {MOST_INDICATORS} indicators")
+    kind = "array<struct<indicator_id:string,hit_no:int,raw:string,raw_of:string>>"
+
+    def hits(indicator: str, pattern: str) -> Column:
+        cut = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "raw"), (2, "unit"))])
+        found = F.transform(cut, lambda x, i: F.struct(F.lit(indicator).alias("indicator_id"), i.alias("hit_no"), x["raw"].alias("raw"), x["unit"].alias("raw_of")))
+        return F.when(F.col("text").rlike(pattern), found).otherwise(F.array().cast(kind))
+
+    some = F.col("text").rlike("|".join(f"(?:{p})" for _, p in known)) if known else F.lit(False)
+    every = F.flatten(F.array(*[hits(*x) for x in known])) if known else F.array().cast(kind)
+    met = lines.where(some).select("report_id", "page", "line_no", "text", F.inline(every))
+    raw, unit = F.col("raw"), F.col("raw_of")
     return met.select(
-        F.sha2(F.concat_ws("|", "report_id", "indicator_id", "page", "line_no", F.lit(source_type)), 256).alias("candidate_id"),
+        F.sha2(F.concat_ws("|", "report_id", "indicator_id", "page", "line_no", "hit_no", F.lit(source_type)), 256).alias("candidate_id"),
         "report_id",
         "indicator_id",
         raw.alias("raw_value"),
@@ -51,15 +67,16 @@ def open_slots(slots: DataFrame, candidates: DataFrame) -> DataFrame:
     return slots.join(candidates.where("value is not null").select("report_id", "indicator_id").distinct(), ["report_id", "indicator_id"], "left_anti")
 
 
-def layered(slots: DataFrame, layers: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def layered(slots: DataFrame, layers: list[Callable[[DataFrame], DataFrame]], keep: Callable[[DataFrame, int], DataFrame] = lambda found, k: found) -> DataFrame:
     """Candidates of all layers; each layer is called with the slots that those before have left open.
 
     The open slots are filtered before a layer's extractor: an expression around a Python function would run it on every row.
+    ``keep`` stores a layer's candidates and reads them back, so that a dear layer runs once.
     """
     found: DataFrame | None = None
     left = slots
-    for layer in layers:
-        own = layer(left)
+    for k, layer in enumerate(layers):
+        own = keep(layer(left), k)
         found = own if found is None else found.unionByName(own)
         left = open_slots(left, own)
     return found

@@ -16,7 +16,7 @@ def guard(candidates: DataFrame, pages: DataFrame, catalogue: DataFrame, reports
     ``pages``: ``report_id, page, text``. All joins are outer: a candidate never disappears, it gets a flag.
     """
     own = pages.select("report_id", "page", F.col("text").alias("_page"))
-    kinds = F.broadcast(catalogue.select("indicator_id", F.col("canonical_unit").alias("_unit"), F.col("kind").alias("_kind")))
+    kinds = catalogue.select("indicator_id", F.col("canonical_unit").alias("_unit"), F.col("kind").alias("_kind"))
     years = reports.select("report_id", F.col("report_year").alias("_year"))
     joined = candidates.join(own, ["report_id", "page"], "left").join(kinds, "indicator_id", "left").join(years, "report_id", "left")
     value_year = F.regexp_extract("fragment", "(19|20)[0-9]{2}", 0)
@@ -48,6 +48,25 @@ def accept(guarded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def disclosure(results: DataFrame, reports: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``report_id, indicator_id, disclosure_status`` of every slot of the grid report x catalogue."""
-    grid = reports.select("report_id").crossJoin(F.broadcast(catalogue.select("indicator_id")))
+    grid = reports.select("report_id").crossJoin(catalogue.select("indicator_id"))
     own = results.select("report_id", "indicator_id", F.col("disclosure_status").alias("_s")).dropDuplicates(["report_id", "indicator_id"])
     return grid.join(own, ["report_id", "indicator_id"], "left").select("report_id", "indicator_id", F.coalesce("_s", F.lit("not_disclosed")).alias("disclosure_status"))
+
+
+def with_undisclosed(results: DataFrame, slots: DataFrame) -> DataFrame:
+    """``results`` and, for each slot (``report_id, indicator_id``) that has none, a row without a value."""
+    open_ = slots.join(results.select("report_id", "indicator_id").distinct(), ["report_id", "indicator_id"], "left_anti")
+    own = {
+        "result_id": F.sha2(F.concat_ws("|", "report_id", "indicator_id"), 256),
+        "report_id": F.col("report_id"),
+        "indicator_id": F.col("indicator_id"),
+        "disclosure_status": F.lit("not_disclosed"),
+        "review_status": F.lit("no_candidate"),
+    }
+    return results.unionByName(open_.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in results.schema.fields]))
+
+
+def reviewed(results: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``results`` with the status of their latest review, where one was appended."""
+    last = reviews.groupBy("result_id").agg(F.max(F.struct("ts", "reviewer", "review_status")).alias("last")).select("result_id", F.col("last.review_status").alias("of_review"))
+    return results.join(last, "result_id", "left").withColumn("review_status", F.coalesce("of_review", "review_status")).select(*results.columns)

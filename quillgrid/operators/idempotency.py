@@ -13,6 +13,12 @@ def difference(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
+def latest_runs(rows: DataFrame, runs: DataFrame, key: str, run: str = "run_id", ts: str = "ts") -> DataFrame:
+    """Rows of each key's latest run; a run without rows leaves none, and rows of runs that aren't listed don't count."""
+    last = runs.groupBy(key).agg(F.max(F.struct(ts, run)).alias("last")).select(key, F.col(f"last.{run}").alias(run))
+    return rows.join(last, [key, run], "left_semi")
+
+
 def by_key(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, state``: same, changed, added or removed, of the natural keys of two runs (each unique)."""
     values = [c for c in first.columns if c not in keys]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillgrid.catalogue import rows as catalogue_rows
+
 YEAR = "year(o_orderdate)::BIGINT"
 TYPE = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'ESG' WHEN '2' THEN 'SD' WHEN '3' THEN 'CSR' WHEN '4' THEN 'ENV' WHEN '5' THEN 'OTHER' END"
 REPORTS = f"""reports AS (SELECT o_orderkey AS report_id, o_custkey AS company_id, {YEAR} AS report_year, {TYPE} AS report_type,
@@ -42,8 +44,8 @@ WHERE r = 1 AND file_sha256 NOT IN (SELECT file_sha256 FROM d WHERE source = 'sr
     "q07_result_page": f"WITH {NAMED} SELECT {NAMED_COLUMNS} FROM named WHERE y = 1998 ORDER BY value DESC, report_id, line, part, supplier, company LIMIT 25 OFFSET 50",
     "q08_evidence": "SELECT doc_id, source, quality::BIGINT AS quality, toxic::BIGINT AS toxic, quality IS NOT NULL AS has_evidence FROM documents LEFT JOIN labels USING (doc_id)",
     "q09_search": """
-SELECT doc_id, p AS pos, substr(text, greatest(p - 30, 1), p - greatest(p - 30, 1) + 5 + 30) AS fragment
-FROM (SELECT doc_id, text, strpos(text, 'token')::BIGINT AS p FROM documents) WHERE p > 0""",
+SELECT doc_id, p AS pos, substr(text, greatest(p - 30, 1), p - greatest(p - 30, 1) + 4 + 30) AS fragment
+FROM (SELECT doc_id, text, strpos(text, 'that')::BIGINT AS p FROM documents) WHERE p > 0""",
     "q10_best_candidate": """
 SELECT l_orderkey AS report_id, l_linenumber::BIGINT AS line, l_returnflag AS source_type, l_discount AS confidence, l_quantity AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_discount DESC, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem)
@@ -137,4 +139,45 @@ SELECT ['rule', 'table', 'model'][own + 1] AS source_type, count(*) AS n FROM k
 WITH {VALUES}, y AS (SELECT indicator, unit, company_id, sum(value) AS value FROM vals GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY indicator, unit ORDER BY value DESC, company_id) AS place FROM y)
 SELECT indicator, unit, place, company_id, value::DOUBLE AS value FROM r WHERE place <= 3""",
+    "q40_store": f"""
+WITH {REPORTS}
+SELECT 'reports' AS name, report_year, CASE WHEN report_year >= 1998 THEN 'R' ELSE status END AS status, count(*) AS n FROM reports GROUP BY ALL
+UNION ALL SELECT 'copied', report_year, status, count(*) FROM reports WHERE report_year <= 1998 OR report_year > 2000 GROUP BY ALL""",
+    "q41_second_run": """
+SELECT l_orderkey AS report_id, CASE WHEN l_orderkey % 2 = 1 THEN 'b' ELSE 'a' END AS run_id, count(*) AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS value
+FROM lineitem WHERE l_orderkey % 2 = 0 OR l_quantity > 40 GROUP BY ALL""",
+    "q42_time_out": f"""
+WITH {JOBS}, l AS (SELECT job_id, arg_max(state, (ts, event_id)) AS state, min(ts) FILTER (state = 'running') AS started, max(event_id) AS last FROM jobs GROUP BY 1)
+SELECT job_id, last + 1 AS event_id, 'timed_out' AS state, '2024-01-30 23:58:00' AS ts, 'over 7200 s' AS reason FROM l
+WHERE state NOT IN ('succeeded', 'failed', 'timed_out') AND floor(epoch(TIMESTAMP '2024-01-30 23:58:00')) - floor(epoch(started)) > 7200""",
+    "q43_layers": """
+WITH i AS (SELECT l_orderkey AS r, l_linenumber AS n, l_returnflag AS f, CASE WHEN l_quantity >= 10 THEN l_quantity::DECIMAL(18,2) END AS v FROM lineitem),
+rules AS (SELECT * FROM i WHERE f = 'N'), a AS (SELECT DISTINCT r, n FROM rules WHERE v IS NOT NULL),
+tables AS (SELECT * FROM i WHERE f = 'R' AND (r, n) NOT IN (SELECT (r, n) FROM a)), b AS (SELECT r, n FROM a UNION SELECT r, n FROM tables WHERE v IS NOT NULL),
+models AS (SELECT * FROM i WHERE f = 'A' AND (r, n) NOT IN (SELECT (r, n) FROM b))
+SELECT s AS source_type, count(*) AS n, count(v) AS n_usable, sum(v)::DOUBLE AS value FROM (SELECT 'rule' AS s, v FROM rules UNION ALL SELECT 'table', v FROM tables UNION ALL SELECT 'model', v FROM models) GROUP BY 1""",
+    "q44_catalogue_hits": """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+c AS (SELECT * FROM (VALUES ('W1', '(?:^| )the ([a-z]+) (of|and)(?: |$)'), ('W2', '(?:^| )(?:in|en) ([a-z]+) (to|de|the)(?: |$)'), ('W3', '([0-9][0-9,]*) ?([a-z]+)'), ('W4', '(?:^| )(is|was)()(?: |$)')) AS x(id, p)),
+h AS (SELECT doc_id, id, unnest(regexp_extract_all(t, p, 1)) AS v, unnest(regexp_extract_all(t, p, 2)) AS u FROM l, c WHERE regexp_matches(t, p))
+SELECT doc_id AS report_id, id AS indicator_id, count(*) AS n, count(*) AS n_candidates, min(v) AS least_value, max(u) AS largest_unit, count(try_cast(replace(v, ',', '') AS DECIMAL(28,6))) AS n_numbers FROM h GROUP BY ALL""",
+    "q45_guard": """
+WITH c AS (SELECT doc_id, text, doc_id % 4 AS k, CASE WHEN doc_id % 4 = 1 THEN 'no such words' ELSE substr(text, 1, 30) END AS f, CASE WHEN doc_id % 4 = 2 THEN '#' ELSE substr(text, 3, 2) END AS v FROM documents),
+r AS (SELECT doc_id, list_filter([CASE WHEN NOT contains(text, f) THEN 'no_fragment' END, CASE WHEN NOT contains(f, v) THEN 'no_value' END, CASE WHEN k = 3 THEN 'no_unit' END,
+  CASE WHEN regexp_extract(f, '(19|20)[0-9]{2}') NOT IN ('', '2024') THEN 'other_year' END], lambda x: x IS NOT NULL) AS flags FROM c)
+SELECT doc_id AS report_id, array_to_string(flags, '+') AS risk_flags, CASE WHEN len(flags) > 0 THEN 'candidate_found' WHEN doc_id % 3 = 0 THEN 'auto_verified_high' ELSE 'auto_verified_medium' END AS review_status FROM r""",
+    "q46_catalogue": f"""
+WITH k AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{p}', '{kind}')" for i, p, kind, *_ in catalogue_rows())}) AS x(i, pillar, kind)),
+o AS (SELECT DISTINCT o_custkey AS c, 'E' || lpad((o_custkey % 37 + 1)::VARCHAR, 2, '0') AS i FROM orders)
+SELECT pillar, kind, CASE WHEN o.c IS NULL THEN 'not_disclosed' ELSE 'disclosed' END AS disclosure_status, count(*) AS n FROM customer CROSS JOIN k LEFT JOIN o ON o.c = c_custkey AND o.i = k.i GROUP BY ALL""",
+    "q47_reviews": """
+WITH v AS (SELECT event_id % 500 AS id, arg_max(CASE event_type WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'auto_verified_high' ELSE 'candidate_found' END, (ts, user_id::VARCHAR)) AS s FROM events GROUP BY 1)
+SELECT coalesce(s, 'candidate_found') AS review_status, count(*) AS n FROM orders LEFT JOIN v ON id = o_orderkey GROUP BY 1""",
+    "q48_search_all": """
+SELECT 'company' AS kind, c_custkey AS id FROM customer WHERE contains(c_name, 're') UNION ALL SELECT 'indicator', p_partkey FROM part WHERE contains(p_name, 're')
+UNION ALL SELECT 'address', page_id FROM pages WHERE contains(url, 're') UNION ALL SELECT 'text', doc_id FROM documents WHERE contains(text, 're')""",
+    "q49_robots_patterns": f"""
+WITH p AS (SELECT page_id, {HOST} AS host, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)),
+m AS (SELECT page_id, CASE WHEN regexp_matches(path, '^/de/.*7$') THEN [7, 0] END AS a, CASE WHEN starts_with(path, '/en') THEN [4, 1] END AS b, CASE WHEN regexp_matches(path, '^/.*5') THEN [3, 0] END AS c, host FROM p)
+SELECT page_id, CASE WHEN host IS NULL THEN true WHEN NOT ends_with(host, '.com') THEN false ELSE coalesce(list_sort(list_filter([a, b, c], lambda x: x IS NOT NULL), 'DESC')[1][2] = 1, true) END AS robots_allowed FROM m""",
 }

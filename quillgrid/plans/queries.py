@@ -12,13 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgrid import schemas as S
+from quillgrid.catalogue import catalogue as built_in
 from quillgrid.functions import columns as C
 from quillgrid.functions import units as U
 from quillgrid.operators import analytics as A
 from quillgrid.operators import collect, extract, files, guard, idempotency, jobs
 from quillgrid.operators.export import csv_line
 from quillgrid.sources import documents as D
-from quillgrid.sources.tables import table
+from quillgrid.sources.tables import Store, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +34,7 @@ def query(f: Query) -> Query:
 #: Fixed stand-in: a report type for each priority.
 TYPE_OF_PRIORITY = {"1": "ESG", "2": "SD", "3": "CSR", "4": "ENV", "5": "OTHER"}
 DOMAINS = ("example.com", "example.org")
-SEARCH_TERM = "token"
+SEARCH_TERM = "that"
 
 
 def _report_type(priority: Column) -> Column:
@@ -473,3 +475,133 @@ def q39_best_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = values(spark, sf_dir).groupBy("indicator", "unit", "company_id").agg(F.sum("value").alias("value"))
     place = F.row_number().over(Window.partitionBy("indicator", "unit").orderBy(F.col("value").desc(), "company_id"))
     return own.withColumn("place", place.cast("long")).where("place <= 3").select("indicator", "unit", "place", "company_id", *_double("value"))
+
+
+@query
+def q40_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports read through the store: the runtime's stand for the seed's, and a copied seed counts once."""
+    r = reports(spark, sf_dir).select("report_id", "company_id", "report_year", "status")
+    store = Store(spark, scratch(spark, "seed"), scratch(spark, "runtime"))
+    for name in ("reports", "copied"):
+        r.where("report_year <= 1998").write.parquet(f"{store.seed}/{name}")
+    store.append(r.where("report_year >= 1998").withColumn("status", F.lit("R")), "reports")
+    store.initialise("copied", r.schema)
+    store.append(r.where("report_year > 2000"), "copied")
+    count = lambda name, df: df.groupBy(F.lit(name).alias("name"), "report_year", "status").agg(F.count("*").alias("n"))
+    return count("reports", store.read("reports", r.schema, "report_id")).unionByName(count("copied", store.read("copied", r.schema, "report_id")))
+
+
+@query
+def q41_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of each report's latest run: a second run of odd reports keeps large values alone, so some reports have none."""
+    store = Store(spark, scratch(spark, "seed"), scratch(spark, "runtime"))
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("value"))
+    runs = own.select("report_id").distinct()
+    again = F.col("report_id") % 2 == 1
+    for name, rows, listed, hour in (("a", own, runs, "00"), ("b", own.where(again & (F.col("value") > 40)), runs.where(again), "01")):
+        store.append(rows.withColumn("run_id", F.lit(name)), "results")
+        store.append(listed.select(F.lit(name).alias("run_id"), "report_id", F.lit(f"2024-01-01 {hour}:00:00").cast("timestamp_ntz").alias("ts")), "runs")
+    store.append(own.withColumn("run_id", F.lit("c")), "results")  # a run that was never published
+    found = idempotency.latest_runs(spark.read.parquet(f"{store.runtime}/results"), spark.read.parquet(f"{store.runtime}/runs"), "report_id")
+    return found.groupBy("report_id", "run_id").agg(F.count("*").alias("n"), F.sum(A.dec(F.col("value"))).cast("double").alias("value"))
+
+
+@query
+def q42_time_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that end jobs which started over 7,200 seconds ago and aren't finished."""
+    own = job_events(spark, sf_dir).select("job_id", "event_id", "state", "ts")
+    return jobs.time_out(own, "2024-01-30 23:58:00").select("job_id", "event_id", "state", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "reason")
+
+
+@query
+def q43_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of three layers, each asked for the slots that those before have left open, stored once each."""
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("indicator_id"), "l_returnflag", A.dec(F.col("l_quantity")).alias("value"))
+    store = Store(spark, scratch(spark, "seed"), scratch(spark, "runtime"))
+
+    def layer(flag: str, name: str) -> Callable[[DataFrame], DataFrame]:
+        # a layer finds a value only where it is 10 or more
+        return lambda open_: i.where(F.col("l_returnflag") == flag).join(open_, ["report_id", "indicator_id"], "left_semi").select("report_id", "indicator_id", F.lit(name).alias("source_type"), F.when(F.col("value") >= 10, F.col("value")).alias("value"))
+
+    def keep(found: DataFrame, k: int) -> DataFrame:
+        store.append(found, f"layer{k}")
+        return store.of_runtime(f"layer{k}", found.schema)
+
+    found = extract.layered(i.select("report_id", "indicator_id").distinct(), [layer("N", "rule"), layer("R", "table"), layer("A", "model")], keep)
+    return found.groupBy("source_type").agg(F.count("*").alias("n"), F.count("value").alias("n_usable"), F.sum("value").cast("double").alias("value"))
+
+
+#: A stand-in catalogue for invented prose: id, group 1 the value, group 2 the unit.
+STAND_IN = (("W1", "(?:^| )the ([a-z]+) (of|and)(?: |$)"), ("W2", "(?:^| )(?:in|en) ([a-z]+) (to|de|the)(?: |$)"), ("W3", "([0-9][0-9,]*) ?([a-z]+)"), ("W4", "(?:^| )(is|was)()(?: |$)"))
+
+
+@query
+def q44_catalogue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each text line by a catalogue's patterns."""
+    lines = D.text_lines(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "report_id")
+    known = spark.createDataFrame([(i, "E", "quantitative", None, p) for i, p in STAND_IN], S.INDICATOR)
+    found = extract.by_catalogue(lines, known)
+    return found.groupBy("report_id", "indicator_id").agg(F.count("*").alias("n"), F.countDistinct("candidate_id").alias("n_candidates"), F.min("raw_value").alias("least_value"), F.max("raw_unit").alias("largest_unit"), F.count("value").alias("n_numbers"))
+
+
+@query
+def q45_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the guard's flags and grade: fragment, value, unit and year."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), "text")
+    k = F.pmod("report_id", F.lit(4))
+    own = d.select(
+        "report_id",
+        F.lit(1).alias("page"),
+        F.when(k == 0, "w1").otherwise("w2").alias("indicator_id"),
+        F.when(k == 1, F.lit("no such words")).otherwise(F.substring("text", 1, 30)).alias("fragment"),
+        F.when(k == 2, "#").otherwise(F.substring("text", 3, 2)).alias("raw_value"),
+        F.when(k == 3, "kg").otherwise("t").alias("unit"),
+        F.when(F.col("report_id") % 3 == 0, "0.9000").otherwise("0.7000").cast("decimal(5,4)").alias("confidence"),
+    )
+    pages = d.select("report_id", F.lit(1).alias("page"), "text")
+    known = spark.createDataFrame([("w1", "quantitative", "t"), ("w2", "quantitative", "t")], "indicator_id string, kind string, canonical_unit string")
+    found = guard.guard(own, pages, known, d.select("report_id", F.lit(2024).alias("report_year")))
+    return found.select("report_id", F.array_join("risk_flags", "+").alias("risk_flags"), guard.review_status(F.col("confidence"), F.col("risk_flags")).alias("review_status"))
+
+
+@query
+def q46_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of each order's company against the built-in catalogue, by pillar and kind: what is disclosed and what isn't."""
+    known = built_in(spark)
+    slots = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("report_id")).crossJoin(known.select("indicator_id"))
+    mine = F.concat(F.lit("E"), F.lpad((F.col("o_custkey") % 37 + 1).cast("string"), 2, "0"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("report_id"), mine.alias("indicator_id")).distinct()
+    fixed = {"disclosure_status": F.lit("disclosed"), "review_status": F.lit("candidate_found"), "report_id": F.col("report_id"), "indicator_id": F.col("indicator_id"), "result_id": F.concat_ws("|", "report_id", "indicator_id")}
+    found = o.select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.RESULT.fields])
+    every = guard.with_undisclosed(found, slots).join(known.select("indicator_id", "pillar", "kind"), "indicator_id")
+    return every.groupBy("pillar", "kind", "disclosure_status").agg(F.count("*").alias("n"))
+
+
+@query
+def q47_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by their status after reviews were appended: the latest review counts."""
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("result_id"), F.lit("candidate_found").alias("review_status"))
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "purchase", "auto_verified_high").otherwise("candidate_found")
+    reviews = e.select((F.col("event_id") % 500).alias("result_id"), status.alias("review_status"), F.col("user_id").cast("string").alias("reviewer"), "ts")
+    return files.tally(guard.reviewed(results, reviews), "review_status")
+
+
+@query
+def q48_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies, indicators, addresses and texts that hold a term."""
+    own = lambda df, kind, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    t = lambda name: table(spark, sf_dir, name)
+    found = A.search_all([own(t("customer"), "company", "c_custkey", "c_name"), own(t("part"), "indicator", "p_partkey", "p_name"), own(t("pages"), "address", "page_id", "url"), own(t("documents"), "text", "doc_id", "text")], "re")
+    return found.select("kind", "id")
+
+
+@query
+def q49_robots_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robots rules with wild cards, end anchors and agents (F2)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = p.select(C.host(F.col("url")).alias("host")).distinct()
+    rule = lambda agent, prefix, allow: F.struct(F.lit(agent).alias("agent"), F.lit(prefix).alias("prefix"), F.lit(allow).alias("allow"))
+    rules = hosts.select("host", F.inline(F.array(rule("*", "/", False), rule("Reader", "/*5", False), rule("reader", "/en*", True), rule("reader", "/de/*7$", False))))
+    rules = rules.where((F.col("agent") == "*") | F.col("host").endswith(".com"))
+    return collect.robots_verdict(p, rules, agent="reader").select("page_id", "robots_allowed")

@@ -1,24 +1,31 @@
 """The platform: one method for each operation of the public interface, over a seed and a runtime root.
 
-Methods that read return DataFrames and check their arguments before a plan is built; methods that write append to, or
-replace partitions of, the runtime root. Text extraction takes a reader (bytes to page texts); further layers (OCR, a model)
+Methods that read return DataFrames and check their arguments before a plan is built; methods that write append to the
+runtime root. Text extraction takes a reader (bytes to page texts); further layers (OCR, a model)
 are callables that get the slots that the layers before have left open.
+
+An extraction is a run: its lines, each layer's candidates, results and evidence are written once under the run's id, and count
+when the run is published, which is its last step. A report's facts are those of its latest run, also where that found nothing;
+a run that failed or took too long is never published. Without a run the seed's facts hold.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid import schemas as S
+from quillgrid.catalogue import catalogue as built_in
 from quillgrid.functions import units as U
 from quillgrid.operators import analytics as A
-from quillgrid.operators import export, extract, files, guard, jobs
+from quillgrid.operators import export, extract, files, guard, idempotency, jobs
 from quillgrid.sources import documents as D
 from quillgrid.sources import reports as R
 from quillgrid.sources.tables import Store
@@ -33,22 +40,45 @@ def _plain_text(content: bytes) -> Iterable[str]:
 
 
 class Platform:
-    def __init__(self, spark: SparkSession, seed: str, runtime: str, catalogue: DataFrame, timeout: int = S.JOB_TIMEOUT_SECONDS, upload_limit: int = S.UPLOAD_LIMIT):
-        self.spark, self.store, self.catalogue = spark, Store(spark, seed, runtime), catalogue
+    def __init__(self, spark: SparkSession, seed: str, runtime: str, catalogue: DataFrame | None = None, timeout: int = S.JOB_TIMEOUT_SECONDS, upload_limit: int = S.UPLOAD_LIMIT):
+        self.spark, self.store, self.catalogue = spark, Store(spark, seed, runtime), built_in(spark) if catalogue is None else catalogue
         self.timeout, self.upload_limit = timeout, upload_limit
 
     # --- tables ---
 
     def reports(self) -> DataFrame:
-        return self.store.read("reports", S.REPORT)
+        return self.store.read("reports", S.REPORT, "report_id")
+
+    def _runs(self) -> DataFrame:
+        return self.store.of_runtime("runs", S.RUN)
+
+    def _current(self, name: str, schema: T.StructType) -> DataFrame:
+        """Runtime rows of each report's latest run, with ``report_id``."""
+        extra = [T.StructField(c, T.StringType()) for c in ("report_id", "run_id") if c not in schema.fieldNames()]
+        # a layer's rows carry its number behind the run's id
+        rows = self.store.of_runtime(name, T.StructType([*schema.fields, *extra])).withColumn("run_id", F.substring_index("run_id", "#", 1))
+        return idempotency.latest_runs(rows, self._runs(), "report_id").drop("run_id")
+
+    def _plain_results(self) -> DataFrame:
+        columns = S.RESULT.fieldNames()
+        seed = self.store.of_seed("results", S.RESULT).join(self._runs().select("report_id").distinct(), "report_id", "left_anti")
+        facts = seed.select(*columns).unionByName(self._current("results", S.RESULT).select(*columns))
+        return guard.reviewed(facts, self.store.read("reviews", S.REVIEW))
 
     def _results(self) -> DataFrame:
-        """Results with their report's company, year and type; runtime results of a report stand for its seed ones."""
+        """Results, reviewed, with their report's company, year and type."""
         own = self.reports().select("report_id", "company_id", "report_year", "report_type")
-        return self.store.read("results", S.RESULT).join(own, "report_id", "left")
+        return self._plain_results().join(own, "report_id", "left")
 
     def _evidence(self) -> DataFrame:
-        return self.store.read("evidence", S.EVIDENCE)
+        seed = self.store.of_seed("evidence", S.EVIDENCE).withColumn("report_id", F.lit(None).cast("string"))
+        replaced = self.store.of_seed("results", S.RESULT).join(self._runs().select("report_id").distinct(), "report_id", "left_semi").select("result_id")
+        return seed.join(replaced, "result_id", "left_anti").unionByName(self._current("evidence", S.EVIDENCE))
+
+    def candidates(self) -> DataFrame:
+        """The candidates of all layers, of the seed and of each report's latest run."""
+        seed = self.store.of_seed("candidates", S.CANDIDATE).join(self._runs().select("report_id").distinct(), "report_id", "left_anti")
+        return seed.unionByName(self._current("candidates", S.CANDIDATE))
 
     def _events(self) -> DataFrame:
         return self.store.read("job_events", S.JOB_EVENT)
@@ -57,7 +87,7 @@ class Platform:
 
     def health(self) -> DataFrame:
         """``check_name, n_bad, ok``."""
-        reports, results, evidence = self.reports(), self.store.read("results", S.RESULT), self._evidence()
+        reports, results, evidence = self.reports(), self._plain_results(), self._evidence()
         return A.integrity(
             {
                 "repeated_report": reports.groupBy("report_id").count().where("count > 1"),
@@ -74,63 +104,118 @@ class Platform:
         """``entity, n``: reports, companies, indicators, results, evidence, jobs."""
         r = self.reports().agg(F.count("*").alias("reports"), F.countDistinct("company_id").alias("companies"))
         row = r.crossJoin(self.catalogue.agg(F.count("*").alias("indicators")))
-        row = row.crossJoin(self.store.read("results", S.RESULT).agg(F.count("*").alias("results"))).crossJoin(self._evidence().agg(F.count("*").alias("evidence")))
+        row = row.crossJoin(self._plain_results().agg(F.count("*").alias("results"))).crossJoin(self._evidence().agg(F.count("*").alias("evidence")))
         row = row.crossJoin(self._events().agg(F.countDistinct("job_id").alias("jobs")))
         return row.unpivot([], row.columns, "entity", "n")
 
     # --- reports and jobs ---
 
     def register(self, path: str, company_id: str, report_year: int, report_type: str) -> DataFrame:
-        """Register the files of a path; those whose content is known are left out. Returns the new reports."""
+        """Register the files of a path and keep their content; those whose content is known are left out. Returns the new reports."""
         R.check_metadata(company_id, report_year, report_type)
-        found = R.register(R.read_files(self.spark, path), company_id, report_year, report_type, self.upload_limit)
+        source = R.read_files(self.spark, path)
+        found = R.register(source, company_id, report_year, report_type, self.upload_limit)
         own = found.select(*S.REPORT.fieldNames())
+        upload = uuid.uuid4().hex
         new = files.not_stored(own, self.reports(), "file_sha256", "source_url").select(*S.REPORT.fieldNames())
-        new = self.spark.createDataFrame(new.collect(), S.REPORT)  # one upload's files, as the table is about to change
-        self.store.append(new, "reports")
-        return new
-
-    def create_job(self, report_id: str, reader: Callable[[bytes], Iterable[str]] = _plain_text, layers: Iterable[Layer] = ()) -> str:
-        """Extract a report's results and evidence; returns the job's id. A failure is an event, not an exception."""
-        report = self.reports().where(F.col("report_id") == report_id)
-        if not report.head(1):
+        self.store.append(new.withColumn("upload_id", F.lit(upload)), "reports")
+        written = self.store.of_runtime("reports", T.StructType([*S.REPORT.fields, T.StructField("upload_id", T.StringType())]))
+        mine = written.where(F.col("upload_id") == upload).drop("upload_id")
+        content = source.select(F.sha2("content", 256).alias("file_sha256"), "content", F.col("path").alias("source_url"))
+        self.store.append(content.join(mine.select("file_sha256", "source_url"), ["file_sha256", "source_url"], "left_semi").select(*S.UPLOAD.fieldNames()), "uploads")
+        return mine
+
+    def submit(self, report_id: str) -> str:
+        """Queue an extraction; returns the job's id at once."""
+        if not self.reports().where(F.col("report_id") == report_id).head(1):
             raise ValueError(f"no report {report_id}")
-        job, number, begun = uuid.uuid4().hex, 0, time.monotonic()
+        job = uuid.uuid4().hex
+        self.store.append(self.spark.createDataFrame([(job, report_id)], S.JOB), "jobs")
+        self._tell(job, "queued")
+        return job
 
-        def tell(state: str, reason: str | None = None) -> None:
-            nonlocal number
-            number += 1
-            now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            self.store.append(jobs.event(self.spark, job, number, state, now, reason), "job_events")
+    def create_job(self, report_id: str, reader: Callable[[bytes], Iterable[str]] = _plain_text, layers: Iterable[Layer] = ()) -> str:
+        """Queue an extraction and run it here; returns the job's id."""
+        job = self.submit(report_id)
+        self.run(job, reader, layers)
+        return job
 
-        tell("queued")
-        tell("running")
+    def run_queued(self, reader: Callable[[bytes], Iterable[str]] = _plain_text, layers: Iterable[Layer] = (), most: int = 10) -> list[str]:
+        """Run up to ``most`` queued jobs, the oldest first; returns their ids."""
+        waiting = jobs.current(self._events()).where("state = 'queued'").orderBy("ts", "job_id").limit(most).collect()
+        for r in waiting:
+            self.run(r["job_id"], reader, layers)
+        return [r["job_id"] for r in waiting]
+
+    def time_out(self, now: dt.datetime | None = None) -> None:
+        """End the jobs that have run for over the timeout, such as those whose runner is gone."""
+        now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        self.store.append(jobs.time_out(self._events(), now.isoformat(sep=" "), self.timeout), "job_events")
+
+    def _tell(self, job: str, state: str, reason: str | None = None) -> None:
+        number = (self._events().where(F.col("job_id") == job).agg(F.max("event_id")).first()[0] or 0) + 1
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        self.store.append(jobs.event(self.spark, job, number, state, now, reason), "job_events")
+
+    def run(self, job_id: str, reader: Callable[[bytes], Iterable[str]] = _plain_text, layers: Iterable[Layer] = ()) -> None:
+        """Extract the report of a queued job. A failure is an event, not an exception; over the timeout Spark's jobs are cancelled."""
+        state = self.job(job_id).first()
+        if state is None or state["state"] != "queued":
+            raise ValueError(f"job {job_id} isn't queued")
+        report = self.store.of_runtime("jobs", S.JOB).where(F.col("job_id") == job_id).first()["report_id"]
+        self._tell(job_id, "running")
+        context, begun = self.spark.sparkContext, time.monotonic()
+        context.setJobGroup(job_id, f"extraction of {report}", interruptOnCancel=True)
+        alarm = threading.Timer(self.timeout, context.cancelJobGroup, [job_id])
+        alarm.daemon = True
+        alarm.start()
+        late = lambda: time.monotonic() - begun > self.timeout
         try:
-            self._extract(report, reader, list(layers))
-        except Exception as problem:  # noqa: BLE001  the trail keeps the reason
-            tell("failed", f"{type(problem).__name__}: {str(problem).splitlines()[0][:500]}")
+            self._extract(job_id, report, reader, list(layers))
+            problem = None
+        except Exception as e:  # noqa: BLE001  the trail keeps the reason
+            problem = f"{type(e).__name__}: {str(e).splitlines()[0][:500]}"
+        finally:
+            alarm.cancel()
+            context.setJobGroup("", "")
+        if late():
+            self._tell(job_id, "timed_out", f"over {self.timeout} s")
+        elif problem:
+            self._tell(job_id, "failed", problem)
         else:
-            late = time.monotonic() - begun > self.timeout
-            tell("timed_out", f"over {self.timeout} s") if late else tell("succeeded")
-        return job
+            now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+            self.store.append(self.spark.createDataFrame([(job_id, report, now)], S.RUN), "runs")
+            self._tell(job_id, "succeeded")
 
-    def _extract(self, report: DataFrame, reader: Callable[[bytes], Iterable[str]], layers: list[Layer]) -> None:
-        source = report.select("report_id", "source_url", "admission").first()
+    def _keep(self, rows: DataFrame, name: str, schema: T.StructType, run_id: str) -> DataFrame:
+        """Append rows of a run and read them back: what made them runs once."""
+        extra = [T.StructField(c, T.StringType()) for c in ("report_id", "run_id") if c not in schema.fieldNames()]
+        full = T.StructType([*schema.fields, *extra])
+        self.store.append(rows.withColumn("run_id", F.lit(run_id)).select(*full.fieldNames()), name)
+        return self.store.of_runtime(name, full).where(F.col("run_id") == run_id).drop("run_id")
+
+    def _extract(self, run_id: str, report_id: str, reader: Callable[[bytes], Iterable[str]], layers: list[Layer]) -> None:
+        report = self.reports().where(F.col("report_id") == report_id)
+        source = report.select("file_sha256", "admission").first()
         if source["admission"] != "pass":
             raise ValueError("the file needs review")
-        content = R.read_files(self.spark, source["source_url"]).select(F.lit(source["report_id"]).alias("report_id"), "content")
-        lines = D.read_pages(content, reader)
+        content = self.store.read("uploads", S.UPLOAD).where(F.col("file_sha256") == source["file_sha256"]).dropDuplicates(["file_sha256"])
+        lines = self._keep(D.read_pages(content.select(F.lit(report_id).alias("report_id"), "content"), reader), "lines", S.PAGE_LINE, run_id)
         broken = lines.where("page is null").head(1)
         if broken:
             raise ValueError(broken[0]["text"])
-        slots = report.select("report_id").crossJoin(F.broadcast(self.catalogue.select("indicator_id")))
+        slots = report.select("report_id").crossJoin(self.catalogue.select("indicator_id"))
         units = U.unit_table(self.spark)
         rules: Layer = lambda open_: extract.by_catalogue(lines, self.catalogue).join(open_, ["report_id", "indicator_id"], "left_semi")
-        found = U.normalise(extract.layered(slots, [rules, *layers]), units).select(*S.CANDIDATE.fieldNames())
+        known = S.CANDIDATE.fieldNames()
+        # each layer has a table of the run's of its own name to read back from
+        keep = lambda found, k: self._keep(U.normalise(found, units).select(*known), "candidates", S.CANDIDATE, run_id if k == 0 else f"{run_id}#{k}")
+        found = extract.layered(slots, [rules, *layers], keep)
         pages = lines.groupBy("report_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
         results, evidence = guard.accept(guard.guard(found, pages, self.catalogue, self.reports().select("report_id", "report_year")))
-        self.store.replace_partitions(results.select(*S.RESULT.fieldNames()), "results", "report_id")
-        self.store.replace_partitions(evidence.withColumn("report_id", F.lit(source["report_id"])), "evidence", "report_id")
+        every = guard.with_undisclosed(results.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.RESULT.fields]), slots)
+        self._keep(every, "results", S.RESULT, run_id)
+        self._keep(evidence.withColumn("report_id", F.lit(report_id)), "evidence", S.EVIDENCE, run_id)
 
     def job(self, job_id: str) -> DataFrame:
         """The current state of a job; no row for an unknown one."""
@@ -164,12 +249,36 @@ class Platform:
         chain = self._evidence().where(F.col("result_id") == result_id)
         return A.evidence_chain(own, chain, "result_id", F.struct(F.size("risk_flags").alias("n_flags"), (-F.col("confidence")).alias("c"), F.col("evidence_id").alias("id")), ["page", "fragment", "source_type", "confidence", "risk_flags", F.col("review_status").alias("status")])
 
-    def search(self, term: str) -> DataFrame:
+    def review(self, result_id: str, review_status: str, reviewer: str, note: str | None = None) -> None:
+        """Append a review; a result's status is that of its latest one."""
+        if review_status not in S.REVIEW_STATUSES or not reviewer:
+            raise ValueError(f"a reviewer is needed, and review_status must be one of {', '.join(S.REVIEW_STATUSES)}")
+        if not self._plain_results().where(F.col("result_id") == result_id).head(1):
+            raise ValueError(f"no result {result_id}")
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        self.store.append(self.spark.createDataFrame([(result_id, review_status, reviewer, now, note)], S.REVIEW), "reviews")
+
+    def search_evidence(self, term: str) -> DataFrame:
         """Evidence whose fragment holds the term."""
         if not term:
             raise ValueError("an empty search term")
         return self._evidence().where(F.contains("fragment", F.lit(term)))
 
+    def search(self, term: str) -> DataFrame:
+        """``kind, id, report_id, page, text``: companies, reports, indicators, results and evidence that hold the term."""
+        own = lambda df, kind, key, text, report=F.lit(None), page=F.lit(None): df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), report.cast("string").alias("report_id"), page.cast("int").alias("page"), text.alias("text"))
+        reports, report = self.reports(), F.col("report_id")
+        return A.search_all(
+            [
+                own(reports.select("company_id").distinct(), "company", "company_id", F.col("company_id")),
+                own(reports, "report", "report_id", F.concat_ws(" ", "report_type", F.col("report_year").cast("string"), "source_url"), report),
+                own(self.catalogue, "indicator", "indicator_id", F.concat_ws(" ", "indicator_id", "pillar", "kind", "canonical_unit", "pattern")),
+                own(self._plain_results(), "result", "result_id", F.col("text_value"), report),
+                own(self._evidence(), "evidence", "evidence_id", F.col("fragment"), report, F.col("page")),
+            ],
+            term,
+        )
+
     def trends(self, company_id: str, indicator_id: str | None = None) -> DataFrame:
         """Yearly series of a company: one canonical unit each, two years or more."""
         if not company_id:

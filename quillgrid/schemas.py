@@ -9,6 +9,7 @@ _TYPES = {
     "string": T.StringType(),
     "int": T.IntegerType(),
     "bigint": T.LongType(),
+    "binary": T.BinaryType(),
     "decimal(5,4)": T.DecimalType(5, 4),
     "decimal(28,6)": T.DecimalType(28, 6),
     "decimal(28,12)": T.DecimalType(28, 12),
@@ -34,6 +35,11 @@ CANDIDATE = _struct(
 RESULT = _struct("result_id string, report_id string, indicator_id string, value decimal(28,6), text_value string, unit string, disclosure_status string, review_status string")
 EVIDENCE = _struct("evidence_id string, result_id string, page int, fragment string, source_type string, confidence decimal(5,4), risk_flags array<string>, review_status string")
 JOB_EVENT = _struct("job_id string, event_id bigint, state string, ts timestamp_ntz, reason string")
+#: Which report a job extracts; a run of an extraction that is published; the content of an upload; a review of a result.
+JOB = _struct("job_id string, report_id string")
+RUN = _struct("run_id string, report_id string, ts timestamp_ntz")
+UPLOAD = _struct("file_sha256 string, content binary")
+REVIEW = _struct("result_id string, review_status string, reviewer string, ts timestamp_ntz, note string")
 MANIFEST = _struct("url string, company_id string, report_year int, report_type string")
 
 # The report types, the upload limit and the job timeout of the public interface.
@@ -43,7 +49,7 @@ JOB_TIMEOUT_SECONDS = 7200
 
 #: Extractors, the cheapest first.
 SOURCE_TYPES = ("rule", "table", "ocr", "model")
-REVIEW_STATUSES = ("auto_verified_high", "auto_verified_medium", "candidate_found", "rejected")
+REVIEW_STATUSES = ("auto_verified_high", "auto_verified_medium", "candidate_found", "no_candidate", "rejected")
 DISCLOSURE_STATUSES = ("disclosed", "not_disclosed")
 JOB_STATES = ("queued", "running", "succeeded", "failed", "timed_out")
 FINAL_STATES = ("succeeded", "failed", "timed_out")

@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: A file in a runtime table's folder: the seed was copied, so it isn't read beside it any more.
+COPIED = "_seed_copied"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file(spark, path)
+    return system.exists(target)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder below the shared one (``spark.checkpoint.dir``); a temporary one only on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
+    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 class Store:
@@ -25,12 +46,21 @@ class Store:
         path = f"{root}/{name}"
         return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, path) else None
 
-    def read(self, name: str, schema: T.StructType) -> DataFrame:
-        """Seed rows and increments."""
-        parts = [x for x in (self._read(self.seed, name, schema), self._read(self.runtime, name, schema)) if x is not None]
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    def of_seed(self, name: str, schema: T.StructType) -> DataFrame:
+        """The seed's rows; none once they were copied to the runtime root."""
+        found = None if _exists(self.spark, f"{self.runtime}/{name}/{COPIED}") else self._read(self.seed, name, schema)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
+    def of_runtime(self, name: str, schema: T.StructType) -> DataFrame:
+        found = self._read(self.runtime, name, schema)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
+    def read(self, name: str, schema: T.StructType, key: str | None = None) -> DataFrame:
+        """Seed rows and increments; runtime rows stand for the seed rows of their ``key``."""
+        seed, own = self.of_seed(name, schema), self.of_runtime(name, schema)
+        if key:
+            seed = seed.join(own.select(key).distinct(), key, "left_anti").select(*schema.fieldNames())
+        return seed.unionByName(own)
 
     def append(self, rows: DataFrame, name: str, partition_by: str | None = None) -> None:
         writer = rows.write.mode("append")
@@ -38,11 +68,16 @@ class Store:
 
     def initialise(self, name: str, schema: T.StructType) -> None:
         """First run: copy a seed table to the runtime root; an existing one is an error and stays as it is."""
-        self.spark.read.schema(schema).parquet(f"{self.seed}/{name}").write.mode("errorifexists").parquet(f"{self.runtime}/{name}")
+        self._copy(name, schema, "errorifexists")
 
     def restore(self, name: str, schema: T.StructType) -> None:
         """Re-initialisation: the runtime table becomes the seed's again."""
-        self.spark.read.schema(schema).parquet(f"{self.seed}/{name}").write.mode("overwrite").parquet(f"{self.runtime}/{name}")
+        self._copy(name, schema, "overwrite")
+
+    def _copy(self, name: str, schema: T.StructType, mode: str) -> None:
+        self.spark.read.schema(schema).parquet(f"{self.seed}/{name}").write.mode(mode).parquet(f"{self.runtime}/{name}")
+        system, target = _file(self.spark, f"{self.runtime}/{name}/{COPIED}")
+        system.create(target).close()
 
     def replace_partitions(self, rows: DataFrame, name: str, partition_by: str) -> None:
         """Overwrite only the partitions that ``rows`` has: a repeated batch changes nothing."""

@@ -348,7 +348,13 @@ def test_store(spark, tmp_path):
     assert values(store.read("results", schema), "id") == [(1,), (2,), (3,)]
     store.append(spark.createDataFrame([(4, 2023)], schema), "more", "year")
     assert store.read("more", schema).count() == 1
-    store.initialise("results2", schema) if (tmp_path / "seed/results2").exists() else None
+    spark.createDataFrame([(1, 2020), (5, 2020)], schema).write.parquet(str(tmp_path / "seed/results2"))
+    store.initialise("results2", schema)
+    assert values(store.read("results2", schema)) == [(1, 2020), (5, 2020)]
+    assert store.of_seed("results2", schema).count() == 0
+    spark.createDataFrame([(1, 2020), (5, 2020)], schema).write.parquet(str(tmp_path / "seed/results3"))
+    store.append(spark.createDataFrame([(5, 2021)], schema), "results3")
+    assert values(store.read("results3", schema, "id")) == [(1, 2020), (5, 2021)]
     with pytest.raises(Exception):
         store.initialise("results", schema)
     store.restore("results", schema)

@@ -38,8 +38,9 @@ def rows(df, *columns):
 def test_chain(platform):
     assert [rows(platform.job(j), "state") for j in platform.jobs] == [[("succeeded",)]] * 3
     assert all(r["ok"] for r in platform.health().collect())
-    assert dict(rows(platform.summary(), "entity", "n")) == {"reports": 3, "companies": 2, "indicators": 3, "results": 5, "evidence": 5, "jobs": 3}
-    got = rows(platform.results(), "company_id", "report_year", "indicator_id", "value", "unit", "review_status")
+    assert dict(rows(platform.summary(), "entity", "n")) == {"reports": 3, "companies": 2, "indicators": 3, "results": 9, "evidence": 5, "jobs": 3}
+    assert platform.results().where("disclosure_status = 'not_disclosed'").count() == 4 and platform.candidates().count() == 5
+    got = rows(platform.results().where("disclosure_status = 'disclosed'"), "company_id", "report_year", "indicator_id", "value", "unit", "review_status")
     assert got == [
         ("c1", 2023, "E01", Dec("1200000.000000"), "t", "auto_verified_high"),
         ("c1", 2023, "S01", None, None, "auto_verified_high"),
@@ -53,16 +54,18 @@ def test_read_paths(platform, tmp_path):
     assert rows(platform.trends("c1"), "indicator_id", "year", "change") == [("E01", 2023, None), ("E01", 2024, Dec("-300000.000000"))]
     assert rows(platform.trends("c2"), "year") == []
     assert sorted(rows(platform.compare("E01", 2024, "t"), "company_id", "rank")) == [("c1", 1), ("c2", 2)]
-    one = platform.results(company_id="c2").first()
+    one = platform.results(company_id="c2", indicator_id="E01").first()
     chain = platform.evidence(one["result_id"]).first()["chain"]
     assert [(e["page"], e["fragment"], e["risk_flags"]) for e in chain] == [(1, "emissions of 7 kt in 2019", ["other_year"])]
     assert rows(platform.evidence("unknown"), "result_id") == []
-    assert rows(platform.search("training"), "page") == [(2,)]
+    assert rows(platform.search_evidence("training"), "page") == [(2,)]
+    assert sorted(rows(platform.search("training"), "kind")) == [("evidence",), ("indicator",), ("result",)]
+    assert rows(platform.search("c2"), "kind", "id") == [("company", "c2")]
     assert rows(platform.results(year=2024, offset=1, limit=1), "indicator_id") == [("E02",)]
     assert platform.results(review_status="candidate_found").count() == 1 and platform.job("unknown").count() == 0
     platform.export_csv(str(tmp_path / "csv"))
     (part,) = (tmp_path / "csv").glob("part-*.csv")
-    assert len(part.read_text("utf-8").splitlines()) == 6
+    assert len(part.read_text("utf-8").splitlines()) == 10
 
 
 def test_repeats_change_nothing(platform):
@@ -95,16 +98,82 @@ def test_failures_leave_a_trail(platform):
     assert rows(platform.job(late), "state") == [("timed_out",)]
 
 
-def test_a_model_sees_only_open_slots(platform):
+def test_a_model_sees_only_open_slots_and_all_run_once(platform, tmp_path):
     seen = []
+    (tmp_path / "calls").touch()
+    calls = str(tmp_path / "calls")
+
+    def counted(df, name):
+        def touch(batches):
+            for b in batches:
+                with open(calls, "a") as f:
+                    f.write(f"{name}\n" * b.num_rows)
+                yield b
+
+        return df.mapInArrow(touch, df.schema)
+
+    def reader(content):
+        with open(calls, "a") as f:
+            f.write("reader\n")
+        return content.decode().split("\n", 1)[1].split("\f")
 
     def model(open_):
         seen.extend(r["indicator_id"] for r in open_.collect())
-        return platform.spark.createDataFrame([], S.CANDIDATE)
+        return counted(open_, "model").join(platform.spark.createDataFrame([], S.CANDIDATE).drop("report_id", "indicator_id"), F.lit(False), "left").select(*S.CANDIDATE.fieldNames())
 
     report = platform.reports().where("company_id = 'c1' and report_year = 2024").first()["report_id"]
-    job = platform.create_job(report, layers=[model])
+    job = platform.create_job(report, reader, layers=[model])
     assert sorted(seen) == ["S01"] and rows(platform.job(job), "state") == [("succeeded",)]
+    assert sorted((tmp_path / "calls").read_text().split()) == ["model", "reader"]
+
+
+def test_queue_reviews_and_uploads(platform):
+    report = platform.reports().where("company_id = 'c1' and report_year = 2023").first()["report_id"]
+    (platform.inbox / "a23.pdf").unlink()  # the upload was kept
+    first, second = platform.submit(report), platform.submit(report)
+    assert rows(platform.job(first), "state") == [("queued",)]
+    assert platform.run_queued(most=1) == [first] and platform.run_queued() == [second] and platform.run_queued() == []
+    assert rows(platform.job(second), "state") == [("succeeded",)] and platform.results(report_id=report).count() == 3
+    with pytest.raises(ValueError):
+        platform.run(first)
+    one = platform.results(report_id=report, indicator_id="E01").first()["result_id"]
+    platform.review(one, "rejected", "r1")
+    assert rows(platform.results(report_id=report, review_status="rejected"), "result_id") == [(one,)]
+    for call in (lambda: platform.review(one, "good", "r1"), lambda: platform.review("none", "rejected", "r1"), lambda: platform.review(one, "rejected", "")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_a_run_that_finds_nothing_empties_its_slots(platform):
+    report = platform.reports().where("company_id = 'c2'").first()["report_id"]
+    before = rows(platform.results(report_id=report).where("value is not null"), "indicator_id")
+    job = platform.create_job(report, lambda content: ["nothing here"])
+    after = platform.results(report_id=report)
+    assert before == [("E01",)] and rows(platform.job(job), "state") == [("succeeded",)]
+    assert after.count() == 3 and after.where("disclosure_status = 'disclosed'").count() == 0
+    assert platform._evidence().where(F.col("report_id") == report).count() == 0
+    assert all(r["ok"] for r in platform.health().collect())
+
+
+def test_runtime_facts_stand_for_the_seed(spark, tmp_path):
+    root = tmp_path
+    report = ("r1", "c1", 2024, "ESG", "x", 1, "u", "pass")
+    result = lambda r, i, v: (f"{r}{i}", r, i, Dec(v), None, "t", "disclosed", "auto_verified_high")
+    spark.createDataFrame([report, ("r2", "c1", 2023, "ESG", "y", 1, "u", "pass")], S.REPORT).write.parquet(str(root / "seed/reports"))
+    spark.createDataFrame([result("r1", "E01", 1), result("r2", "E01", 2)], S.RESULT).write.parquet(str(root / "seed/results"))
+    spark.createDataFrame([("e1", "r1E01", 1, "f", "rule", Dec("0.9"), [], "auto_verified_high"), ("e2", "r2E01", 1, "f", "rule", Dec("0.9"), [], "auto_verified_high")], S.EVIDENCE).write.parquet(str(root / "seed/evidence"))
+    p = Platform(spark, str(root / "seed"), str(root / "run"), spark.createDataFrame(CATALOGUE, S.INDICATOR))
+    assert p.results().count() == 2 and p._evidence().count() == 2
+    p.store.append(spark.createDataFrame([("x", b"%PDF-1\nemissions of 5 t")], S.UPLOAD), "uploads")
+    job = p.create_job("r1")
+    assert rows(p.job(job), "state") == [("succeeded",)]
+    assert sorted(rows(p.results().where("value is not null"), "report_id", "value")) == [("r1", Dec("5.000000")), ("r2", Dec("2.000000"))]
+    assert p._evidence().count() == 2 and all(r["ok"] for r in p.health().collect())
+    p.store.initialise("reports", S.REPORT)
+    assert p.reports().count() == 2
+    slow = Platform(spark, p.store.seed, p.store.runtime, p.catalogue, timeout=0)
+    late = slow.create_job("r2")
+    assert rows(p.job(late), "state") == [("timed_out",)] and rows(p.results(report_id="r2"), "value") == [(Dec("2.000000"),)]
 
 
 @pytest.mark.parametrize(
