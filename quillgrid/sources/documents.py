@@ -60,11 +60,19 @@ def read_pages(files: DataFrame, reader: Callable[[bytes], Iterable[str]], id_co
 
 
 def read_cells(files: DataFrame, reader: Callable[[bytes], Iterable[tuple[int, int, int, int, str]]], id_col: str = "report_id", content_col: str = "content") -> DataFrame:
-    """``report_id, page, table_no, row, col, cell`` by a reader that gives these for a document."""
+    """``report_id, page, table_no, row, col, cell`` by a reader that gives these for a document.
+
+    A document that the reader can't read gives one row with a null page and the reason as cell.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(key, *cell) for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for cell in reader(content or b"")]
+            rows = []
+            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    rows += [(key, *cell) for cell in reader(content or b"")]
+                except Exception as problem:  # noqa: BLE001  a broken file must not end the job
+                    rows.append((key, None, None, None, None, f"{type(problem).__name__}: {problem}"))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["report_id", "page", "table_no", "row", "col", "cell"])
 

@@ -305,6 +305,16 @@ def test_cells(spark):
     assert got == [(1, 1, 1, "x"), (1, 1, 2, "y"), (1, 2, 1, "1"), (1, 2, 2, "2"), (2, 1, 1, "p"), (2, 1, 2, "q")]
 
 
+def test_a_broken_table_file_is_a_row(spark):
+    def reader(content):
+        if content == b"bad":
+            raise ValueError("no table")
+        return D.delimited_cells(content)
+
+    docs = spark.createDataFrame([("a", b"x\ty"), ("b", b"bad")], "report_id string, content binary")
+    assert values(D.read_cells(docs, reader), "report_id", "page", "cell") == [("a", 1, "x"), ("a", 1, "y"), ("b", None, "ValueError: no table")]
+
+
 def test_ocr_reads_only_what_the_cache_lacks(spark):
     pages = spark.createDataFrame([(1, b"A"), (2, b"B"), (3, b"A")], "page int, image binary")
     cache = spark.createDataFrame([(b"B",)], "i binary").select(F.sha2("i", 256).alias("page_sha256"), F.lit("cached").alias("text"))
