@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import arrow_batches, id_and_text, kept, table
 
 LEAST = 50
-BASE = 42
+BASE = 34
 #: Odd, so that it has an inverse modulo 2**64.
 MULTIPLIER = 0x9E3779B97F4A7C15
 MEMO_WORDS = 600_000
