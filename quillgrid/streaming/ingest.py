@@ -1,8 +1,8 @@
 """Incremental ingest: new files are appended once, however late a copy comes.
 
 A file source with ``availableNow`` and ``foreachBatch``; known hashes are looked up in the table itself, not in state
-that a watermark would drop. A batch that is run again after a failure finds its own rows by ``batch_id`` and
-replaces them.
+that a watermark would drop. A batch that is run again after a failure finds its own rows by ``run_id`` (one for each
+checkpoint) and ``batch_id`` and replaces them; a new checkpoint replaces nothing.
 """
 
 from __future__ import annotations
@@ -11,8 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrid import schemas as S
 from quillgrid.operators.files import not_stored
 
+#: What tells a batch of a stream apart in its target.
+RUN = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())])
+
+
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint keeps for its query, also when it is started again."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _replace(rows: DataFrame, run_id: str, batch_id: int, target: str) -> None:
+    """Write a batch's rows in place of those it may have written before."""
+    named = rows.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("long")})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN.names).parquet(target)
+
 
 def ingest_new(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, text_col: str = "text", id_col: str = "doc_id", max_files: int | None = None) -> None:
     """Append rows of new files below ``source`` whose content hash ``target`` lacks; returns when all is done."""
@@ -20,28 +35,40 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, target: s
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.parquet(source).withColumn("file_sha256", F.sha2(F.col(text_col), 256))
-    stored_schema = T.StructType([*schema.fields, T.StructField("file_sha256", T.StringType()), T.StructField("batch_id", T.LongType())])
+    stored_schema = T.StructType([*schema.fields, T.StructField("file_sha256", T.StringType()), *RUN.fields])
 
     def append(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         exists = path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(path)
         known = session.read.schema(stored_schema).parquet(target) if exists else session.createDataFrame([], stored_schema)
-        known = known.where(F.col("batch_id") != batch_id)
-        new = not_stored(batch, known, "file_sha256", id_col).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)
+        run_id = _run_id(session, checkpoint)
+        known = known.where((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
+        _replace(not_stored(batch, known, "file_sha256", id_col), run_id, batch_id, target)
 
     stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def job_states(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, target: str) -> None:
-    """Keep a table of the current state of each job from a folder of event files."""
-    from quillgrid.operators.jobs import current
+STATES = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("last", T.StructType([S.JOB_EVENT[c] for c in ("ts", "event_id", "state")])), T.StructField("n_events", T.LongType()), *RUN.fields])
 
+
+def job_states(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, target: str) -> None:
+    """Append to ``target``, for each new batch of event files below ``source``, the last event of each of its jobs; see ``read_job_states``."""
     stream = spark.readStream.schema(schema).parquet(source)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # recomputed from the events: an event log has few rows a job, and a re-run batch changes nothing
-        current(batch.sparkSession.read.schema(schema).parquet(source)).write.mode("overwrite").parquet(target)
+        own = batch.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "state")).alias("last"), F.count("*").alias("n_events"))
+        _replace(own, _run_id(batch.sparkSession, checkpoint), batch_id, target)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_job_states(spark: SparkSession, target: str) -> DataFrame:
+    """``job_id, state, ts, n_events``: the current state of each job, from what the batches left.
+
+    A new checkpoint reads events again, so the events of a job are those of the run that saw most of them.
+    """
+    stored = spark.read.schema(STATES).parquet(target)
+    of_run = stored.groupBy("job_id", "run_id").agg(F.max("last").alias("last"), F.sum("n_events").alias("n_events"))
+    merged = of_run.groupBy("job_id").agg(F.max("last").alias("last"), F.max("n_events").alias("n_events"))
+    return merged.select("job_id", "last.state", "last.ts", "n_events")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillgrid import schemas as S
-from quillgrid.streaming.ingest import ingest_new, job_states
+from quillgrid.streaming.ingest import ingest_new, job_states, read_job_states
 
 
 def test_known_files_never_come_back(spark, tmp_path):
@@ -22,11 +22,34 @@ def test_known_files_never_come_back(spark, tmp_path):
     assert spark.read.parquet(target).count() == 4
 
 
+def test_new_checkpoint_keeps_rows_of_files_that_are_gone(spark, tmp_path):
+    target = str(tmp_path / "out")
+    schema = spark.createDataFrame([], "doc_id bigint, text string").schema
+    for n, (text, source) in enumerate((("a", "in0"), ("b", "in1"))):
+        spark.createDataFrame([(n, text)], schema).write.parquet(str(tmp_path / source))
+        ingest_new(spark, str(tmp_path / source), schema, target, str(tmp_path / f"cp{n}"))
+    assert sorted(r["text"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
 def test_job_states(spark, tmp_path):
     import datetime as dt
 
+    from quillgrid.operators.jobs import current
+
     source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    for n, state in ((1, "queued"), (2, "running")):
-        spark.createDataFrame([("j", n, state, dt.datetime(2024, 1, n), None)], S.JOB_EVENT).write.mode("append").parquet(source)
+
+    def arrive(*events):
+        rows = [(job, n, state, dt.datetime(2024, 1, n), None) for job, n, state in events]
+        spark.createDataFrame(rows, S.JOB_EVENT).coalesce(1).write.mode("append").parquet(source)
+
+    def states():
+        return sorted(tuple(r) for r in read_job_states(spark, target).collect())
+
+    for events in ([("j", 1, "queued")], [("k", 3, "queued"), ("j", 2, "running")], [("k", 1, "queued")]):
+        arrive(*events)
         job_states(spark, source, S.JOB_EVENT, checkpoint, target)
-        assert spark.read.parquet(target).first()["state"] == state
+        assert states() == sorted(tuple(r) for r in current(spark.read.parquet(source)).collect())
+    before = states()
+    assert [s[:2] for s in before] == [("j", "running"), ("k", "queued")]
+    job_states(spark, source, S.JOB_EVENT, str(tmp_path / "another"), target)  # reads all events again
+    assert states() == before
