@@ -17,8 +17,8 @@ the first shared shingle lies in a prefix of both, of about 1 - ``least`` of the
 shingles and pairs that sizes and places rule out are dropped; larger components of the others are split by
 sizes and parity maps, and within a component all pairs of sets are compared, in blocks of bounded size.
 
-Components. Links are contracted by alternating large and small stars, with a table in the shared
-folder after each round; nothing but counts reaches the driver.
+Components. Each task turns its links into stars; these are contracted by alternating large and small stars
+until each node has one centre, with a table in the shared folder after each round. Nothing but a count reaches the driver.
 
 The comparison is exact and so grows with the square of the number of distinct fingerprints; block
 size is bounded, hence so is a task's memory.
@@ -51,6 +51,8 @@ LEAST_BLOCKS = 6
 TILE = 512
 #: One of so many texts counts for common shingles; counts from LEAST_COMMON on, MOST_COMMON shingles at most.
 SAMPLE_OF, LEAST_COMMON, MOST_COMMON = 16, 3, 100_000
+#: Nodes that a task holds when it turns links into stars.
+STAR_NODES = 1 << 18
 #: Keeps rounding from making a bound too strict.
 SLACK = 1e-6
 #: Nodes of one shingle up to which each pair is tried, and of one group up to which sets are intersected one by one.
@@ -265,28 +267,56 @@ def links(nodes: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blo
     return dealt.groupBy("k", "m").applyInPandas(run, "a long, b long")
 
 
-def components(edges: DataFrame, what: str = "links") -> DataFrame:
-    """``node, root``: the smallest node of each component, for nodes that have a link."""
-    now, path = written_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), what)
+def in_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``u, v``: links that connect the nodes that a task's links ``a, b`` connect, from each node to its tree's smallest.
+
+    Trees go once they have ``STAR_NODES`` nodes in all, which bounds a task's memory; they then overlap.
+    """
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        found = [(x, y) for x in list(up) if (y := root(x)) != x]
+        up.clear()
+        got = np.array(found, np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+            if len(up) >= STAR_NODES:
+                yield stars()
+    if up:
+        yield stars()
 
-    seen = state(now)
-    while seen[0]:
+
+def are_stars(links: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v``, which is no ``u`` itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not counted.where("up > 1 or up = 1 and down = 1").agg(F.count("*")).first()[0]
+
+
+def components(edges: DataFrame, what: str = "links") -> DataFrame:
+    """``node, root``: the smallest node of each component, for nodes that have a link."""
+    pairs = edges.select("a", "b").where("a <> b")
+    now, path = written_at(pairs.mapInArrow(in_stars, "u long, v long").distinct(), what)
+    while not are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        # large star: a node's larger neighbours go to the smallest of its neighbours and itself
+        large = now.join(least, "v").select("u", F.col("m").alias("v"))
         # small star: a node's smaller neighbours and itself go to the smallest of them
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after, later = written_at(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), what)
-        found = state(after)
         drop_written(now.sparkSession, path)
         now, path = after, later
-        if found == seen:
-            break
-        seen = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

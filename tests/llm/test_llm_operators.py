@@ -336,6 +336,27 @@ def test_blocks_cover_all_counts():
     assert covered == list(range(20, 45)) and max(w for *_, w in plan) == 5
 
 
+@pytest.mark.parametrize("held", [4, 1 << 18])
+@pytest.mark.parametrize("edges", [[], [(5, 5)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(-7, 100), (100, 3)], [(i * 37 % 101 - 50, i * 61 % 97 + 60) for i in range(120)] + [(1, 2), (2, 1), (1, 2)]])
+def test_components_by_plain_search(spark, monkeypatch, edges, held):
+    monkeypatch.setattr(simhash, "STAR_NODES", held)
+    near = {}
+    for x, y in edges:
+        if x != y:
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+    wanted = []
+    for x in near:
+        seen, queue = {x}, [x]
+        while queue:
+            for y in near[queue.pop()] - seen:
+                seen.add(y)
+                queue.append(y)
+        if min(seen) != x:
+            wanted.append((x, min(seen)))
+    assert values(simhash.components(spark.createDataFrame(edges, "a long, b long")), "node", "root") == sorted(wanted, key=str)
+
+
 def test_keep_one_by_similarity(spark):
     docs = [r[:2] for r in source()]
     sets = [set(simhash.shingle_hashes(x, 5)) for _, x in docs]
