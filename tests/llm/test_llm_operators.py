@@ -143,6 +143,21 @@ def test_media_round_trip(spark, odd, none):
     assert media_jpeg.media_features(media_jpeg.encode_media(none)).count() == 0
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (3, 4), (8, 9), (7, 40), (61, 24), (200, 103)])
+def test_thumbnail_hash_by_plain_means(shape):
+    from fractions import Fraction
+
+    image = np.random.default_rng(shape[0]).integers(0, 256, shape).astype(np.uint8)
+
+    def mean(r, c):
+        (top, low), (left, right) = ((i * n // k, max((i + 1) * n // k, i * n // k + 1)) for i, k, n in ((r, 8, shape[0]), (c, 9, shape[1])))
+        field = [int(x) for x in image[top:low, left:right].reshape(-1)]
+        return Fraction(sum(field), len(field))
+
+    bits = "".join("01"[mean(r, c) < mean(r, c + 1)] for r in range(8) for c in range(8))
+    assert media_jpeg.difference_hash(image) == int(bits, 2)
+
+
 def test_media_of_every_byte_and_of_slices(monkeypatch):
     rng = np.random.default_rng(5)
     payloads = [bytes(range(192)), bytes([128]) * 192 * 3, bytes([128, 255]) * 96, rng.integers(0, 256, 192 * 40, np.uint8).tobytes(), bytes([128] * 191 + [0])]
