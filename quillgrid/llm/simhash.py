@@ -310,7 +310,7 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         # large star: a node's larger neighbours go to the smallest of its neighbours and itself
-        large = now.join(least, "v").select("u", F.col("m").alias("v"))
+        large = now.join(least, "v").select("u", F.col("m").alias("v")).distinct()
         # small star: a node's smaller neighbours and itself go to the smallest of them
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
