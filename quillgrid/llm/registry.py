@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgrid.llm import decontamination, secrets, sharding
+from quillgrid.llm import decontamination, filter_audit, secrets, sharding
 from quillgrid.llm.media_jpeg import op2_media
 from quillgrid.llm.quality import op6_quality
 from quillgrid.llm.sentencepiece_agenda import op7_sentencepiece
@@ -22,10 +22,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": secrets.op9_secrets,
     "op10_suffixes": op10_suffixes,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding": sharding.oracle_sql(),
     "op5_decontamination": decontamination.oracle_sql(),
     "op9_secrets": secrets.oracle_sql(),
+    "op12_filter_audit": filter_audit.oracle_sql(),
 }
