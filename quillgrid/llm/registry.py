@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgrid.llm import decontamination, filter_audit, secrets, sharding
+from quillgrid.llm import decontamination, filter_audit, merkle, secrets, sharding
 from quillgrid.llm.media_jpeg import op2_media
 from quillgrid.llm.quality import op6_quality
 from quillgrid.llm.sentencepiece_agenda import op7_sentencepiece
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_suffixes": op10_suffixes,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.oracle_sql(),
     "op9_secrets": secrets.oracle_sql(),
     "op12_filter_audit": filter_audit.oracle_sql(),
+    "op13_merkle_manifest": merkle.oracle_sql(),
 }
