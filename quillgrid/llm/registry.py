@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillgrid.llm import decontamination, filter_audit, merkle, secrets, sharding
+from quillgrid.llm.language import op11_language
 from quillgrid.llm.media_jpeg import op2_media
 from quillgrid.llm.quality import op6_quality
 from quillgrid.llm.sentencepiece_agenda import op7_sentencepiece
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": secrets.op9_secrets,
     "op10_suffixes": op10_suffixes,
+    "op11_language": op11_language,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
