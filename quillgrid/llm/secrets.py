@@ -25,7 +25,7 @@ the named ones are ignored by ``scan`` and kept by ``redact``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import table, written
@@ -56,6 +56,9 @@ LEAST_CHARACTERS = 8
 EXAMPLE_WORDS = "example|sample|dummy|changeme|placeholder|your|test|xxxx"
 
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+GAPS = "array<struct<at:int,start:int>>"
+#: Characters of the chunks that a text is cut in to mark its spans.
+CHUNK = 1024
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -181,6 +184,37 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
+def gaps(spans: DataFrame, key: str) -> DataFrame:
+    """``key, gaps``: what stays of each text, in order: from the end of all spans before (``at``) to the next one (``start``, null: the text's end).
+
+    A span that starts within an earlier one adds no gap of its own.
+    """
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    placed = spans.withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    inner = F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("at"), F.struct("at", "start"))))
+    tail = F.array(F.struct(F.max("end").alias("at"), F.lit(None).cast("int").alias("start")))
+    return placed.groupBy(key).agg(F.concat(inner, tail).cast(GAPS).alias("gaps"))
+
+
+def marked(text: Column, left: Column, mark: str) -> Column:
+    """The gaps of a text with ``mark`` between them.
+
+    The text is cut once in chunks of equal length, so a gap costs its own length and not its distance from the text's start.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def piece(own: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        chunk = lambda i: F.coalesce(F.get(own, i), F.lit(""))
+        between = F.array_join(F.slice(own, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        whole = F.concat(chunk(first).substr(a % CHUNK + 1, F.lit(CHUNK)), between, chunk(last).substr(F.lit(1), b % CHUNK))
+        return F.when(first == last, chunk(first).substr(a % CHUNK + 1, b - a)).otherwise(whole)
+
+    # bound once: a lambda's body would cut the text anew for each gap
+    both = F.array(F.struct(chunks.alias("chunks"), left.alias("gaps"), F.length(text).alias("n")))
+    return F.transform(both, lambda x: F.array_join(F.transform(x["gaps"], lambda g: piece(x["chunks"], g["at"], F.coalesce(g["start"], x["n"]))), mark))[0]
+
+
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span, base and added, replaced by ``mark``; texts without one stay as they are.
 
@@ -196,25 +230,17 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", m
     opaque = opaque.join(_hot(verdicts, HOT_REPOSITORIES).select("hash"), "hash", "left_anti")
     added = opaque.join(verdicts.where("verdict = 'live'").select("hash"), "hash", "left_semi").groupBy("doc_id").agg(F.collect_list("span").alias("added"))
     based = found.where(F.size("base") > 0).groupBy("doc_id").agg(F.first("base").alias("base"))
-    none = F.array().cast(SPANS)
-    spans = based.join(added, "doc_id", "full").select(F.col("doc_id").alias(spare), F.array_sort(F.concat(F.coalesce("base", none), F.coalesce("added", none))).alias(spare + "s"))
-    spans = written(spans, "spans")
+    each = based.select("doc_id", F.explode("base").alias("span")).unionByName(added.select("doc_id", F.explode("added").alias("span")))
+    spans = written(gaps(each.select("doc_id", "span.start", "span.end"), "doc_id").toDF(spare, spare + "s"), "spans")
     if spans.count() <= BROADCAST_KEYS:
         # texts without a span stay where they are
         keys = F.broadcast(spans.select(F.col(f"`{spare}`")))
         met = docs.join(keys, key == F.col(f"`{spare}`"), "left_semi").join(spans, key == F.col(f"`{spare}`"))
-        rest = docs.join(keys, key == F.col(f"`{spare}`"), "left_anti").withColumns({spare: F.lit(None).cast("long"), spare + "s": F.lit(None).cast(SPANS)})
+        rest = docs.join(keys, key == F.col(f"`{spare}`"), "left_anti").withColumns({spare: F.lit(None).cast("long"), spare + "s": F.lit(None).cast(GAPS)})
         joined = met.unionByName(rest)
     else:
         joined = docs.join(spans, key == F.col(f"`{spare}`"), "left")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], text.substr(state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.when(s["start"] >= state["at"], mark).otherwise(""))
-        return F.struct(F.greatest(s["end"], state["at"]).alias("at"), piece.alias("out"))
-
-    cleaned = F.aggregate(F.col(f"`{spare}s`"), begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    new = F.when(F.col(f"`{spare}s`").isNull(), text).otherwise(cleaned)
+    new = F.when(F.col(f"`{spare}s`").isNull(), text).otherwise(marked(text, F.col(f"`{spare}s`"), mark))
     return joined.select(*[(new if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
