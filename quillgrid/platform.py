@@ -31,6 +31,10 @@ from quillgrid.sources import reports as R
 from quillgrid.sources.tables import Store
 
 Layer = Callable[[DataFrame], DataFrame]
+#: Tables whose rows belong to runs: to restore one of them takes back all runs so far.
+FACTS = ("results", "evidence", "candidates")
+#: Tables that a seed may bring.
+SEED_TABLES = {"reports": S.REPORT, "results": S.RESULT, "evidence": S.EVIDENCE, "candidates": S.CANDIDATE, "reviews": S.REVIEW, "job_events": S.JOB_EVENT}
 
 
 def _plain_text(content: bytes) -> Iterable[str]:
@@ -50,20 +54,26 @@ class Platform:
         return self.store.read("reports", S.REPORT, "report_id")
 
     def _runs(self) -> DataFrame:
-        return self.store.of_runtime("runs", S.RUN)
+        """Published runs: the seed's, and those of the runtime since its facts were last restored."""
+        since = self.store.restored(*FACTS)
+        own = self.store.of_runtime("runs", S.RUN)
+        return self.store.original("runs", S.RUN).unionByName(own if since is None else own.where(F.col("ts") > F.lit(since))).dropDuplicates(["run_id"])
 
-    def _current(self, name: str, schema: T.StructType) -> DataFrame:
-        """Runtime rows of each report's latest run, with ``report_id``."""
+    def _facts(self, name: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+        """Rows of a table with ``report_id``: those of no run, as the seed has them (copied or not), and those of each report's latest run."""
         extra = [T.StructField(c, T.StringType()) for c in ("report_id", "run_id") if c not in schema.fieldNames()]
+        rows = self.store.read(name, T.StructType([*schema.fields, *extra]))
         # a layer's rows carry its number behind the run's id
-        rows = self.store.of_runtime(name, T.StructType([*schema.fields, *extra])).withColumn("run_id", F.substring_index("run_id", "#", 1))
-        return idempotency.latest_runs(rows, self._runs(), "report_id").drop("run_id")
+        of_runs = rows.where(F.col("run_id").isNotNull()).withColumn("run_id", F.substring_index("run_id", "#", 1))
+        return rows.where(F.col("run_id").isNull()).drop("run_id"), idempotency.latest_runs(of_runs, self._runs(), "report_id").drop("run_id")
+
+    def _in_force(self, name: str, schema: T.StructType) -> DataFrame:
+        """A table's facts: a report's latest run stands for the rows of no run."""
+        plain, current = self._facts(name, schema)
+        return plain.join(self._runs().select("report_id").distinct(), "report_id", "left_anti").select(*schema.fieldNames()).unionByName(current.select(*schema.fieldNames()))
 
     def _plain_results(self) -> DataFrame:
-        columns = S.RESULT.fieldNames()
-        seed = self.store.of_seed("results", S.RESULT).join(self._runs().select("report_id").distinct(), "report_id", "left_anti")
-        facts = seed.select(*columns).unionByName(self._current("results", S.RESULT).select(*columns))
-        return guard.reviewed(facts, self.store.read("reviews", S.REVIEW))
+        return guard.reviewed(self._in_force("results", S.RESULT), self.store.read("reviews", S.REVIEW))
 
     def _results(self) -> DataFrame:
         """Results, reviewed, with their report's company, year and type."""
@@ -71,14 +81,28 @@ class Platform:
         return self._plain_results().join(own, "report_id", "left")
 
     def _evidence(self) -> DataFrame:
-        seed = self.store.of_seed("evidence", S.EVIDENCE).withColumn("report_id", F.lit(None).cast("string"))
-        replaced = self.store.of_seed("results", S.RESULT).join(self._runs().select("report_id").distinct(), "report_id", "left_semi").select("result_id")
-        return seed.join(replaced, "result_id", "left_anti").unionByName(self._current("evidence", S.EVIDENCE))
+        """Evidence with ``report_id`` (null for what a seed brings without one)."""
+        plain, current = self._facts("evidence", S.EVIDENCE)
+        results, _ = self._facts("results", S.RESULT)
+        replaced = results.join(self._runs().select("report_id").distinct(), "report_id", "left_semi").select("result_id")
+        return plain.join(replaced, "result_id", "left_anti").select(*current.columns).unionByName(current)
 
     def candidates(self) -> DataFrame:
         """The candidates of all layers, of the seed and of each report's latest run."""
-        seed = self.store.of_seed("candidates", S.CANDIDATE).join(self._runs().select("report_id").distinct(), "report_id", "left_anti")
-        return seed.unionByName(self._current("candidates", S.CANDIDATE))
+        return self._in_force("candidates", S.CANDIDATE)
+
+    def initialise(self) -> None:
+        """First start: copy the seed's tables to the runtime root. Reads give the same before and after."""
+        for name, schema in self._of_seed():
+            self.store.initialise(name, schema)
+
+    def restore(self) -> None:
+        """The seed's tables again, in place of what was written since; jobs must have ended."""
+        for name, schema in self._of_seed():
+            self.store.restore(name, schema)
+
+    def _of_seed(self) -> list[tuple[str, T.StructType]]:
+        return [(name, schema) for name, schema in SEED_TABLES.items() if self.store.has_seed(name)]
 
     def _events(self) -> DataFrame:
         return self.store.read("job_events", S.JOB_EVENT)
@@ -141,11 +165,14 @@ class Platform:
         return job
 
     def run_queued(self, reader: Callable[[bytes], Iterable[str]] = _plain_text, layers: Iterable[Layer] = (), most: int = 10) -> list[str]:
-        """Run up to ``most`` queued jobs, the oldest first; returns their ids."""
+        """Run up to ``most`` queued jobs, the oldest first; returns their ids. Jobs that other runners take meanwhile are theirs."""
         waiting = jobs.current(self._events()).where("state = 'queued'").orderBy("ts", "job_id").limit(most).collect()
+        taken = []
         for r in waiting:
-            self.run(r["job_id"], reader, layers)
-        return [r["job_id"] for r in waiting]
+            if self.store.claim(f"job-{r['job_id']}"):
+                self._run_claimed(r["job_id"], reader, layers)
+                taken.append(r["job_id"])
+        return taken
 
     def time_out(self, now: dt.datetime | None = None) -> None:
         """End the jobs that have run for over the timeout, such as those whose runner is gone."""
@@ -160,8 +187,11 @@ class Platform:
     def run(self, job_id: str, reader: Callable[[bytes], Iterable[str]] = _plain_text, layers: Iterable[Layer] = ()) -> None:
         """Extract the report of a queued job. A failure is an event, not an exception; over the timeout Spark's jobs are cancelled."""
         state = self.job(job_id).first()
-        if state is None or state["state"] != "queued":
+        if state is None or state["state"] != "queued" or not self.store.claim(f"job-{job_id}"):
             raise ValueError(f"job {job_id} isn't queued")
+        self._run_claimed(job_id, reader, layers)
+
+    def _run_claimed(self, job_id: str, reader: Callable[[bytes], Iterable[str]], layers: Iterable[Layer]) -> None:
         report = self.store.of_runtime("jobs", S.JOB).where(F.col("job_id") == job_id).first()["report_id"]
         self._tell(job_id, "running")
         context, begun = self.spark.sparkContext, time.monotonic()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A file in a runtime table's folder: the seed was copied, so it isn't read beside it any more.
 COPIED = "_seed_copied"
+#: When which runtime table became the seed's again.
+RESTORE = T.StructType([T.StructField("name", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +56,14 @@ class Store:
         found = None if _exists(self.spark, f"{self.runtime}/{name}/{COPIED}") else self._read(self.seed, name, schema)
         return self.spark.createDataFrame([], schema) if found is None else found
 
+    def has_seed(self, name: str) -> bool:
+        return _exists(self.spark, f"{self.seed}/{name}")
+
+    def original(self, name: str, schema: T.StructType) -> DataFrame:
+        """The seed's rows, whether they were copied or not."""
+        found = self._read(self.seed, name, schema)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
     def of_runtime(self, name: str, schema: T.StructType) -> DataFrame:
         found = self._read(self.runtime, name, schema)
         return self.spark.createDataFrame([], schema) if found is None else found
@@ -71,8 +84,31 @@ class Store:
         self._copy(name, schema, "errorifexists")
 
     def restore(self, name: str, schema: T.StructType) -> None:
-        """Re-initialisation: the runtime table becomes the seed's again."""
+        """Re-initialisation: the runtime table becomes the seed's again, and the time of that is kept."""
         self._copy(name, schema, "overwrite")
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        self.append(self.spark.createDataFrame([(name, now)], RESTORE), "restores")
+
+    def restored(self, *names: str) -> dt.datetime | None:
+        """When the last of some tables was restored."""
+        return self.of_runtime("restores", RESTORE).where(F.col("name").isin(*names)).agg(F.max("ts")).first()[0]
+
+    def claim(self, what: str) -> bool:
+        """Make a file that nobody has made before; of several that try at once, one is told that it did."""
+        system, target = _file(self.spark, f"{self.runtime}/claims/{what}")
+        system.mkdirs(target.getParent())
+        try:
+            if system.getScheme() == "file":  # whose own create looks first and makes then
+                files = self.spark.sparkContext._jvm.java.nio.file
+                empty = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.java.nio.file.attribute.FileAttribute, 0)
+                files.Files.createFile(files.Paths.get(target.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.java.lang.String, 0)), empty)
+            else:
+                system.create(target, False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
     def _copy(self, name: str, schema: T.StructType, mode: str) -> None:
         self.spark.read.schema(schema).parquet(f"{self.seed}/{name}").write.mode(mode).parquet(f"{self.runtime}/{name}")

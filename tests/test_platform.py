@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal as Dec
 
 import pytest
@@ -200,3 +202,59 @@ def test_runtime_facts_stand_for_the_seed(spark, tmp_path):
 def test_abnormal_input(platform, call):
     with pytest.raises(ValueError):
         call(platform)
+
+
+def test_initialise_and_restore_keep_the_seed(spark, tmp_path):
+    report = lambda r: (r, "c1", 2024, "ESG", r, 1, "u", "pass")
+    result = lambda r, i: (f"{r}{i}", r, i, Dec(1), None, "t", "disclosed", "auto_verified_high")
+    evidence = lambda r, i: (f"e{r}{i}", f"{r}{i}", 1, "f", "rule", Dec("0.9"), [], "auto_verified_high")
+    candidate = lambda r, i: (f"k{r}{i}", r, i, "1", "t", Dec(1), "t", "rule", 1, "f", Dec("0.9"))
+    pairs = [(r, i) for r in ("r1", "r2") for i in ("E01", "E02")]
+    for name, rows_, schema in (
+        ("reports", [report("r1"), report("r2")], S.REPORT),
+        ("results", [result(*x) for x in pairs], S.RESULT),
+        ("evidence", [evidence(*x) for x in pairs], S.EVIDENCE),
+        ("candidates", [candidate(*x) for x in pairs], S.CANDIDATE),
+        ("reviews", [("r2E01", "rejected", "x", dt.datetime(2024, 1, 1), None)], S.REVIEW),
+    ):
+        spark.createDataFrame(rows_, schema).write.parquet(str(tmp_path / "seed" / name))
+    p = Platform(spark, str(tmp_path / "seed"), str(tmp_path / "run"), spark.createDataFrame(CATALOGUE, S.INDICATOR))
+
+    def state():
+        shown = sorted(rows(p.results(), "result_id", "review_status")), p._evidence().count(), p.candidates().count(), p.reports().count()
+        assert all(r["ok"] for r in p.health().collect())
+        return shown
+
+    before = state()
+    assert before[1:] == (4, 4, 2) and ("r2E01", "rejected") in before[0]
+    p.initialise()
+    assert state() == before
+    with pytest.raises(Exception):
+        p.initialise()
+    assert state() == before
+    p.store.append(spark.createDataFrame([("r1", b"%PDF-1\nemissions of 5 t")], S.UPLOAD), "uploads")
+    job = p.create_job("r1")
+    assert rows(p.job(job), "state") == [("succeeded",)]
+    after = state()
+    assert after != before and after[1:] == (3, 3, 2)  # one of r1 now, two of r2
+    p.restore()
+    assert state() == before
+    again = p.create_job("r1")
+    assert rows(p.job(again), "state") == [("succeeded",)] and state()[1:] == (3, 3, 2)
+    p.store.restore("results", S.RESULT)
+    assert state() == before
+
+
+def test_of_several_runners_one_takes_a_job(platform):
+    report = platform.reports().where("company_id = 'c1' and report_year = 2023").first()["report_id"]
+    job = platform.submit(report)
+    own = [Platform(platform.spark, platform.store.seed, platform.store.runtime, platform.catalogue) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda p: p.store.claim("contested"), own * 5))
+        assert won.count(True) == 1
+        taken = list(pool.map(lambda p: p.run_queued(), own))
+    assert sorted(taken) == [[], [], [], [job]]
+    events = platform._events().where(F.col("job_id") == job).orderBy("event_id")
+    assert rows(events, "event_id", "state") == [(1, "queued"), (2, "running"), (3, "succeeded")]
+    with pytest.raises(ValueError):
+        platform.run(job)
