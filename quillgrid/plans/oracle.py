@@ -180,4 +180,7 @@ UNION ALL SELECT 'address', page_id FROM pages WHERE contains(url, 're') UNION A
 WITH p AS (SELECT page_id, {HOST} AS host, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)),
 m AS (SELECT page_id, CASE WHEN regexp_matches(path, '^/de/.*7$') THEN [7, 0] END AS a, CASE WHEN starts_with(path, '/en') THEN [4, 1] END AS b, CASE WHEN regexp_matches(path, '^/.*5') THEN [3, 0] END AS c, host FROM p)
 SELECT page_id, CASE WHEN host IS NULL THEN true WHEN NOT ends_with(host, '.com') THEN false ELSE coalesce(list_sort(list_filter([a, b, c], lambda x: x IS NOT NULL), 'DESC')[1][2] = 1, true) END AS robots_allowed FROM m""",
+    "q50_live_jobs": f"""
+WITH {JOBS}, l AS (SELECT job_id, arg_max(state, (ts, event_id)) AS state, max(ts) AS ts, count(*) AS n_events, min(ts) FILTER (state = 'running') AS started FROM jobs GROUP BY 1)
+SELECT job_id, state, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, n_events, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, started IS NOT NULL AND state NOT IN ('succeeded', 'failed', 'timed_out') AS overdue FROM l""",
 }

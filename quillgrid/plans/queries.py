@@ -21,6 +21,7 @@ from quillgrid.operators import collect, extract, files, guard, idempotency, job
 from quillgrid.operators.export import csv_line
 from quillgrid.sources import documents as D
 from quillgrid.sources.tables import Store, scratch, table
+from quillgrid.streaming.live_jobs import follow_jobs, read_live_jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -605,3 +606,16 @@ def q49_robots_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = hosts.select("host", F.inline(F.array(rule("*", "/", False), rule("Reader", "/*5", False), rule("reader", "/en*", True), rule("reader", "/de/*7$", False))))
     rules = rules.where((F.col("agent") == "*") | F.col("host").endswith(".com"))
     return collect.robots_verdict(p, rules, agent="reader").select("page_id", "robots_allowed")
+
+
+@query
+def q50_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job's state as a stream of event files keeps it: files out of order, and a third of the events twice."""
+    own = job_events(spark, sf_dir).select(F.col("job_id").cast("string").alias("job_id"), F.col("event_id").cast("long").alias("event_id"), "state", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("reason"))
+    source, target, checkpoint = (scratch(spark, x) for x in ("job-events", "live-jobs", "live-jobs-checkpoint"))
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for rows in (own.where(part == 0), own.where(part == 1), own.where(part != 1)):
+        rows.write.mode("append").parquet(source)
+        follow_jobs(spark, source, S.JOB_EVENT, checkpoint, target)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return read_live_jobs(spark, target).select(F.col("job_id").cast("long").alias("job_id"), "state", shown("ts"), "n_events", shown("started"), "overdue")

@@ -18,12 +18,12 @@ from quillgrid.operators.files import not_stored
 RUN = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())])
 
 
-def _run_id(spark: SparkSession, checkpoint: str) -> str:
+def run_id_of(spark: SparkSession, checkpoint: str) -> str:
     """The id that a checkpoint keeps for its query, also when it is started again."""
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
-def _replace(rows: DataFrame, run_id: str, batch_id: int, target: str) -> None:
+def replace_batch(rows: DataFrame, run_id: str, batch_id: int, target: str) -> None:
     """Write a batch's rows in place of those it may have written before."""
     named = rows.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("long")})
     named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN.names).parquet(target)
@@ -42,9 +42,9 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, target: s
         path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         exists = path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(path)
         known = session.read.schema(stored_schema).parquet(target) if exists else session.createDataFrame([], stored_schema)
-        run_id = _run_id(session, checkpoint)
+        run_id = run_id_of(session, checkpoint)
         known = known.where((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
-        _replace(not_stored(batch, known, "file_sha256", id_col), run_id, batch_id, target)
+        replace_batch(not_stored(batch, known, "file_sha256", id_col), run_id, batch_id, target)
 
     stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -58,7 +58,7 @@ def job_states(spark: SparkSession, source: str, schema: T.StructType, checkpoin
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         own = batch.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "state")).alias("last"), F.count("*").alias("n_events"))
-        _replace(own, _run_id(batch.sparkSession, checkpoint), batch_id, target)
+        replace_batch(own, run_id_of(batch.sparkSession, checkpoint), batch_id, target)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
