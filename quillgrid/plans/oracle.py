@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from quillgrid.catalogue import rows as catalogue_rows
 
+#: Terms that can't overlap themselves, so that counting by replacement gives the same.
+SEARCH_TERMS = ("the ", "er", "ción", "é", "n de ", "#")
+
 YEAR = "year(o_orderdate)::BIGINT"
 TYPE = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'ESG' WHEN '2' THEN 'SD' WHEN '3' THEN 'CSR' WHEN '4' THEN 'ENV' WHEN '5' THEN 'OTHER' END"
 REPORTS = f"""reports AS (SELECT o_orderkey AS report_id, o_custkey AS company_id, {YEAR} AS report_year, {TYPE} AS report_type,
@@ -183,4 +186,7 @@ SELECT page_id, CASE WHEN host IS NULL THEN true WHEN NOT ends_with(host, '.com'
     "q50_live_jobs": f"""
 WITH {JOBS}, l AS (SELECT job_id, arg_max(state, (ts, event_id)) AS state, max(ts) AS ts, count(*) AS n_events, min(ts) FILTER (state = 'running') AS started FROM jobs GROUP BY 1)
 SELECT job_id, state, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, n_events, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, started IS NOT NULL AND state NOT IN ('succeeded', 'failed', 'timed_out') AS overdue FROM l""",
+    "q51_search_index": f"""
+SELECT term, doc_id, (length(text) - length(replace(text, term, ''))) // length(term) AS n_hits, instr(text, term) AS first_at
+FROM documents, (SELECT unnest([{", ".join(f"'{t}'" for t in SEARCH_TERMS)}]) AS term) WHERE contains(text, term)""",
 }

@@ -8,6 +8,7 @@ discount: confidence), a document for a report's text, a page for a collected ad
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from quillgrid.catalogue import catalogue as built_in
 from quillgrid.functions import columns as C
 from quillgrid.functions import units as U
 from quillgrid.operators import analytics as A
-from quillgrid.operators import collect, extract, files, guard, idempotency, jobs
+from quillgrid.operators import collect, extract, files, guard, idempotency, jobs, postings
 from quillgrid.operators.export import csv_line
+from quillgrid.plans.oracle import SEARCH_TERMS
 from quillgrid.sources import documents as D
 from quillgrid.sources.tables import Store, scratch, table
 from quillgrid.streaming.live_jobs import follow_jobs, read_live_jobs
@@ -619,3 +621,13 @@ def q50_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         follow_jobs(spark, source, S.JOB_EVENT, checkpoint, target)
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return read_live_jobs(spark, target).select(F.col("job_id").cast("long").alias("job_id"), "state", shown("ts"), "n_events", shown("started"), "overdue")
+
+
+@query
+def q51_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold each of some terms, how often and where first, from an inverted index built in two batches, one of them twice."""
+    d, path = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "postings")
+    for batch, rest in (("first", 0), ("second", 1), ("first", 0)):
+        postings.index(d.where(F.pmod("doc_id", F.lit(2)) == rest), path, batch, buckets=16)
+    found = [postings.search(spark, path, term, 16).withColumn("term", F.lit(term)) for term in SEARCH_TERMS]
+    return reduce(DataFrame.unionByName, found).select("term", "doc_id", "n_hits", "first_at")
