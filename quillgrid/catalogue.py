@@ -29,13 +29,38 @@ NAMES = {
 }
 
 
+# What reports in Chinese call some of them.
+CHINESE = {
+    "scope 1 emissions": "范围一排放量|范围1排放量|直接温室气体排放",
+    "scope 2 emissions": "范围二排放量|范围2排放量|间接温室气体排放",
+    "total emissions": "温室气体排放总量",
+    "nitrogen oxide emissions": "氮氧化物排放量",
+    "sulphur dioxide emissions": "二氧化硫排放量",
+    "hazardous waste": "危险废物",
+    "electricity consumption": "用电量|耗电量|电力消耗",
+    "total energy consumption": "综合能耗|能源消耗总量",
+    "water consumption": "用水量|耗水量",
+    "environmental investment": "环保投入|环境保护投入",
+    "total employees": "员工总数|在职员工",
+    "female employees": "女性员工",
+    "training hours": "培训时长|培训总时长",
+    "charitable donations": "公益捐赠|对外捐赠",
+    "research expenditure": "研发投入",
+    "board members": "董事会成员",
+    "independent directors": "独立董事",
+    "climate risk assessment": "气候风险评估",
+    "whistleblower protection": "举报人保护",
+}
+
+
 def pattern(name: str, unit: str | None) -> str:
-    """A name and, for quantities, the number and unit that follow in the same sentence; group 1 the value, group 2 the unit."""
+    """A name, English or Chinese, and, for quantities, the number and unit that follow in the same sentence; group 1 the value, group 2 the unit."""
     words = name.replace("-", "[- ]").replace(" ", " +")
+    chinese = f"|{CHINESE[name]}" if name in CHINESE else ""
     if unit is None:
-        return rf"(?i)\b({words})\b()"
+        return rf"(?i)(\b{words}\b{chinese})()"
     raw = "|".join(sorted((x for x, canonical, _ in UNITS if canonical == unit), key=lambda x: (-len(x), x)))
-    return rf"(?i:\b{words}\b)[^0-9.\n]{{0,60}}([0-9][0-9,]*(?:\.[0-9]+)?) ?({raw})(?![A-Za-z0-9])"
+    return rf"(?i:\b{words}\b{chinese})[^0-9.。\n]{{0,60}}([0-9][0-9,]*(?:\.[0-9]+)?) ?({raw})(?![A-Za-z0-9])"
 
 
 def rows() -> list[tuple[str, str, str, str | None, str]]:

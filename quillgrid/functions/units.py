@@ -32,6 +32,23 @@ UNITS = (
     ("hours", "h", "1"),
     ("person", "person", "1"),
     ("people", "person", "1"),
+    ("吨", "t", "1"),
+    ("万吨", "t", "10000"),
+    ("千克", "t", "0.001"),
+    ("公斤", "t", "0.001"),
+    ("吨二氧化碳当量", "tCO2e", "1"),
+    ("万吨二氧化碳当量", "tCO2e", "10000"),
+    ("千瓦时", "kWh", "1"),
+    ("万千瓦时", "kWh", "10000"),
+    ("兆瓦时", "kWh", "1000"),
+    ("吉焦", "GJ", "1"),
+    ("立方米", "m3", "1"),
+    ("万立方米", "m3", "10000"),
+    ("元", "CNY", "1"),
+    ("万元", "CNY", "10000"),
+    ("亿元", "CNY", "100000000"),
+    ("小时", "h", "1"),
+    ("人", "person", "1"),
 )
 
 

@@ -28,14 +28,19 @@ def valued(docs: DataFrame, units: list[str], id_col: str = "doc_id", text_col:
 MOST_INDICATORS = 2000
 
 
-def by_catalogue(lines: DataFrame, catalogue: DataFrame, source_type: str = "rule", confidence: str = "0.9000") -> DataFrame:
-    """Candidates of each page line by each indicator's pattern (group 1 the value, group 2 the unit), all hits of a line.
-
-    The patterns become constants of one projection; a pattern of all of them leaves out lines that none can hit.
-    """
+def patterns_of(catalogue: DataFrame) -> list[tuple[str, str]]:
+    """(indicator, pattern) in order."""
     known = [(r["indicator_id"], r["pattern"]) for r in catalogue.select("indicator_id", "pattern").where("pattern is not null").orderBy("indicator_id").limit(MOST_INDICATORS + 1).collect()]
     if len(known) > MOST_INDICATORS:
         raise ValueError(f"a catalogue of over {MOST_INDICATORS} indicators")
+    return known
+
+
+def line_hits(lines: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
+    """``report_id, page, line_no, text, indicator_id, hit_no, raw, raw_of``: all hits of each pattern (group 1 the value, group 2 the unit).
+
+    The patterns become constants of one projection; a pattern of all of them leaves out lines that none can hit.
+    """
     kind = "array<struct<indicator_id:string,hit_no:int,raw:string,raw_of:string>>"
 
     def hits(indicator: str, pattern: str) -> Column:
@@ -45,9 +50,12 @@ def by_catalogue(lines: DataFrame, catalogue: DataFrame, source_type: str = "rul
 
     some = F.col("text").rlike("|".join(f"(?:{p})" for _, p in known)) if known else F.lit(False)
     every = F.flatten(F.array(*[hits(*x) for x in known])) if known else F.array().cast(kind)
-    met = lines.where(some).select("report_id", "page", "line_no", "text", F.inline(every))
+    return lines.where(some).select("report_id", "page", "line_no", "text", F.inline(every))
+
+
+def candidates_of(hits: DataFrame, source_type: str, confidence: str) -> DataFrame:
     raw, unit = F.col("raw"), F.col("raw_of")
-    return met.select(
+    return hits.select(
         F.sha2(F.concat_ws("|", "report_id", "indicator_id", "page", "line_no", "hit_no", F.lit(source_type)), 256).alias("candidate_id"),
         "report_id",
         "indicator_id",
@@ -62,6 +70,11 @@ def by_catalogue(lines: DataFrame, catalogue: DataFrame, source_type: str = "rul
     )
 
 
+def by_catalogue(lines: DataFrame, catalogue: DataFrame, source_type: str = "rule", confidence: str = "0.9000") -> DataFrame:
+    """Candidates of each page line by each indicator's pattern, all hits of a line; ``anchors.by_anchors`` gives the same with less work for large catalogues."""
+    return candidates_of(line_hits(lines, patterns_of(catalogue)), source_type, confidence)
+
+
 def open_slots(slots: DataFrame, candidates: DataFrame) -> DataFrame:
     """Slots (``report_id, indicator_id``) without a usable candidate."""
     return slots.join(candidates.where("value is not null").select("report_id", "indicator_id").distinct(), ["report_id", "indicator_id"], "left_anti")

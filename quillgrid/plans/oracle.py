@@ -190,3 +190,5 @@ SELECT job_id, state, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, n_events, strf
 SELECT term, doc_id, (length(text) - length(replace(text, term, ''))) // length(term) AS n_hits, instr(text, term) AS first_at
 FROM documents, (SELECT unnest([{", ".join(f"'{t}'" for t in SEARCH_TERMS)}]) AS term) WHERE contains(text, term)""",
 }
+# the same rows by another plan
+ORACLE_SQL["q52_anchor_hits"] = ORACLE_SQL["q44_catalogue_hits"]

@@ -18,7 +18,7 @@ from quillgrid.catalogue import catalogue as built_in
 from quillgrid.functions import columns as C
 from quillgrid.functions import units as U
 from quillgrid.operators import analytics as A
-from quillgrid.operators import collect, extract, files, guard, idempotency, jobs, postings
+from quillgrid.operators import anchors, collect, extract, files, guard, idempotency, jobs, postings
 from quillgrid.operators.export import csv_line
 from quillgrid.plans.oracle import SEARCH_TERMS
 from quillgrid.sources import documents as D
@@ -631,3 +631,12 @@ def q51_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         postings.index(d.where(F.pmod("doc_id", F.lit(2)) == rest), path, batch, buckets=16)
     found = [postings.search(spark, path, term, 16).withColumn("term", F.lit(term)) for term in SEARCH_TERMS]
     return reduce(DataFrame.unionByName, found).select("term", "doc_id", "n_hits", "first_at")
+
+
+@query
+def q52_anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each text line by the patterns whose required words it holds."""
+    lines = D.text_lines(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "report_id")
+    known = spark.createDataFrame([(i, "E", "quantitative", None, p) for i, p in STAND_IN], S.INDICATOR)
+    found = anchors.by_anchors(lines, known)
+    return found.groupBy("report_id", "indicator_id").agg(F.count("*").alias("n"), F.countDistinct("candidate_id").alias("n_candidates"), F.min("raw_value").alias("least_value"), F.max("raw_unit").alias("largest_unit"), F.count("value").alias("n_numbers"))

@@ -25,7 +25,7 @@ from quillgrid import schemas as S
 from quillgrid.catalogue import catalogue as built_in
 from quillgrid.functions import units as U
 from quillgrid.operators import analytics as A
-from quillgrid.operators import export, extract, files, guard, idempotency, jobs
+from quillgrid.operators import anchors, export, extract, files, guard, idempotency, jobs
 from quillgrid.sources import documents as D
 from quillgrid.sources import reports as R
 from quillgrid.sources.tables import Store
@@ -236,7 +236,7 @@ class Platform:
             raise ValueError(broken[0]["text"])
         slots = report.select("report_id").crossJoin(self.catalogue.select("indicator_id"))
         units = U.unit_table(self.spark)
-        rules: Layer = lambda open_: extract.by_catalogue(lines, self.catalogue).join(open_, ["report_id", "indicator_id"], "left_semi")
+        rules: Layer = lambda open_: anchors.by_anchors(lines, self.catalogue).join(open_, ["report_id", "indicator_id"], "left_semi")
         known = S.CANDIDATE.fieldNames()
         # each layer has a table of the run's of its own name to read back from
         keep = lambda found, k: self._keep(U.normalise(found, units).select(*known), "candidates", S.CANDIDATE, run_id if k == 0 else f"{run_id}#{k}")
