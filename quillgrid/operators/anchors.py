@@ -101,21 +101,24 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def by_anchors(lines: DataFrame, catalogue: DataFrame, source_type: str = "rule", confidence: str = "0.9000") -> DataFrame:
-    """The candidates of ``extract.by_catalogue``, for catalogues of any size up to ``extract.MOST_INDICATORS``."""
+def by_anchors(lines: DataFrame, catalogue: DataFrame, source_type: str = "rule", confidence: str = "0.9000", fragment: str = "text") -> DataFrame:
+    """The candidates of ``extract.by_catalogue``, for catalogues of any size up to ``extract.MOST_INDICATORS``.
+
+    ``fragment``: the column that is shown as evidence, if it isn't the text that is searched.
+    """
     known = extract.patterns_of(catalogue)
     anchored = [(i, p, words) for i, p in known if (words := required_words(p))]
     loose = [(i, p) for i, p in known if not required_words(p)]
-    out = extract.candidates_of(extract.line_hits(lines, loose), source_type, confidence)
+    out = extract.candidates_of(extract.line_hits(lines, loose, fragment), source_type, confidence)
     if not anchored:
         return out
     spark = lines.sparkSession
     table = spark.createDataFrame([(w, i, p, words) for i, p, words in anchored for w in words], "word string, indicator_id string, pattern string, words array<string>")
-    cut = lines.select("report_id", "page", "line_no", "text", tokens(F.col("text")).alias("tokens"))
+    cut = lines.select("report_id", "page", "line_no", "text", F.col(fragment).alias("fragment"), tokens(F.col("text")).alias("tokens"))
     worded = cut.select("*", F.explode("tokens").alias("word"))
     # at most MOST_INDICATORS patterns; of several anchors in a line one brings the pair
     first = (F.size("words") == 1) | (F.col("word") == F.array_min(F.array_intersect("tokens", "words")))
     met = worded.join(F.broadcast(table), "word").where(first)
     own = F.arrays_zip(*[F.regexp_extract_all("text", F.col("pattern"), F.lit(k)).alias(n) for k, n in ((1, "raw"), (2, "raw_of"))])
-    hits = met.select("report_id", "page", "line_no", "text", "indicator_id", F.posexplode(own).alias("hit_no", "hit"))
-    return out.unionByName(extract.candidates_of(hits.select("report_id", "page", "line_no", "text", "indicator_id", "hit_no", "hit.raw", "hit.raw_of"), source_type, confidence))
+    hits = met.select("report_id", "page", "line_no", "fragment", "indicator_id", F.posexplode(own).alias("hit_no", "hit"))
+    return out.unionByName(extract.candidates_of(hits.select("report_id", "page", "line_no", "fragment", "indicator_id", "hit_no", "hit.raw", "hit.raw_of"), source_type, confidence))

@@ -36,8 +36,8 @@ def patterns_of(catalogue: DataFrame) -> list[tuple[str, str]]:
     return known
 
 
-def line_hits(lines: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
-    """``report_id, page, line_no, text, indicator_id, hit_no, raw, raw_of``: all hits of each pattern (group 1 the value, group 2 the unit).
+def line_hits(lines: DataFrame, known: list[tuple[str, str]], fragment: str = "text") -> DataFrame:
+    """``report_id, page, line_no, fragment, indicator_id, hit_no, raw, raw_of``: all hits of each pattern (group 1 the value, group 2 the unit).
 
     The patterns become constants of one projection; a pattern of all of them leaves out lines that none can hit.
     """
@@ -50,7 +50,7 @@ def line_hits(lines: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
 
     some = F.col("text").rlike("|".join(f"(?:{p})" for _, p in known)) if known else F.lit(False)
     every = F.flatten(F.array(*[hits(*x) for x in known])) if known else F.array().cast(kind)
-    return lines.where(some).select("report_id", "page", "line_no", "text", F.inline(every))
+    return lines.where(some).select("report_id", "page", "line_no", F.col(fragment).alias("fragment"), F.inline(every))
 
 
 def candidates_of(hits: DataFrame, source_type: str, confidence: str) -> DataFrame:
@@ -65,7 +65,7 @@ def candidates_of(hits: DataFrame, source_type: str, confidence: str) -> DataFra
         F.lit(None).cast("string").alias("unit"),
         F.lit(source_type).alias("source_type"),
         F.col("page").cast("int").alias("page"),
-        F.col("text").alias("fragment"),
+        "fragment",
         F.lit(confidence).cast("decimal(5,4)").alias("confidence"),
     )
 

@@ -22,6 +22,7 @@ from quillgrid.operators import anchors, collect, extract, files, guard, idempot
 from quillgrid.operators.export import csv_line
 from quillgrid.plans.oracle import SEARCH_TERMS
 from quillgrid.sources import documents as D
+from quillgrid.sources import layout
 from quillgrid.sources.tables import Store, scratch, table
 from quillgrid.streaming.live_jobs import follow_jobs, read_live_jobs
 
@@ -640,3 +641,15 @@ def q52_anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([(i, "E", "quantitative", None, p) for i, p in STAND_IN], S.INDICATOR)
     found = anchors.by_anchors(lines, known)
     return found.groupBy("report_id", "indicator_id").agg(F.count("*").alias("n"), F.countDistinct("candidate_id").alias("n_candidates"), F.min("raw_value").alias("least_value"), F.max("raw_unit").alias("largest_unit"), F.count("value").alias("n_numbers"))
+
+
+@query
+def q53_layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of tables in plain text with their label, header and unit: each order is a page with a table of its items (S3)."""
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("quantity"), A.dec(F.col("l_extendedprice")).cast("string").alias("price"))
+    row = F.concat(F.rpad(F.concat(F.lit("item "), F.col("l_linenumber")), 14, " "), F.rpad("quantity", 12, " "), F.col("price"))
+    head = F.array(F.lit("Order of items"), F.concat(F.rpad(F.lit("Item"), 14, " "), F.rpad(F.lit("Amount"), 12, " "), F.lit("Price")), F.concat(F.lit(" " * 14), F.rpad(F.lit("kg"), 12, " "), F.lit("CNY")))
+    texts = i.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.concat(head, F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("t")))), lambda x: x["t"])), "\n").alias("text"))
+    lines = D.text_lines(texts).withColumnRenamed("doc_id", "report_id")
+    found = layout.facts(layout.cells(lines), U.unit_table(spark))
+    return found.select("report_id", "row", "col", "label", "header", "unit", F.col("raw_value").cast("double").alias("value"))

@@ -27,6 +27,7 @@ from quillgrid.functions import units as U
 from quillgrid.operators import analytics as A
 from quillgrid.operators import anchors, export, extract, files, guard, idempotency, jobs
 from quillgrid.sources import documents as D
+from quillgrid.sources import layout
 from quillgrid.sources import reports as R
 from quillgrid.sources.tables import Store
 
@@ -237,10 +238,11 @@ class Platform:
         slots = report.select("report_id").crossJoin(self.catalogue.select("indicator_id"))
         units = U.unit_table(self.spark)
         rules: Layer = lambda open_: anchors.by_anchors(lines, self.catalogue).join(open_, ["report_id", "indicator_id"], "left_semi")
+        tables: Layer = lambda open_: layout.table_candidates(layout.facts(layout.cells(lines), units), self.catalogue, self.reports().select("report_id", "report_year")).join(open_, ["report_id", "indicator_id"], "left_semi")
         known = S.CANDIDATE.fieldNames()
         # each layer has a table of the run's of its own name to read back from
         keep = lambda found, k: self._keep(U.normalise(found, units).select(*known), "candidates", S.CANDIDATE, run_id if k == 0 else f"{run_id}#{k}")
-        found = extract.layered(slots, [rules, *layers], keep)
+        found = extract.layered(slots, [rules, tables, *layers], keep)
         pages = lines.groupBy("report_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
         results, evidence = guard.accept(guard.guard(found, pages, self.catalogue, self.reports().select("report_id", "report_year")))
         every = guard.with_undisclosed(results.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.RESULT.fields]), slots)
