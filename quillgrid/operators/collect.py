@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from quillgrid.functions import columns as C
 from quillgrid.operators.files import failed_rules
 from quillgrid.schemas import REPORT_TYPES
+from quillgrid.sources.tables import scratch
 
 
 def robots_verdict(urls: DataFrame, rules: DataFrame, url_col: str = "url", agent: str = "*") -> DataFrame:
     """``urls`` with ``robots_allowed``: the longest rule that matches the path decides, allow before disallow.
 
     ``rules``: ``host, prefix, allow`` and, if there are any, ``agent``: a host's rules for ``agent`` stand for its rules for all (``*``).
-    In a prefix ``*`` stands for any characters and a ``$`` at its end for the end of the path. Joined on the host (an equality, so
-    no nested loop), then by the rule.
+    In a prefix ``*`` stands for any characters and a ``$`` at its end for the end of the path. A path is cut at the lengths that its host's
+    rules have (of a rule with wild cards the literal head counts), and each cut meets its rules by host and text, so an address
+    costs the number of lengths and not that of the host's rules.
     """
     keyed = urls.select(F.col(url_col).alias("robots_url")).distinct().select("robots_url", C.host(F.col("robots_url")).alias("robots_host"), C.url_path(F.col("robots_url")).alias("robots_path"))
     whose = F.lower(F.coalesce("agent", F.lit("*"))) if "agent" in rules.columns else F.lit("*")
@@ -32,8 +34,14 @@ def robots_verdict(urls: DataFrame, rules: DataFrame, url_col: str = "url", agen
     own = own.withColumn("rule", F.concat(F.lit("(?s)^"), quoted, F.when(ends, "$").otherwise("")))
     named = own.where(F.col("of_agent") != "*").select("robots_host").distinct()
     own = own.where(F.col("of_agent") != "*").unionByName(own.where(F.col("of_agent") == "*").join(named, "robots_host", "left_anti").select(own.columns))
+    own = own.withColumn("head", F.regexp_extract(body, r"(?s)^([^*]*)", 1))
+    # one row a host; lengths are those of paths
+    lengths = own.groupBy("robots_host").agg(F.collect_set(F.length("head")).alias("lengths"))
+    fits = F.filter("lengths", lambda n: n <= F.length("robots_path"))
+    cut = keyed.join(lengths, "robots_host").select("robots_url", "robots_host", "robots_path", F.explode(fits).alias("n"))
+    cut = cut.select("robots_url", "robots_host", "robots_path", F.substring("robots_path", F.lit(1), F.col("n")).alias("head"))
     plain = ~F.col("prefix").rlike(r"[*]|\$$")
-    met = keyed.join(own, "robots_host").where(F.when(plain, F.col("robots_path").startswith(F.col("prefix"))).otherwise(F.rlike("robots_path", F.col("rule"))))
+    met = cut.join(own, ["robots_host", "head"]).where(plain | F.rlike("robots_path", F.col("rule")))
     verdict = met.groupBy("robots_url").agg(F.max(F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow"))).alias("robots_best"))
     joined = urls.join(verdict, F.col(url_col) == F.col("robots_url"), "left").withColumn("robots_allowed", F.coalesce(F.col("robots_best.allow"), F.lit(True)))
     return joined.drop("robots_best", "robots_url")
@@ -41,9 +49,21 @@ def robots_verdict(urls: DataFrame, rules: DataFrame, url_col: str = "url", agen
 
 def paced(urls: DataFrame, delay_seconds: float, url_col: str = "url") -> DataFrame:
     """``slot`` (0, 1, ... for each host) and ``not_before_seconds``: requests to a host keep their distance."""
-    own = urls.withColumn("host", C.host(F.col(url_col)))
-    slot = F.row_number().over(Window.partitionBy("host").orderBy(url_col)) - 1
-    return own.withColumn("slot", slot.cast("long")).withColumn("not_before_seconds", F.col("slot") * F.lit(float(delay_seconds)))
+    spark, order = urls.sparkSession, ["host", url_col, "tie"]
+    own = urls.withColumn("host", C.host(F.col(url_col))).withColumn("tie", F.monotonically_increasing_id())
+    # a host of very many addresses lies in several ranges; a table keeps the ranges as they were cut
+    path = scratch(spark, "paced")
+    own.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    # counts of the ranges before, a row for each host in each range
+    counts = dealt.groupBy("part", "host").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(F.col("part").alias("of_part"), F.col("host").alias("of_host"), "before")
+    within = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("part", "host").orderBy(*order)))
+    met = within.join(before, (F.col("part") == F.col("of_part")) & F.col("host").eqNullSafe(F.col("of_host")))
+    slot = (F.col("before") + F.col("nth") - 1).cast("long")
+    columns = [F.col(f"`{c}`") for c in urls.columns if c != "host"]
+    return met.select(*columns, "host", slot.alias("slot"), (slot * F.lit(float(delay_seconds))).alias("not_before_seconds"))
 
 
 def plan(manifest: DataFrame, domains: Iterable[str]) -> DataFrame:

@@ -26,7 +26,7 @@ def _file(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     system, target = _file(spark, path)
     return system.exists(target)
 
@@ -49,15 +49,15 @@ class Store:
 
     def _read(self, root: str, name: str, schema: T.StructType) -> DataFrame | None:
         path = f"{root}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, path) else None
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else None
 
     def of_seed(self, name: str, schema: T.StructType) -> DataFrame:
         """The seed's rows; none once they were copied to the runtime root."""
-        found = None if _exists(self.spark, f"{self.runtime}/{name}/{COPIED}") else self._read(self.seed, name, schema)
+        found = None if exists(self.spark, f"{self.runtime}/{name}/{COPIED}") else self._read(self.seed, name, schema)
         return self.spark.createDataFrame([], schema) if found is None else found
 
     def has_seed(self, name: str) -> bool:
-        return _exists(self.spark, f"{self.seed}/{name}")
+        return exists(self.spark, f"{self.seed}/{name}")
 
     def original(self, name: str, schema: T.StructType) -> DataFrame:
         """The seed's rows, whether they were copied or not."""
