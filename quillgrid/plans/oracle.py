@@ -192,6 +192,11 @@ FROM documents, (SELECT unnest([{", ".join(f"'{t}'" for t in SEARCH_TERMS)}]) AS
     "q53_layout_tables": """
 WITH i AS (SELECT l_orderkey AS report_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, rpad(l_quantity::INT::VARCHAR, 12, ' ') || l_extendedprice::DECIMAL(18,2)) + 2 AS row, 'item ' || l_linenumber AS label, l_quantity, l_extendedprice FROM lineitem)
 SELECT report_id, row, 2 AS col, label, 'Amount' AS header, 'kg' AS unit, l_quantity::INT::DOUBLE AS value FROM i UNION ALL SELECT report_id, row, 3, label, 'Price', 'CNY', l_extendedprice::DECIMAL(18,2)::DOUBLE FROM i""",
+    "q54_ingest": "SELECT min(doc_id) AS doc_id, sha256(text) AS file_sha256 FROM documents WHERE text IS NOT NULL GROUP BY text",
+    "q55_platform_seed": """
+WITH i AS (SELECT DISTINCT l_orderkey AS r, l_linenumber AS n FROM lineitem), o AS (SELECT o_orderkey AS r FROM orders WHERE o_orderkey % 7 = 0),
+s AS (SELECT count(*) AS n FROM i), k AS (SELECT count(*) AS n FROM i WHERE NOT (r IN (SELECT r FROM o)) OR (r % 7 = 0 AND n <= 2))
+SELECT step, name, (CASE WHEN step = 'run' THEN k.n ELSE s.n END) AS n FROM s, k, (SELECT unnest(['seed', 'copied', 'run', 'restored']) AS step), (SELECT unnest(['results', 'evidence', 'candidates']) AS name)""",
 }
 
 # the same rows by another plan

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid import schemas as S
 from quillgrid.catalogue import catalogue as built_in
@@ -21,9 +22,11 @@ from quillgrid.operators import analytics as A
 from quillgrid.operators import anchors, collect, extract, files, guard, idempotency, jobs, postings
 from quillgrid.operators.export import csv_line
 from quillgrid.plans.oracle import SEARCH_TERMS
+from quillgrid.platform import Platform
 from quillgrid.sources import documents as D
 from quillgrid.sources import layout
 from quillgrid.sources.tables import Store, scratch, table
+from quillgrid.streaming.ingest import ingest_new
 from quillgrid.streaming.live_jobs import follow_jobs, read_live_jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,3 +656,54 @@ def q53_layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = D.text_lines(texts).withColumnRenamed("doc_id", "report_id")
     found = layout.facts(layout.cells(lines), U.unit_table(spark))
     return found.select("report_id", "row", "col", "label", "header", "unit", F.col("raw_value").cast("double").alias("value"))
+
+
+@query
+def q54_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that a stream of files takes once each, in two runs; the second brings copies of what the first stored (T4, T5)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    source, target, checkpoint = (scratch(spark, x) for x in ("inbox", "ingested", "ingest-checkpoint"))
+    middle = d.agg(F.percentile("doc_id", 0.5)).first()[0]
+    for own in (d.where(F.col("doc_id") <= middle), d.where(F.col("doc_id") > middle)):
+        own.write.mode("append").parquet(source)
+        ingest_new(spark, source, d.schema, target, checkpoint)
+    return spark.read.parquet(target).select("doc_id", "file_sha256")
+
+
+@query
+def q55_platform_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as the platform reads them: of the seed, after its copy, after runs of some reports, and after it was restored."""
+    seed, runtime = scratch(spark, "seed"), scratch(spark, "runtime")
+    text = lambda c: F.col(c).cast("string")
+    items = table(spark, sf_dir, "lineitem").select(text("l_orderkey").alias("report_id"), text("l_linenumber").alias("indicator_id"), A.dec(F.col("l_quantity")).cast("decimal(28,6)").alias("value")).groupBy("report_id", "indicator_id").agg(F.max("value").alias("value"))
+    orders = reports(spark, sf_dir)
+    shaped = lambda df, schema: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    key = F.concat_ws("-", "report_id", "indicator_id")
+    results = items.withColumn("result_id", key).withColumn("disclosure_status", F.lit("disclosed"))
+    evidence = items.select(key.alias("evidence_id"), key.alias("result_id"))
+    shaped(orders.withColumn("report_id", text("report_id")).withColumn("company_id", text("company_id")), S.REPORT).write.parquet(f"{seed}/reports")
+    shaped(results, S.RESULT).write.parquet(f"{seed}/results")
+    shaped(evidence, S.EVIDENCE).write.parquet(f"{seed}/evidence")
+    shaped(items.withColumn("candidate_id", key), S.CANDIDATE).write.parquet(f"{seed}/candidates")
+    own = Platform(spark, seed, runtime)
+    shown = []
+
+    def show(step: str) -> None:
+        for name, df in (("results", own._plain_results()), ("evidence", own._evidence()), ("candidates", own.candidates())):
+            shown.append((step, name, df.count()))
+
+    show("seed")
+    own.initialise()
+    show("copied")
+    # a run of every seventh report keeps its first two slots
+    again = (F.col("report_id").cast("long") % 7 == 0) & (F.col("indicator_id").cast("int") <= 2)
+    run = F.concat(F.lit("run-"), F.col("report_id"))
+    for name, df, schema in (("results", results, S.RESULT), ("evidence", evidence.withColumn("report_id", F.substring_index("result_id", "-", 1)).withColumn("indicator_id", F.substring_index("result_id", "-", -1)), S.EVIDENCE), ("candidates", items.withColumn("candidate_id", key), S.CANDIDATE)):
+        full = T.StructType([*schema.fields, *[T.StructField(c, T.StringType()) for c in ("report_id", "run_id") if c not in schema.fieldNames()]])
+        own.store.append(shaped(df.where(again).withColumn("run_id", run), full), name)
+    listed = orders.select(text("report_id").alias("report_id")).where(F.col("report_id").cast("long") % 7 == 0)
+    own.store.append(listed.select(run.alias("run_id"), "report_id", F.localtimestamp().alias("ts")), "runs")
+    show("run")
+    own.restore()
+    show("restored")
+    return spark.createDataFrame(shown, "step string, name string, n long")

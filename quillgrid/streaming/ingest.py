@@ -76,7 +76,7 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, target: s
     stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-STATES = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("last", T.StructType([S.JOB_EVENT[c] for c in ("ts", "event_id", "state")])), T.StructField("n_events", T.LongType()), *RUN.fields])
+STATES = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("last", T.StructType([S.JOB_EVENT[c] for c in ("ts", "event_id", "state")])), T.StructField("events", T.ArrayType(T.LongType())), *RUN.fields])
 
 
 def job_states(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, target: str) -> None:
@@ -84,7 +84,7 @@ def job_states(spark: SparkSession, source: str, schema: T.StructType, checkpoin
     stream = spark.readStream.schema(schema).parquet(source)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        own = batch.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "state")).alias("last"), F.count("*").alias("n_events"))
+        own = batch.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "state")).alias("last"), F.collect_set("event_id").alias("events"))
         replace_batch(own, run_id_of(batch.sparkSession, checkpoint), batch_id, target)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -93,9 +93,8 @@ def job_states(spark: SparkSession, source: str, schema: T.StructType, checkpoin
 def read_job_states(spark: SparkSession, target: str) -> DataFrame:
     """``job_id, state, ts, n_events``: the current state of each job, from what the batches left.
 
-    A new checkpoint reads events again, so the events of a job are those of the run that saw most of them.
+    Events are told by their ids, so one that several batches or checkpoints saw counts once, and parts that each saw add up.
     """
     stored = spark.read.schema(STATES).parquet(target)
-    of_run = stored.groupBy("job_id", "run_id").agg(F.max("last").alias("last"), F.sum("n_events").alias("n_events"))
-    merged = of_run.groupBy("job_id").agg(F.max("last").alias("last"), F.max("n_events").alias("n_events"))
+    merged = stored.groupBy("job_id").agg(F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("events")))).cast("long").alias("n_events"))
     return merged.select("job_id", "last.state", "last.ts", "n_events")

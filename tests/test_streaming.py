@@ -53,3 +53,14 @@ def test_job_states(spark, tmp_path):
     assert [s[:2] for s in before] == [("j", "running"), ("k", "queued")]
     job_states(spark, source, S.JOB_EVENT, str(tmp_path / "another"), target)  # reads all events again
     assert states() == before
+
+
+def test_job_states_of_checkpoints_that_saw_parts(spark, tmp_path):
+    import datetime as dt
+
+    target = str(tmp_path / "out")
+    for n, events in enumerate(([1, 2], [2, 3], [4])):
+        rows = [("j", k, "running", dt.datetime(2024, 1, k), None) for k in events]
+        spark.createDataFrame(rows, S.JOB_EVENT).write.parquet(str(tmp_path / f"in{n}"))
+        job_states(spark, str(tmp_path / f"in{n}"), S.JOB_EVENT, str(tmp_path / f"cp{n}"), target)
+    assert [tuple(r) for r in read_job_states(spark, target).collect()] == [("j", "running", dt.datetime(2024, 1, 4), 4)]
