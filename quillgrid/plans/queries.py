@@ -277,9 +277,13 @@ def q20_value_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q21_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts by the layer that serves them: rule, table, OCR or model."""
-    d = D.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    layer = F.when(F.col("route") == "ocr", "ocr").when(F.col("text").rlike("[0-9]"), "rule").when(F.contains("text", F.lit(" | ")), "table").otherwise("model")
-    return d.groupBy(layer.alias("layer")).agg(F.count("*").alias("n"))
+    d = D.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("report_id"), F.lit("x").alias("indicator_id"), "text", "route")
+
+    def layer(name: str, serves: Column) -> Callable[[DataFrame], DataFrame]:
+        return lambda open_: d.where(serves).join(open_, ["report_id", "indicator_id"], "left_semi").select("report_id", "indicator_id", F.lit(name).alias("layer"), F.lit(1).alias("value"))
+
+    layers = [layer("ocr", F.col("route") == "ocr"), layer("rule", F.col("text").rlike("[0-9]")), layer("table", F.contains("text", F.lit(" | "))), layer("model", F.lit(True))]
+    return extract.layered(d.select("report_id", "indicator_id"), layers).groupBy("layer").agg(F.count("*").alias("n"))
 
 
 @query
@@ -322,8 +326,13 @@ def q23c_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q24_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of two runs of the same batch."""
-    run = lambda: files.admit(reports(spark, sf_dir), _admission_rules()).select("report_id", "company_id", "report_year", "decision")
-    return idempotency.difference(run(), run())
+    r = reports(spark, sf_dir)
+    once, twice = (Store(spark, scratch(spark, "seed"), scratch(spark, x)) for x in ("once", "twice"))
+    run = lambda store, rows: store.replace_partitions(files.admit(rows, _admission_rules()).select("report_id", "company_id", "report_year", "decision"), "admitted", "report_year")
+    run(once, r)
+    run(twice, r)
+    run(twice, r.repartition(7, "company_id"))  # the same batch in another order
+    return idempotency.difference(*[spark.read.parquet(f"{store.runtime}/admitted") for store in (once, twice)])
 
 
 @query
@@ -460,20 +469,25 @@ def q36_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q37_seed_and_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed and increments read as one."""
     r = reports(spark, sf_dir)
-    both = r.where("report_year < 1999").withColumn("origin", F.lit("seed")).unionByName(r.where("report_year >= 1999").withColumn("origin", F.lit("runtime")))
+    own = r.select("report_id", "company_id", "report_year", "report_type")
+    store = Store(spark, scratch(spark, "seed"), scratch(spark, "runtime"))
+    own.where("report_year < 1999").write.parquet(f"{store.seed}/reports")
+    store.append(own.where("report_year >= 1999"), "reports")
+    at_seed = store.of_seed("reports", own.schema).select("report_id", F.lit("seed").alias("origin"))
+    both = store.read("reports", own.schema, "report_id").join(at_seed, "report_id", "left").withColumn("origin", F.coalesce("origin", F.lit("runtime")))
     return both.groupBy("origin", "report_type").agg(F.count("*").alias("n"), F.countDistinct("company_id").alias("companies"))
 
 
 @query
 def q38_candidates_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of several extractors in one set, by layer and unit."""
-    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    layer = lambda flag, name: i.where(F.col("l_returnflag") == flag).select("l_orderkey", "l_linenumber", F.lit(name).alias("source_type"))
-    rules, tables, model = layer("N", "rule"), layer("R", "table"), layer("A", "model")
-    keys = ["l_orderkey", "l_linenumber"]
-    later = tables.join(rules.select(*keys).distinct(), keys, "left_anti")
-    last = model.join(rules.unionByName(tables).select(*keys).distinct(), keys, "left_anti")
-    return files.tally(rules.unionByName(later).unionByName(last), "source_type")
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("indicator_id"), "l_returnflag", F.col("l_quantity").alias("value"))
+
+    def layer(flag: str, name: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda open_: i.where(F.col("l_returnflag") == flag).join(open_, ["report_id", "indicator_id"], "left_semi").select("report_id", "indicator_id", F.lit(name).alias("source_type"), "value")
+
+    found = extract.layered(i.select("report_id", "indicator_id").distinct(), [layer("N", "rule"), layer("R", "table"), layer("A", "model")])
+    return files.tally(found, "source_type")
 
 
 @query
