@@ -190,7 +190,7 @@ SELECT job_id, state, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, n_events, strf
 SELECT term, doc_id, (length(text) - length(replace(text, term, ''))) // length(term) AS n_hits, instr(text, term) AS first_at
 FROM documents, (SELECT unnest([{", ".join(f"'{t}'" for t in SEARCH_TERMS)}]) AS term) WHERE contains(text, term)""",
     "q53_layout_tables": """
-WITH i AS (SELECT l_orderkey AS report_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, rpad(l_quantity::INT::VARCHAR, 12, ' ') || l_extendedprice::DECIMAL(18,2)) + 2 AS row, 'item ' || l_linenumber AS label, l_quantity, l_extendedprice FROM lineitem)
+WITH i AS (SELECT l_orderkey AS report_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, rpad(l_quantity::INT::VARCHAR, 12, ' ') || l_extendedprice::DECIMAL(18,2)) + 2)::INT AS row, 'item ' || l_linenumber AS label, l_quantity, l_extendedprice FROM lineitem)
 SELECT report_id, row, 2 AS col, label, 'Amount' AS header, 'kg' AS unit, l_quantity::INT::DOUBLE AS value FROM i UNION ALL SELECT report_id, row, 3, label, 'Price', 'CNY', l_extendedprice::DECIMAL(18,2)::DOUBLE FROM i""",
     "q54_ingest": "SELECT min(doc_id) AS doc_id, sha256(text) AS file_sha256 FROM documents WHERE text IS NOT NULL GROUP BY text",
     "q55_platform_seed": """

@@ -54,7 +54,7 @@ def test_robots_of_a_host_with_ten_thousand_rules(spark):
     urls = spark.createDataFrame([(n, f"https://h{p}") for n, p in enumerate(paths)], "id int, url string")
     table = spark.createDataFrame([("h", p, a) for p, a in rules + many], "host string, prefix string, allow boolean")
     got = {r["id"]: r["robots_allowed"] for r in collect.robots_verdict(urls, table).collect()}
-    assert got == {n: plain_verdict(p, rules + many) for n, p in enumerate(paths)}
+    assert got == {n: plain_verdict(p, rules + [x for x in many if p.startswith(x[0])]) for n, p in enumerate(paths)}
 
 
 def test_a_batch_reads_the_partitions_of_its_hashes(spark, tmp_path):
