@@ -12,9 +12,11 @@ State is in RocksDB and goes with the stream's checkpoint, so a stream that was
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quillgrid import schemas as S
 from quillgrid.streaming.ingest import RUN, replace_batch, run_id_of
 
+# the driver's own worker, which sets a processor up, lacks the files that were sent to the executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -60,8 +65,8 @@ def _order(ts: int | None, event: int | None, state: str | None) -> tuple:
 
 
 class JobStates(StatefulProcessor):
-    def __init__(self, timeout: int, keep: int):
-        self.timeout, self.keep = timeout, keep
+    def __init__(self, timeout: int, keep: int, final: tuple[str, ...]):
+        self.timeout, self.keep, self.final = timeout, keep, final
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -83,7 +88,7 @@ class JobStates(StatefulProcessor):
                 started = at if started is None else min(started, at)
         if len(ids) == len(seen):
             return
-        final = state in S.FINAL_STATES
+        final = state in self.final
         (self.finished if final else self.open).update((ts, event, state, started, sorted(ids)))
         (self.open if final else self.finished).clear()
         if started != was:  # a start that was earlier than thought leaves a later timer, whose row says nothing new
@@ -104,14 +109,14 @@ class JobStates(StatefulProcessor):
 
     def _row(self, key: Any, held: Any, now: int) -> Row:
         ts, event, state, started, seen = held
-        overdue = started is not None and state is not None and state not in S.FINAL_STATES and now >= self._deadline(started)
+        overdue = started is not None and state is not None and state not in self.final and now >= self._deadline(started)
         return Row(job_id=key[0], state=state, ts=_time(ts), event_id=event, n_events=len(seen), started=_time(started), overdue=overdue)
 
 
 def live_jobs(events: DataFrame, timeout: int = S.JOB_TIMEOUT_SECONDS, keep: int = KEEP_SECONDS) -> DataFrame:
     """A stream of ``job_id, state, ts, event_id, n_events, started, overdue``: a row for each change of a job, from a stream of job events."""
     own = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("event_id").cast("long").alias("event_id"), "state", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return own.groupBy("job_id").transformWithState(JobStates(timeout, keep), LIVE, "Update", "ProcessingTime")
+    return own.groupBy("job_id").transformWithState(JobStates(timeout, keep, S.FINAL_STATES), LIVE, "Update", "ProcessingTime")
 
 
 def follow_jobs(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, target: str, timeout: int = S.JOB_TIMEOUT_SECONDS, keep: int = KEEP_SECONDS, max_files: int | None = None) -> None:
