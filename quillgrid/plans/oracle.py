@@ -197,7 +197,21 @@ SELECT report_id, row, 2 AS col, label, 'Amount' AS header, 'kg' AS unit, l_quan
 WITH i AS (SELECT DISTINCT l_orderkey AS r, l_linenumber AS n FROM lineitem), o AS (SELECT o_orderkey AS r FROM orders WHERE o_orderkey % 7 = 0),
 s AS (SELECT count(*) AS n FROM i), k AS (SELECT count(*) AS n FROM i WHERE NOT (r IN (SELECT r FROM o)) OR (r % 7 = 0 AND n <= 2))
 SELECT step, name, (CASE WHEN step = 'run' THEN k.n ELSE s.n END) AS n FROM s, k, (SELECT unnest(['seed', 'copied', 'run', 'restored']) AS step), (SELECT unnest(['results', 'evidence', 'candidates']) AS name)""",
+    "q56_compaction": """
+WITH i AS (SELECT l_orderkey AS r, l_quantity::DECIMAL(18,2) AS v FROM lineitem),
+s AS (SELECT step, CASE WHEN step IN ('appended again', 'files removed') AND r % 5 = 0 THEN 'c' WHEN r % 3 = 0 THEN 'b' ELSE 'a' END AS run_id, r, v
+  FROM i, (SELECT unnest(['appended', 'compacted', 'appended again', 'files removed']) AS step))
+SELECT step, run_id, count(*) AS n, count(DISTINCT r) AS n_reports, sum(v)::DOUBLE AS value FROM s GROUP BY ALL""",
+    "q57_increments": f"""
+WITH {REPORTS}, f AS (SELECT 'reports' AS entity, report_year AS year, report_id AS id FROM reports UNION ALL SELECT 'companies', report_year, company_id FROM reports
+  UNION ALL SELECT 'results', report_year, l_orderkey * 8 + l_linenumber FROM lineitem JOIN reports ON l_orderkey = report_id JOIN part ON l_partkey = p_partkey),
+c AS (SELECT company_id FROM reports WHERE report_year IN (1998, 1999, 2000) GROUP BY 1 HAVING count(DISTINCT report_year) = 3)
+SELECT entity, NULL::BIGINT AS year, count(DISTINCT id) AS n FROM f GROUP BY 1 UNION ALL SELECT entity, year, count(DISTINCT id) FROM f GROUP BY 1, 2
+UNION ALL SELECT 'complete', y, count(*) FROM c, (SELECT unnest([1998, 1999, 2000])::BIGINT AS y) GROUP BY 2""",
+    "q58_increment_trends": f"""
+WITH {REPORTS}, v AS (SELECT company_id, p_type AS indicator, l_linestatus AS unit, report_year AS year, l_orderkey * 8 + l_linenumber AS id, l_quantity::DECIMAL(18,2) AS value
+  FROM lineitem JOIN reports ON l_orderkey = report_id JOIN part ON l_partkey = p_partkey),
+y AS (SELECT company_id, indicator, unit, year, value FROM v QUALIFY row_number() OVER (PARTITION BY company_id, indicator, unit, year ORDER BY id, value) = 1),
+t AS (SELECT *, count(*) OVER k AS n_years, lag(value) OVER (k ORDER BY year) AS previous, year - lag(year) OVER (k ORDER BY year) AS step FROM y WINDOW k AS (PARTITION BY company_id, indicator, unit))
+SELECT company_id, indicator, unit, year, value::DOUBLE AS value, previous::DOUBLE AS previous, (value - previous)::DOUBLE AS change, n_years, step FROM t WHERE n_years >= 2""",
 }
-
-# the same rows by another plan
-ORACLE_SQL["q52_anchor_hits"] = ORACLE_SQL["q44_catalogue_hits"]

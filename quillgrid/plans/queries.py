@@ -21,6 +21,7 @@ from quillgrid.functions import units as U
 from quillgrid.operators import analytics as A
 from quillgrid.operators import anchors, collect, extract, files, guard, idempotency, jobs, postings
 from quillgrid.operators.export import csv_line
+from quillgrid.operators.increments import Increments
 from quillgrid.plans.oracle import SEARCH_TERMS
 from quillgrid.platform import Platform
 from quillgrid.sources import documents as D
@@ -721,3 +722,66 @@ def q55_platform_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     own.restore()
     show("restored")
     return spark.createDataFrame(shown, "step string, name string, n long")
+
+
+@query
+def q56_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each report's latest run: appended, compacted, appended to again, and compacted with the old files removed."""
+    store = Store(spark, scratch(spark, "seed"), scratch(spark, "runtime"))
+    schema = T.StructType([T.StructField("report_id", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("run_id", T.StringType())])
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("report_id"), F.col("l_quantity").alias("value"))
+    shown = []
+
+    def run(name: str, own: DataFrame, hour: int) -> None:
+        store.append(own.withColumn("run_id", F.lit(name)), "facts")
+        listed = own.select(F.lit(name).alias("run_id"), F.col("report_id").cast("string").alias("report_id")).distinct()
+        store.append(listed.withColumn("ts", F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp_ntz")).select(*S.RUN.fieldNames()), "runs")
+
+    def latest() -> DataFrame:
+        runs = store.of_runtime("runs", S.RUN).withColumn("report_id", F.col("report_id").cast("long"))
+        return idempotency.latest_runs(store.of_runtime("facts", schema), runs, "report_id")
+
+    def show(step: str) -> None:
+        total = latest().groupBy("run_id").agg(F.count("*").alias("n"), F.countDistinct("report_id").alias("n_reports"), F.sum(A.dec(F.col("value"))).cast("double").alias("value"))
+        shown.extend((step, *r) for r in total.collect())
+
+    run("a", items, 1)
+    run("b", items.where(F.col("report_id") % 3 == 0), 2)
+    show("appended")
+    store.compact("facts", schema, "report_id", lambda rows: rows.join(latest().select("report_id", "run_id").distinct(), ["report_id", "run_id"], "left_semi"))
+    show("compacted")
+    run("c", items.where(F.col("report_id") % 5 == 0), 3)
+    show("appended again")
+    store.compact("facts", schema, "report_id")
+    store.drop_superseded("facts", 0)
+    show("files removed")
+    return spark.createDataFrame(shown, "step string, run_id string, n long, n_reports long, value double")
+
+
+def _in_batches(spark: SparkSession, sf_dir: str) -> Increments:
+    """Reports and results in three batches, rows of two of them shared, one batch repeated; merged in between."""
+    own = Increments(spark, scratch(spark, "increments"))
+    r = reports(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("result_id"), F.col("l_partkey").alias("p"), F.col("l_linestatus").alias("unit"), A.dec(F.col("l_quantity")).alias("value"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_type").alias("indicator"))
+    v = items.join(r.select("report_id", "company_id", F.col("report_year").alias("year")), "report_id").join(parts, "p")
+    third = F.pmod(F.xxhash64("report_id"), F.lit(3))
+    for batch, inside in (("first", third == 0), ("second", third < 2), ("third", third == 2), ("first", third == 0)):
+        own.add(batch, r.where(inside).select("report_id", "company_id", F.col("report_year").alias("year"), F.struct("o_orderdate").alias("order")), v.where(inside))
+        if batch == "second":
+            own.fold()
+    return own
+
+
+@query
+def q57_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports, companies and results, in all and by year, and reports of companies with three years, from states that batches left."""
+    own = _in_batches(spark, sf_dir)
+    complete = own.complete_years([1998, 1999, 2000]).groupBy("year").agg(F.count("*").alias("n"))
+    return own.summary().unionByName(own.by_year()).unionByName(complete.select(F.lit("complete").alias("entity"), "year", "n"))
+
+
+@query
+def q58_increment_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of each company's first result a year, from states that batches left (A4)."""
+    return _in_batches(spark, sf_dir).trends().select("company_id", "indicator", "unit", "year", *_double("value", "previous", "change"), "n_years", "step")

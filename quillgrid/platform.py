@@ -102,6 +102,35 @@ class Platform:
         for name, schema in self._of_seed():
             self.store.restore(name, schema)
 
+    def compact(self, file_bytes: int = 128 << 20) -> dict[str, int]:
+        """Rewrite what jobs have appended as few files; returns the new version of each table.
+
+        Rows of runs that a later run of their report superseded go, and those of runs that failed over a timeout ago. Reads
+        give the same before, during and after.
+        """
+        latest = self._runs().groupBy("report_id").agg(F.max(F.struct("ts", "run_id"))["run_id"].alias("run_id"))
+        before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(seconds=self.timeout)
+        ended = jobs.current(self._events()).where(F.col("state").isin("failed", "timed_out") & (F.col("ts") < F.lit(before))).select(F.col("job_id").alias("run_id"))
+        superseded = self._runs().select("run_id").join(latest, "run_id", "left_anti")
+        # what is listed now: a run that is published meanwhile isn't in it, and none is taken off
+        gone = superseded.unionByName(ended.join(latest, "run_id", "left_anti")).distinct()
+        of_runs = lambda rows: rows.join(gone.select(F.col("run_id").alias("gone_id")), F.substring_index("run_id", "#", 1) == F.col("gone_id"), "left_anti")
+        done: dict[str, int] = {}
+        for name, schema in ({"lines": S.PAGE_LINE} | {n: SEED_TABLES[n] for n in FACTS}).items():
+            extra = [T.StructField(c, T.StringType()) for c in ("report_id", "run_id") if c not in schema.fieldNames()]
+            done[name] = self.store.compact(name, T.StructType([*schema.fields, *extra]), "report_id", of_runs, file_bytes)
+        upload = T.StructType([*S.REPORT.fields, T.StructField("upload_id", T.StringType())])
+        for name, schema, key in (("reports", upload, "report_id"), ("reviews", S.REVIEW, "result_id"), ("jobs", S.JOB, "job_id"), ("job_events", S.JOB_EVENT, "job_id")):
+            done[name] = self.store.compact(name, schema, key, file_bytes=file_bytes)
+        # last: until then, rows of a superseded run that are still there are told by it
+        done["runs"] = self.store.compact("runs", S.RUN, "report_id", lambda rows: rows.join(gone, "run_id", "left_anti"), file_bytes)
+        return done
+
+    def drop_superseded(self, older_than: float | None = None) -> int:
+        """Remove files that versions stand for, once these are older than the timeout of jobs; returns how many went."""
+        named = ("lines", *FACTS, "reports", "reviews", "jobs", "job_events", "runs")
+        return sum(self.store.drop_superseded(name, self.timeout if older_than is None else older_than) for name in named)
+
     def _of_seed(self) -> list[tuple[str, T.StructType]]:
         return [(name, schema) for name, schema in SEED_TABLES.items() if self.store.has_seed(name)]
 

@@ -1,9 +1,17 @@
-"""Parquet tables of a data folder, and the seed and runtime roots of a deployment."""
+"""Parquet tables of a data folder, and the seed and runtime roots of a deployment.
+
+A runtime table is a folder that every append adds small files to. ``Store.compact`` rewrites them as a version: few files, ranged
+by a key, and the names of the files that it stands for. Readers take the latest published version and the files that it doesn't
+name, so rows that are appended meanwhile are neither lost nor counted twice, and a reader that has begun goes on with the files
+that it listed, until ``drop_superseded`` removes them.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import time
+from collections.abc import Callable
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -31,6 +39,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or a folder with all in it; False where there was none."""
+    system, target = _file(spark, path)
+    return system.delete(target, True)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below the shared one (``spark.checkpoint.dir``); a temporary one only on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,6 +79,9 @@ class Store:
         return self.spark.createDataFrame([], schema) if found is None else found
 
     def of_runtime(self, name: str, schema: T.StructType) -> DataFrame:
+        version = self._version(name)
+        if version:
+            return self._rows(name, schema, version, self._live(name, version))
         found = self._read(self.runtime, name, schema)
         return self.spark.createDataFrame([], schema) if found is None else found
 
@@ -110,7 +127,107 @@ class Store:
             raise
         return True
 
+    # --- versions of a runtime table ---
+
+    def _children(self, path: str) -> list:
+        """Status of what a folder holds; none where there is no folder."""
+        system, target = _file(self.spark, path)
+        return list(system.listStatus(target)) if system.exists(target) else []
+
+    def _numbers(self, path: str, prefix: str = "") -> list[int]:
+        names = [c.getPath().getName().removeprefix(prefix) for c in self._children(path) if c.getPath().getName().startswith(prefix)]
+        return [int(n) for n in names if n.isdecimal()]
+
+    def _version(self, name: str) -> int:
+        """The number of the latest published version, 0 where there is none."""
+        return max(self._numbers(f"{self.runtime}/versions/{name}"), default=0)
+
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.runtime}/versions/{name}/{version:09d}"
+
+    def _named(self, name: str, version: int) -> list[str]:
+        """The names of the files that a version stands for."""
+        if not version:
+            return []
+        system, target = _file(self.spark, f"{self._path(name, version)}/files")
+        stream = system.open(target)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+
+    def _live(self, name: str, version: int) -> dict[str, int]:
+        """Name and bytes of a table's files that the version doesn't stand for."""
+        found = [c for c in self._children(f"{self.runtime}/{name}") if c.getPath().getName()[0] not in "_."]
+        if any(c.isDirectory() for c in found):
+            raise ValueError(f"{name} is partitioned: its partitions are replaced, not compacted")
+        own = {c.getPath().getName(): c.getLen() for c in found}
+        gone = set(self._named(name, version)) if own else set()
+        return {n: size for n, size in own.items() if n not in gone}
+
+    def _rows(self, name: str, schema: T.StructType, version: int, files: dict[str, int]) -> DataFrame:
+        paths = [f"{self.runtime}/{name}/{n}" for n in sorted(files)]
+        if version:
+            paths.append(f"{self._path(name, version)}/rows")
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def n_files(self, name: str) -> int:
+        """How many files a read of the runtime table opens."""
+        version = self._version(name)
+        own = self._children(f"{self._path(name, version)}/rows") if version else []
+        return len(self._live(name, version)) + sum(c.getPath().getName()[0] not in "_." for c in own)
+
+    def compact(self, name: str, schema: T.StructType, key: str, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, file_bytes: int = 128 << 20) -> int:
+        """Publish a version of a runtime table in files of about ``file_bytes``, with what ``keep`` leaves of its rows; returns its number.
+
+        Rows are ranged by ``key`` and, within a value, by a hash of the row, so that a value that holds most rows
+        fills several files; a filter by the key skips files and row groups. A version that another writer published
+        meanwhile is a RuntimeError, and nothing changes. A table without rows gives a version without rows.
+        """
+        claims = lambda: max(self._numbers(f"{self.runtime}/claims", f"version-{name}-"), default=0)
+        version, claimed = self._version(name), claims()
+        files = self._live(name, version)
+        old = self._children(f"{self._path(name, version)}/rows") if version else []
+        n = max(1, -(-(sum(files.values()) + sum(c.getLen() for c in old)) // file_bytes))
+        rows = keep(self._rows(name, schema, version, files)).select(*schema.fieldNames())
+        spread = F.xxhash64(*[F.col(c) for c in schema.fieldNames()])
+        return self._publish(name, rows.repartitionByRange(n, F.col(key), spread).sortWithinPartitions(key), version, claimed, [*self._named(name, version), *files])
+
+    def _publish(self, name: str, rows: DataFrame, version: int, claimed: int, files: list[str]) -> int:
+        number, built = max(version, claimed) + 1, f"{self.runtime}/versions/{name}/building-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{built}/rows")
+        system, target = _file(self.spark, f"{built}/files")
+        stream = system.create(target)
+        stream.write(bytearray("\n".join(files), "utf-8"))
+        stream.close()
+        # a driver that ends between the claim and the renaming leaves the number unused; the next compaction takes the one after it
+        if self._version(name) != version or not self.claim(f"version-{name}-{number:09d}"):
+            system.delete(target.getParent(), True)
+            raise RuntimeError(f"{name} was compacted by another writer meanwhile")
+        system.rename(target.getParent(), _file(self.spark, self._path(name, number))[1])
+        return number
+
+    def drop_superseded(self, name: str, older_than: float) -> int:
+        """Remove the files that the latest version stands for, and earlier versions, once it is ``older_than`` seconds old; returns how many went.
+
+        Readers and compactions that began before the version must have ended by then.
+        """
+        version = self._version(name)
+        if not version:
+            return 0
+        system, listed = _file(self.spark, f"{self._path(name, version)}/files")
+        if time.time() - system.getFileStatus(listed).getModificationTime() / 1000 < older_than:
+            return 0
+        gone = sum(system.delete(_file(self.spark, f"{self.runtime}/{name}/{n}")[1], False) for n in self._named(name, version))
+        for number in self._numbers(f"{self.runtime}/versions/{name}"):
+            if number < version:
+                gone += system.delete(_file(self.spark, self._path(name, number))[1], True)
+        return gone
+
     def _copy(self, name: str, schema: T.StructType, mode: str) -> None:
+        version = self._version(name)
+        if version and mode == "overwrite":
+            self._publish(name, self.spark.createDataFrame([], schema), version, version, [])
         self.spark.read.schema(schema).parquet(f"{self.seed}/{name}").write.mode(mode).parquet(f"{self.runtime}/{name}")
         system, target = _file(self.spark, f"{self.runtime}/{name}/{COPIED}")
         system.create(target).close()
