@@ -2,7 +2,8 @@
 
 Methods that read return DataFrames and check their arguments before a plan is built; methods that write append to the
 runtime root. Text extraction takes a reader (bytes to page texts); further layers (OCR, a model)
-are callables that get the slots that the layers before have left open.
+are callables that get the slots that the layers before have left open. With ``images`` (bytes to page pictures) and ``engine``
+(picture to text), pages of too little text are read from their pictures where slots are still open, each picture once.
 
 An extraction is a run: its lines, each layer's candidates, results and evidence are written once under the run's id, and count
 when the run is published, which is its last step. A report's facts are those of its latest run, also where that found nothing;
@@ -16,6 +17,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ from quillgrid.sources.tables import Store
 Layer = Callable[[DataFrame], DataFrame]
 #: Tables whose rows belong to runs: to restore one of them takes back all runs so far.
 FACTS = ("results", "evidence", "candidates")
+#: Lines read from a page's picture are numbered from here.
+OCR_LINES_FROM = 1_000_001
+#: Hexadecimal digits of a hash that name an upload's partition.
+UPLOAD_PREFIX = 2
 #: Tables that a seed may bring.
 SEED_TABLES = {"reports": S.REPORT, "results": S.RESULT, "evidence": S.EVIDENCE, "candidates": S.CANDIDATE, "reviews": S.REVIEW, "job_events": S.JOB_EVENT}
 
@@ -45,9 +51,11 @@ def _plain_text(content: bytes) -> Iterable[str]:
 
 
 class Platform:
-    def __init__(self, spark: SparkSession, seed: str, runtime: str, catalogue: DataFrame | None = None, timeout: int = S.JOB_TIMEOUT_SECONDS, upload_limit: int = S.UPLOAD_LIMIT):
+    def __init__(self, spark: SparkSession, seed: str, runtime: str, catalogue: DataFrame | None = None, timeout: int = S.JOB_TIMEOUT_SECONDS, upload_limit: int = S.UPLOAD_LIMIT, images: Callable[[bytes], Iterable[bytes | None]] | None = None, engine: Callable[[bytes], str] | None = None):
         self.spark, self.store, self.catalogue = spark, Store(spark, seed, runtime), built_in(spark) if catalogue is None else catalogue
-        self.timeout, self.upload_limit = timeout, upload_limit
+        if (images is None) != (engine is None):
+            raise ValueError("images and engine go together")
+        self.timeout, self.upload_limit, self.images, self.engine = timeout, upload_limit, images, engine
 
     # --- tables ---
 
@@ -176,9 +184,15 @@ class Platform:
         written = self.store.of_runtime("reports", T.StructType([*S.REPORT.fields, T.StructField("upload_id", T.StringType())]))
         mine = written.where(F.col("upload_id") == upload).drop("upload_id")
         content = source.select(F.sha2("content", 256).alias("file_sha256"), "content", F.col("path").alias("source_url"))
-        self.store.append(content.join(mine.select("file_sha256", "source_url"), ["file_sha256", "source_url"], "left_semi").select(*S.UPLOAD.fieldNames()), "uploads")
+        kept = content.join(mine.select("file_sha256", "source_url"), ["file_sha256", "source_url"], "left_semi").select(*S.UPLOAD.fieldNames())
+        self.store.append(kept.withColumn("prefix", F.substring("file_sha256", 1, UPLOAD_PREFIX)), "uploads_by_hash", "prefix")
         return mine
 
+    def _content(self, file_sha256: str) -> DataFrame:
+        """``file_sha256, content`` of an upload: of those that are kept by hash, only the hash's own partition is read."""
+        by_hash = self.store.of_runtime("uploads_by_hash", T.StructType([*S.UPLOAD.fields, T.StructField("prefix", T.StringType())])).where(F.col("prefix") == file_sha256[:UPLOAD_PREFIX]).drop("prefix")
+        return self.store.read("uploads", S.UPLOAD).unionByName(by_hash).where(F.col("file_sha256") == file_sha256).dropDuplicates(["file_sha256"])
+
     def submit(self, report_id: str) -> str:
         """Queue an extraction; returns the job's id at once."""
         if not self.reports().where(F.col("report_id") == report_id).head(1):
@@ -259,7 +273,7 @@ class Platform:
         source = report.select("file_sha256", "admission").first()
         if source["admission"] != "pass":
             raise ValueError("the file needs review")
-        content = self.store.read("uploads", S.UPLOAD).where(F.col("file_sha256") == source["file_sha256"]).dropDuplicates(["file_sha256"])
+        content = self._content(source["file_sha256"])
         lines = self._keep(D.read_pages(content.select(F.lit(report_id).alias("report_id"), "content"), reader), "lines", S.PAGE_LINE, run_id)
         broken = lines.where("page is null").head(1)
         if broken:
@@ -271,13 +285,39 @@ class Platform:
         known = S.CANDIDATE.fieldNames()
         # each layer has a table of the run's of its own name to read back from
         keep = lambda found, k: self._keep(U.normalise(found, units).select(*known), "candidates", S.CANDIDATE, run_id if k == 0 else f"{run_id}#{k}")
-        found = extract.layered(slots, [rules, tables, *layers], keep)
-        pages = lines.groupBy("report_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+        read: list[DataFrame] = [lines]
+
+        def pictures(open_: DataFrame) -> DataFrame:
+            read.append(self._read_pictures(content.select(F.lit(report_id).alias("report_id"), "content"), lines, run_id))
+            return anchors.by_anchors(read[-1], self.catalogue).withColumn("source_type", F.lit("ocr")).withColumn("candidate_id", F.concat(F.lit("ocr-"), "candidate_id")).join(open_, ["report_id", "indicator_id"], "left_semi")
+
+        found = extract.layered(slots, [rules, tables, *([pictures] if self.engine else []), *layers], keep)
+        every_line = reduce(DataFrame.unionByName, read)
+        pages = every_line.groupBy("report_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
         results, evidence = guard.accept(guard.guard(found, pages, self.catalogue, self.reports().select("report_id", "report_year")))
         every = guard.with_undisclosed(results.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.RESULT.fields]), slots)
         self._keep(every, "results", S.RESULT, run_id)
         self._keep(evidence.withColumn("report_id", F.lit(report_id)), "evidence", S.EVIDENCE, run_id)
 
+    def _read_pictures(self, content: DataFrame, lines: DataFrame, run_id: str) -> DataFrame:
+        """Lines of the pages of too little text, from their pictures; a picture whose text is kept doesn't reach the engine."""
+        length = F.sum(F.length(F.trim("text"))).alias("own_length")
+        own = D.page_images(content, self.images).join(lines.groupBy("report_id", "page").agg(length), ["report_id", "page"], "left")
+        wanted = D.scanned(own.where("image IS NOT NULL").withColumn("text", F.repeat(F.lit("x"), F.coalesce("own_length", F.lit(0)).cast("int")))).where("route = 'ocr'").select("report_id", "page", "image")
+        cache = lambda: self.store.of_runtime("ocr_cache", S.OCR_CACHE).dropDuplicates(["page_sha256"])
+        _, new = D.ocr(wanted, cache(), self.engine)
+        self.store.append(new, "ocr_cache")
+        # every picture is known now: the engine isn't called again
+        texts = wanted.select("report_id", "page", F.sha2("image", 256).alias("page_sha256")).join(cache(), "page_sha256")
+        split = texts.select("report_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(F.trim("text") != "")
+        # numbered behind the lines that the page's own text has
+        shown = split.withColumn("line_no", F.col("line_no") + OCR_LINES_FROM)
+        return self._keep(shown, "lines", S.PAGE_LINE, f"{run_id}#ocr")
+
+    def inventory(self) -> DataFrame:
+        """``report_year, n_reports, n_companies``: what is registered of each year."""
+        return self.reports().groupBy("report_year").agg(F.count("*").alias("n_reports"), F.countDistinct("company_id").alias("n_companies"))
+
     def job(self, job_id: str) -> DataFrame:
         """The current state of a job; no row for an unknown one."""
         return jobs.current(self._events().where(F.col("job_id") == job_id))

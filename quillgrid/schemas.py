@@ -35,10 +35,11 @@ CANDIDATE = _struct(
 RESULT = _struct("result_id string, report_id string, indicator_id string, value decimal(28,6), text_value string, unit string, disclosure_status string, review_status string")
 EVIDENCE = _struct("evidence_id string, result_id string, page int, fragment string, source_type string, confidence decimal(5,4), risk_flags array<string>, review_status string")
 JOB_EVENT = _struct("job_id string, event_id bigint, state string, ts timestamp_ntz, reason string")
-#: Which report a job extracts; a run of an extraction that is published; the content of an upload; a review of a result.
+#: Which report a job extracts; a run of an extraction that is published; the content of an upload; the text of a page's picture; a review of a result.
 JOB = _struct("job_id string, report_id string")
 RUN = _struct("run_id string, report_id string, ts timestamp_ntz")
 UPLOAD = _struct("file_sha256 string, content binary")
+OCR_CACHE = _struct("page_sha256 string, text string")
 REVIEW = _struct("result_id string, review_status string, reviewer string, ts timestamp_ntz, note string")
 MANIFEST = _struct("url string, company_id string, report_year int, report_type string")
 

@@ -96,6 +96,24 @@ def delimited_cells(content: bytes) -> Iterator[tuple[int, int, int, int, str]]:
                 yield page, table, row, col, cell.strip()
 
 
+def page_images(files: DataFrame, images: Callable[[bytes], Iterable[bytes | None]], id_col: str = "report_id", content_col: str = "content") -> DataFrame:
+    """``report_id, page, image`` of binary documents by a function that gives each page's picture, null where a page has none.
+
+    A document that it can't read gives no rows.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    found = list(images(content or b""))
+                except Exception:  # noqa: BLE001  a broken file must not end the job
+                    found = []
+                yield pa.record_batch([pa.array([key] * len(found), pa.string()), pa.array(range(1, len(found) + 1), pa.int32()), pa.array(found, pa.binary())], ["report_id", "page", "image"])
+
+    return files.select(F.col(id_col).cast("string").alias("report_id"), F.col(content_col)).mapInArrow(run, "report_id string, page int, image binary")
+
+
 def scanned(pages: DataFrame, text_col: str = "text", below: int = SCANNED_BELOW) -> DataFrame:
     """``pages`` with ``route``: whether a page's text is enough or its picture must be read."""
     return pages.withColumn("route", F.when(F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) < below, "ocr").otherwise("text"))
