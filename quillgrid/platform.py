@@ -190,7 +190,7 @@ class Platform:
 
     def _content(self, file_sha256: str) -> DataFrame:
         """``file_sha256, content`` of an upload: of those that are kept by hash, only the hash's own partition is read."""
-        by_hash = self.store.of_runtime("uploads_by_hash", T.StructType([*S.UPLOAD.fields, T.StructField("prefix", T.StringType())])).where(F.col("prefix") == file_sha256[:UPLOAD_PREFIX]).drop("prefix")
+        by_hash = self.store.of_runtime("uploads_by_hash", T.StructType([*S.UPLOAD.fields, T.StructField("prefix", T.StringType())])).where(F.col("prefix") == (file_sha256 or "")[:UPLOAD_PREFIX]).drop("prefix")
         return self.store.read("uploads", S.UPLOAD).unionByName(by_hash).where(F.col("file_sha256") == file_sha256).dropDuplicates(["file_sha256"])
 
     def submit(self, report_id: str) -> str:
