@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import arrow_batches, forget, id_and_text, kept, table, written
+from quillgrid.llm.common import arrow_batches, forget, id_and_text, kept, rows_a_batch, table, written
 from quillgrid.llm.quality import held_out, labelled_sample, sigmoid
 
 PLACES = 1 << 20
@@ -38,6 +38,8 @@ SAMPLE_ROWS = 12_000
 STEPS = 72_000
 #: Fits for the shift.
 FOLDS = 3
+#: Bags that go to a fit at once: one takes some kilobytes, and Spark's own batches of 10,000 rows would fill buffers outside the heap.
+BAGS_A_BATCH = 256
 LONGEST = 40
 THRESHOLD = 0.3
 #: A sentence offends from this probability on.
@@ -275,7 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     features = written(sample.mapInArrow(featured, "doc_id long, label int, places binary, sentences binary"), "bags")
     parts = features.select(F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("part"), "doc_id", "label", "places", "sentences")
     # the driver gets weights of a fixed size, and a number and a label for each row of the sample
-    found = parts.repartitionByRange(FOLDS + 1, "part").mapInArrow(fitted, "weights binary, none binary, labels binary").collect()
+    with rows_a_batch(docs.sparkSession, BAGS_A_BATCH):
+        found = parts.repartitionByRange(FOLDS + 1, "part").mapInArrow(fitted, "weights binary, none binary, labels binary").collect()
     weights = [w for r in found if len(w := np.frombuffer(r["weights"], np.float32))]
     if not weights:
         return np.concatenate([np.zeros(PLACES), [INTERCEPT, 0.0]]).astype(np.float32)
