@@ -11,8 +11,9 @@ equal population counts of both halves; a tile pair whose counts differ beyond t
 skipped, every other is compared in full with exclusive-or and bit counts in numpy. A task returns
 a minimum spanning forest of the links it finds, never all pairs.
 
-Similarity (``keep_one``). Fingerprints aren't used: a set of distinct shingles is one node, and links are all
-pairs of a Jaccard similarity of ``least`` or more. The shingles of a set have an order (common ones last); of two similar sets,
+Similarity (``keep_one``). A set of distinct shingles is one node. First, nodes are linked by SimHash as above (of the distinct shingles, as repeats
+say nothing about a Jaccard similarity), and within each component so found all pairs are compared: links of ``least`` or more stay, and their components are the nodes' roots.
+Fingerprints can be far apart for such a pair, so an exact way follows for the rest, i.e. for pairs of different roots. The shingles of a set have an order (common ones last); of two similar sets,
 the first shared shingle lies in a prefix of both, of about 1 - ``least`` of their length. Rows are dealt by the prefix's
 shingles and pairs that sizes and places rule out are dropped; larger components of the others are split by
 sizes and parity maps, and within a component all pairs of sets are compared, in blocks of bounded size.
@@ -340,6 +341,12 @@ def distinct_shingles(text: str, size: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
+def fingerprint_of(own: np.ndarray) -> int:
+    """The SimHash of distinct shingles as a signed integer: a bit is set if it is set in over half of them."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def common_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that several texts of a sample have, and their counts.
 
@@ -381,8 +388,8 @@ def parity_map(own: np.ndarray) -> bytes:
     return np.packbits(seen & 1, bitorder="little").tobytes()
 
 
-def map_links(maps: list[bytes], n: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of all pairs that sizes and parity maps don't rule out.
+def map_links(maps: list[bytes], n: np.ndarray, least: float, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all pairs that sizes and parity maps don't rule out, and that aren't of one root.
 
     Two maps differ in no more bits than their sets in shingles. A longer map is folded to the shortest one's length.
     """
@@ -391,7 +398,7 @@ def map_links(maps: list[bytes], n: np.ndarray, least: float) -> list[tuple[int,
     share = (1 - least) / (1 + least)
 
     def can(x: int, rest: np.ndarray) -> np.ndarray:
-        out = np.minimum(n[x], n[rest]) >= least * np.maximum(n[x], n[rest]) - SLACK
+        out = (roots[x] != roots[rest]) & (np.minimum(n[x], n[rest]) >= least * np.maximum(n[x], n[rest]) - SLACK)
         near = rest[out]
         out[out] = np.bitwise_count(words[near] ^ words[x]).sum(axis=1, dtype=np.int64) <= share * (n[x] + n[near]) + SLACK
         return out
@@ -400,7 +407,7 @@ def map_links(maps: list[bytes], n: np.ndarray, least: float) -> list[tuple[int,
 
 
 def sets(source: DataFrame, size: int, least: float) -> DataFrame:
-    """``doc_id, tie, node, n, prefix, map``: ``tie`` is a hash of the text, ``node`` of its ``n`` distinct shingles; a task gives a node's prefix and map once."""
+    """``doc_id, tie, node, n, fp, prefix, map``: ``tie`` is a hash of the text, ``node`` of its ``n`` distinct shingles; a task gives a node's fingerprint, prefix and map once."""
     common = common_shingles(source, size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,29 +416,40 @@ def sets(source: DataFrame, size: int, least: float) -> DataFrame:
         forget()
         seen: set[int] = set()
         for b in arrow_batches(batches, column=2, most_bytes=1 << 20):
-            nodes, sizes, first, maps = [], [], [], []
+            nodes, sizes, prints, first, maps = [], [], [], [], []
             for text in b.column(2).to_pylist():
                 own = distinct_shingles(text, size)
                 node = xxhash.xxh64_intdigest(own.tobytes(), 42)
                 nodes.append(node)
                 sizes.append(len(own))
                 first.append(prefix(own, least, common).tobytes() if len(own) and node not in seen else None)
+                prints.append(fingerprint_of(own) if first[-1] is not None else None)
                 maps.append(parity_map(own) if first[-1] is not None else None)
                 seen.add(node)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(first, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "tie", "node", "n", "prefix", "map"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(first, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "tie", "node", "n", "fp", "prefix", "map"])
+
+    return source.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, node long, n long, fp long, prefix binary, map binary")
+
 
-    return source.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, node long, n long, prefix binary, map binary")
+def fingerprint_links(prints: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+    """``a, b``: links that connect all nodes whose fingerprints' links within ``radius`` connect; equal fingerprints are linked too."""
+    own = written(prints.where("fp is not null").select("fp", "node").distinct(), "fingerprints")
+    first = written(own.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
+    equal = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
+    near = links(first, radius, block_rows, least_blocks).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return equal.unionByName(near)
 
 
-def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of nodes whose prefixes share a shingle and that can reach ``least``, for rows sorted by shingle and node.
+def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray, roots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of nodes of different ``roots`` whose prefixes share a shingle and that can reach ``least``, for rows sorted by shingle and node.
 
     ``n`` is a node's number of shingles and ``left`` of those from this one on: two nodes whose first
     shared shingle this is share no more than the lesser ``left``. Groups of over ``SMALL`` give a spanning forest.
     """
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-    h, node, n, left = h[new], node[new], n[new], left[new]
+    h, node, n, left, roots = h[new], node[new], n[new], left[new], roots[new]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
     many = np.diff(np.append(starts, len(h)))
     out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -439,7 +457,7 @@ def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarra
 
     def can(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
         least_n, most_n = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        return (least_n >= least * most_n - SLACK) & (np.minimum(left[x], left[y]) >= share * (n[x] + n[y]) - SLACK)
+        return (roots[x] != roots[y]) & (least_n >= least * most_n - SLACK) & (np.minimum(left[x], left[y]) >= share * (n[x] + n[y]) - SLACK)
 
     at = np.flatnonzero(np.repeat((many > 1) & (many <= SMALL), many))
     for lag in range(1, SMALL):
@@ -459,16 +477,16 @@ def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarra
 
 
 def candidate_links(prints: DataFrame, least: float) -> DataFrame:
-    """``a, b``: links that connect all nodes whose similarity can be ``least`` or more."""
+    """``a, b``: links that connect all nodes of different roots whose similarity can be ``least`` or more."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in arrow_batches(batches, column=2, most_bytes=1 << 19):
             parts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
             many = np.array([len(x) for x in parts], np.int64)
-            node, n = (np.repeat(b.column(i).to_numpy(), many) for i in (0, 1))
+            node, n, root = (np.repeat(b.column(i).to_numpy(), many) for i in (0, 1, 3))
             place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.record_batch([pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array((n - place).astype(np.int32))], ["h", "node", "n", "left"])
+            yield pa.record_batch([pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array((n - place).astype(np.int32)), pa.array(root)], ["h", "node", "n", "left", "root"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -494,7 +512,7 @@ def candidate_links(prints: DataFrame, least: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            rows = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(5)])
             # the last shingle's group may go on in the next batch
             edge = int(np.searchsorted(rows[0], rows[0, -1]))
             if edge or held and held[-1][0, -1] != rows[0, 0]:
@@ -509,7 +527,7 @@ def candidate_links(prints: DataFrame, least: float) -> DataFrame:
             yield linked(held)
 
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.where("prefix is not null").select("node", "n", "prefix").mapInArrow(cut, "h long, node long, n int, left int")
+    rows = prints.where("prefix is not null").select("node", "n", "prefix", "root").mapInArrow(cut, "h long, node long, n int, left int, root long")
     return rows.repartition(tasks, "h").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long")
 
 
@@ -550,50 +568,51 @@ def groups_of(candidates: DataFrame, what: str) -> DataFrame:
 
 
 def refined(members: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """``a, b``: links that connect the nodes of a group that can be similar; larger groups are split by parity maps.
+    """``a, b``: links that connect the nodes of a group that can be similar and have different roots; larger groups are split by parity maps.
 
     Sizes fall in classes so wide that similar sets lie in one class or in neighbours; a window is
     two neighbours. A window's rows are dealt to blocks, and every two blocks meet in one task.
     """
     members = members.join(members.groupBy("group").agg(F.count("*").alias("c")), "group")
     small = members.where(F.col("c") <= LARGE).select(F.col("node").alias("a"), F.col("group").alias("b"))
-    maps = prints.where("map is not null").select("node", "n", "map").join(members.where(F.col("c") > LARGE).select("node", "group"), "node").dropDuplicates(["node"])
+    maps = prints.where("map is not null").select("node", "n", "map", "root").join(members.where(F.col("c") > LARGE).select("node", "group"), "node").dropDuplicates(["node"])
     # a little wider than needed, so that rounding can't part neighbours
     kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.001 * math.log(least))).cast("int")
     placed = written(maps.withColumn("kind", kind), "maps")
-    keyed = placed.select("node", "group", F.explode(F.array(F.col("kind") - 1, F.col("kind"))).alias("window"), "n", "map")
+    keyed = placed.select("node", "group", F.explode(F.array(F.col("kind") - 1, F.col("kind"))).alias("window"), "n", "map", "root")
     ways = placed.select("group", F.explode(F.array(F.col("kind") - 1, F.col("kind"))).alias("window")).groupBy("group", "window").agg(F.ceil(F.count("*") / MAP_ROWS).cast("int").alias("ways"))
     block = F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("ways") - 1), lambda o: (F.col("ways") == 1) | (o != F.col("block")))
-    met = keyed.join(ways, ["group", "window"]).withColumn("block", block).select("group", "window", "node", "n", "map", "block", F.explode(others).alias("other"))
-    sent = met.select("group", "window", F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), "node", "n", "map")
+    met = keyed.join(ways, ["group", "window"]).withColumn("block", block).select("group", "window", "node", "n", "map", "root", "block", F.explode(others).alias("other"))
+    sent = met.select("group", "window", F.least("block", "other").alias("k"), F.greatest("block", "other").alias("m"), "node", "n", "map", "root")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
 
-        def linked(names: list[int], sizes: list[int], maps: list[bytes]) -> pa.RecordBatch:
-            found = map_links(maps, np.array(sizes, np.int64), least)
+        def linked(names: list[int], sizes: list[int], maps: list[bytes], roots: list[int]) -> pa.RecordBatch:
+            found = map_links(maps, np.array(sizes, np.int64), least, np.array(roots, np.int64))
             return pa.record_batch([pa.array([names[x] for x, _ in found], pa.int64()), pa.array([names[y] for _, y in found], pa.int64())], ["a", "b"])
 
-        now, names, sizes, maps = None, [], [], []
+        now, names, sizes, maps, roots = None, [], [], [], []
         for b in batches:
-            for *key, name, n, own in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for *key, name, n, own, root in zip(*(b.column(i).to_pylist() for i in range(8))):
                 if key != now:
                     if len(names) > 1:
-                        yield linked(names, sizes, maps)
-                    now, names, sizes, maps = key, [], [], []
+                        yield linked(names, sizes, maps, roots)
+                    now, names, sizes, maps, roots = key, [], [], [], []
                 names.append(name)
                 sizes.append(n)
                 maps.append(own)
+                roots.append(root)
         if len(names) > 1:
-            yield linked(names, sizes, maps)
+            yield linked(names, sizes, maps, roots)
 
     keys = ["group", "window", "k", "m"]
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return small.unionByName(sent.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long"))
 
 
-def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float, what: str = "candidates") -> DataFrame:
     """``a, b``: links that connect all nodes of a similarity of ``least`` or more.
 
     Components of the candidates are groups; within a group all pairs are compared. Larger groups are dealt
@@ -601,7 +620,7 @@ def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     A node's text is that of its row of the smallest doc_id; only texts of groups are moved.
     """
     spark = nodes.sparkSession
-    members = nodes.join(groups_of(candidates, "candidates"), "node")
+    members = nodes.join(groups_of(candidates, what), "node")
     counted = members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     ways = F.greatest(F.least(F.ceil(F.col("c") / GROUP_ROWS), F.lit(GROUP_WAYS)), F.ceil(F.col("c") / MOST_GROUP_ROWS), F.ceil(F.col("n") / GROUP_SHINGLES))
     wanted = written(members.select("node", "group", F.col("least_row.doc_id").alias("i"), F.col("least_row.tie").alias("t")).join(counted.select("group", ways.cast("int").alias("ways")), "group"), "wanted")
@@ -635,14 +654,20 @@ def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     return sent.repartition(tasks, "group", "k", "m").sortWithinPartitions("group", "k", "m").mapInArrow(run, "a long, b long")
 
 
-def resemblances(docs: DataFrame, size: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tie, root``: a row for each row of ``docs``; rows of one root are linked by Jaccard similarities of ``least`` or more."""
+def resemblances(docs: DataFrame, size: int, least: float, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tie, root``: a row for each row of ``docs``; rows of one root are linked by Jaccard similarities of ``least`` or more.
+
+    Fingerprints within ``radius`` are linked first and their links held against the texts; what they leave apart is then
+    compared exactly: pairs of different roots only.
+    """
     source = id_and_text(docs, id_col, text_col)
     prints = written(sets(source, size, least), "sets")
     nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least_row"), F.first("n").alias("n"))
-    coarse = groups_of(candidate_links(prints, least), "coarse")
-    edges = similar(refined(coarse, prints, least), nodes, source, size, least)
-    return prints.join(components(edges), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
+    near = written(similar(fingerprint_links(prints, radius), nodes, source, size, least, "near"), "near-links")
+    rooted = prints.where("prefix is not null").join(components(near, "near-roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    coarse = groups_of(candidate_links(rooted, least), "coarse")
+    rest = similar(refined(coarse, rooted, least), nodes, source, size, least)
+    return prints.join(components(near.unionByName(rest)), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -661,14 +686,17 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, block_rows:
     return prints.join(of_print, "fp").select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id; all columns stay.
 
+    Groups are linked by SimHash fingerprints that differ in ``radius`` bits or fewer and whose shingles have a Jaccard similarity of ``least``
+    or more, and by that similarity alone where fingerprints are farther apart.
+
     Rows of one doc_id and one text count once; groups whose doc_ids are all null keep one row.
     """
     spare = "quillgrid_" + "_".join(sorted(docs.columns))
     keys = [spare + "i", spare + "t"]
-    found = resemblances(docs, size, least, id_col, text_col)
+    found = resemblances(docs, size, least, radius, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least"))
     first = first.select(F.xxhash64("least.doc_id").alias(keys[0]), F.col("least.tie").alias(keys[1]))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -437,6 +438,33 @@ def test_keep_one_of_equal_fingerprints(spark):
     assert values(simhash.keep_one(documents(spark, [(i, x, "s") for i, x in docs])), "doc_id") == sorted(((i,) for i, _ in docs), key=str)
 
 
+def test_keep_one_links_by_fingerprints_first(spark, monkeypatch):
+    """Near fingerprints link what is similar, without the exact way for the rest; that way adds the distant ones."""
+    rng = np.random.default_rng(6)
+    words, line = random_words(rng, 400), random_words(rng, 9)
+    near = words[:-1] + ["z"]
+    far = ["y" if i % 50 == 7 else w for i, w in enumerate(words)]
+    docs = [(0, " ".join(words)), (1, " ".join(near)), (2, " ".join(far)), (3, " ".join(line * 40 + random_words(rng, 100))), (4, " ".join(line * 40 + random_words(rng, 100)))]
+    prints = [simhash.fingerprint_of(simhash.distinct_shingles(x, 5)) for _, x in docs]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4
+    table = documents(spark, [(i, x, "s") for i, x in docs])
+    wanted = kept_by_plain_similarity(docs)
+    assert wanted == [(0,), (3,), (4,)]
+    assert values(simhash.keep_one(table), "doc_id") == sorted(wanted, key=str)
+    monkeypatch.setattr(simhash, "candidate_links", lambda rooted, least: spark.createDataFrame([], "a long, b long"))
+    alone = {i for (i,) in values(simhash.keep_one(table), "doc_id")}
+    assert 0 in alone and 1 not in alone and alone >= {3, 4}
+
+
+def test_bags_reach_fits_in_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches)
+    with common.rows_a_batch(spark, 100):
+        found = spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").collect()
+    assert max(r["n"] for r in found) <= 100 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert toxicity.BAGS_A_BATCH <= 1000
+
+
 # --- 5 decontamination -------------------------------------------------------------------------
 
 
