@@ -177,8 +177,8 @@ class Store:
         own = self._children(f"{self._path(name, version)}/rows") if version else []
         return len(self._live(name, version)) + sum(c.getPath().getName()[0] not in "_." for c in own)
 
-    def compact(self, name: str, schema: T.StructType, key: str, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, file_bytes: int = 128 << 20) -> int:
-        """Publish a version of a runtime table in files of about ``file_bytes``, with what ``keep`` leaves of its rows; returns its number.
+    def compact(self, name: str, schema: T.StructType, key: str, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, file_bytes: int = 128 << 20, file_rows: int = 2_000_000) -> int:
+        """Publish a version of a runtime table in files of about ``file_bytes``, or of ``file_rows`` where that is less, with what ``keep`` leaves of its rows; returns its number.
 
         Rows are ranged by ``key`` and, within a value, by a hash of the row, so that a value that holds most rows
         fills several files; a filter by the key skips files and row groups. A version that another writer published
@@ -188,8 +188,10 @@ class Store:
         version, claimed = self._version(name), claims()
         files = self._live(name, version)
         old = self._children(f"{self._path(name, version)}/rows") if version else []
-        n = max(1, -(-(sum(files.values()) + sum(c.getLen() for c in old)) // file_bytes))
-        rows = keep(self._rows(name, schema, version, files)).select(*schema.fieldNames())
+        stored = self._rows(name, schema, version, files)
+        # files pack rows many times smaller than a sort holds them, so a task's rows are bounded too; counting them reads footers only
+        n = max(1, -(-(sum(files.values()) + sum(c.getLen() for c in old)) // file_bytes), -(-stored.count() // file_rows))
+        rows = keep(stored).select(*schema.fieldNames())
         spread = F.xxhash64(*[F.col(c) for c in schema.fieldNames()])
         return self._publish(name, rows.repartitionByRange(n, F.col(key), spread).sortWithinPartitions(key), version, claimed, [*self._named(name, version), *files])
 

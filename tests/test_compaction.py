@@ -121,3 +121,12 @@ def test_platform(spark, tmp_path):
     assert [r["value"] for r in p._plain_results().collect()] == [7000]
     p.restore()
     assert held(p.reports()) == held(seed)
+
+
+def test_rows_of_a_file_are_bounded(spark, tmp_path):
+    """Rows that pack well fill several files, as a task sorts what a file holds."""
+    store = Store(spark, str(tmp_path / "seed"), str(tmp_path / "run"))
+    store.append(spark.range(4000).select(F.lit("a").alias("k"), F.col("id").alias("n")), "t")
+    before = held(store.of_runtime("t", KEPT))
+    store.compact("t", KEPT, "k", file_rows=1000)
+    assert store.n_files("t") == 4 and held(store.of_runtime("t", KEPT)) == before
