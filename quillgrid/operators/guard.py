@@ -48,14 +48,33 @@ def accept(guarded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def disclosure(results: DataFrame, reports: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``report_id, indicator_id, disclosure_status`` of every slot of the grid report x catalogue."""
-    grid = reports.select("report_id").crossJoin(catalogue.select("indicator_id"))
-    own = results.select("report_id", "indicator_id", F.col("disclosure_status").alias("_s")).dropDuplicates(["report_id", "indicator_id"])
-    return grid.join(own, ["report_id", "indicator_id"], "left").select("report_id", "indicator_id", F.coalesce("_s", F.lit("not_disclosed")).alias("disclosure_status"))
+    own = results.where("report_id IS NOT NULL AND indicator_id IS NOT NULL").select("report_id", "indicator_id", F.col("disclosure_status").alias("_s")).dropDuplicates(["report_id", "indicator_id"])
+    found = own.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("indicator_id", "_s"))).alias("_own"))
+    grid = reports.select("report_id").join(found, "report_id", "left").crossJoin(F.broadcast(catalogue.select("indicator_id")))
+    return grid.select("report_id", "indicator_id", F.coalesce(F.col("_own")[F.col("indicator_id")], F.lit("not_disclosed")).alias("disclosure_status"))
+
+
+def open_grid(results: DataFrame, reports: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``report_id, indicator_id`` of the slots of the grid report x catalogue that have no result.
+
+    A report's row meets the set of its own indicators before it is laid out, so the grid itself is neither moved nor sorted.
+    """
+    own = results.where("report_id IS NOT NULL AND indicator_id IS NOT NULL").groupBy("report_id").agg(F.collect_set("indicator_id").alias("_own"))
+    grid = reports.select("report_id").join(own, "report_id", "left").crossJoin(F.broadcast(catalogue.select("indicator_id")))
+    return grid.where(~F.coalesce(F.array_contains("_own", F.col("indicator_id")), F.lit(False))).select("report_id", "indicator_id")
 
 
 def with_undisclosed(results: DataFrame, slots: DataFrame) -> DataFrame:
     """``results`` and, for each slot (``report_id, indicator_id``) that has none, a row without a value."""
-    open_ = slots.join(results.select("report_id", "indicator_id").distinct(), ["report_id", "indicator_id"], "left_anti")
+    return _with_open(results, slots.join(results.select("report_id", "indicator_id").distinct(), ["report_id", "indicator_id"], "left_anti"))
+
+
+def grid_with_undisclosed(results: DataFrame, reports: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """As ``with_undisclosed``, where the slots are the whole grid report x catalogue."""
+    return _with_open(results, open_grid(results, reports, catalogue))
+
+
+def _with_open(results: DataFrame, open_: DataFrame) -> DataFrame:
     own = {
         "result_id": F.sha2(F.concat_ws("|", "report_id", "indicator_id"), 256),
         "report_id": F.col("report_id"),

@@ -382,3 +382,14 @@ def test_two_runs(spark):
 def test_integrity(spark):
     bad = spark.range(2)
     assert values(A.integrity({"a": bad, "b": bad.where("id > 5")})) == [("a", 2, False), ("b", 0, True)]
+
+
+def test_grid_with_undisclosed(spark):
+    """As over all slots laid out, also where keys are null or repeated; only reports meet results."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.RESULT.fields)
+    row = lambda r, i: tuple({"report_id": r, "indicator_id": i, "result_id": f"{r}|{i}"}.get(f.name) for f in S.RESULT.fields)
+    results = spark.createDataFrame([row("r1", "a"), row("r1", "a"), row("r3", "b"), row(None, "a"), row("r2", None)], fields)
+    reports = spark.createDataFrame([("r1",), ("r2",), ("r2",), (None,), ("r4",)], "report_id string")
+    cat = spark.createDataFrame([("a",), ("b",), (None,)], "indicator_id string")
+    found = guard.grid_with_undisclosed(results, reports, cat)
+    assert values(found, *found.columns) == values(guard.with_undisclosed(results, reports.crossJoin(cat)), *found.columns)
