@@ -258,3 +258,14 @@ def test_of_several_runners_one_takes_a_job(platform):
     assert rows(events, "event_id", "state") == [(1, "queued"), (2, "running"), (3, "succeeded")]
     with pytest.raises(ValueError):
         platform.run(job)
+
+
+def test_seed_query_groups_its_items_once(spark, sf_dir, monkeypatch):
+    from quillgrid.plans import queries
+    from quillgrid.sources.tables import Store
+
+    seen = []
+    append = Store.append
+    monkeypatch.setattr(Store, "append", lambda self, rows, name, *more: (seen.extend(rows.inputFiles()), append(self, rows, name, *more))[1])
+    queries.QUERIES["q55_platform_seed"](spark, sf_dir)
+    assert seen and not any("lineitem" in x for x in seen)
