@@ -49,7 +49,9 @@ class Increments:
         year = F.col("year").cast("long").alias("year")
         seen = reports.select(year, F.inline(F.array(kind("reports", "report_id"), kind("companies", "company_id"))))
         seen = seen.unionByName(results.select(year, F.lit("results").alias("entity"), F.col("result_id").cast("long").alias("id"))).where("id IS NOT NULL")
-        ids = seen.groupBy("entity", "year", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+        # ids are dealt by their bucket before they become bits: each task's own bitmap of every bucket would be many times the ids
+        dealt = seen.withColumn("bucket", F.bitmap_bucket_number("id")).repartition(*_IDS)
+        ids = dealt.groupBy(*_IDS).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
         first = F.min(F.struct("order", F.col("report_id").cast("long").alias("report_id"))).alias("first")
         firsts = reports.where("report_id IS NOT NULL").groupBy(F.col("company_id").cast("long").alias("company_id"), year).agg(first)
         result = F.min(F.struct(F.col("result_id").cast("long").alias("result_id"), "value")).alias("first")

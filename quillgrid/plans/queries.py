@@ -765,11 +765,15 @@ def q56_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _in_batches(spark: SparkSession, sf_dir: str) -> Increments:
     """Reports and results in three batches, rows of two of them shared, one batch repeated; merged in between."""
     own = Increments(spark, scratch(spark, "increments"))
-    r = reports(spark, sf_dir)
+    third = F.pmod(F.xxhash64("report_id"), F.lit(3)).cast("int")
+    r = reports(spark, sf_dir).withColumn("third", third)
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("result_id"), F.col("l_partkey").alias("p"), F.col("l_linestatus").alias("unit"), A.dec(F.col("l_quantity")).alias("value"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_type").alias("indicator"))
-    v = items.join(r.select("report_id", "company_id", F.col("report_year").alias("year")), "report_id").join(parts, "p")
-    third = F.pmod(F.xxhash64("report_id"), F.lit(3))
+    # joined once; a batch reads its thirds
+    joined = scratch(spark, "increment-results")
+    v = items.join(r.select("report_id", "company_id", F.col("report_year").alias("year")), "report_id").join(parts, "p").drop("p").withColumn("third", third)
+    v.write.partitionBy("third").parquet(joined)
+    v, third = spark.read.schema(v.schema).parquet(joined), F.col("third")
     for batch, inside in (("first", third == 0), ("second", third < 2), ("third", third == 2), ("first", third == 0)):
         own.add(batch, r.where(inside).select("report_id", "company_id", F.col("report_year").alias("year"), F.struct("o_orderdate").alias("order")), v.where(inside))
         if batch == "second":

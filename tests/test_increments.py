@@ -75,3 +75,14 @@ def test_equal_to_the_operators_over_all(spark, tmp_path):
         own.add(str(k), r.where(F.col("report_id") % 3 == k), v.where(F.col("result_id") % 3 == k))
     full = A.complete_years(r, "company_id", "year", [2018, 2020], [F.col("order"), F.col("report_id")]).select("company_id", "year", "report_id")
     assert held(own.complete_years([2018, 2020])) == held(full)
+
+
+def test_batches_read_what_was_joined_once(spark, sf_dir, monkeypatch):
+    """The query's four batches read the joined results, not the tables again."""
+    from quillgrid.plans import queries
+
+    seen = []
+    add = Increments.add
+    monkeypatch.setattr(Increments, "add", lambda self, batch, reports, results: (seen.extend(results.inputFiles()), add(self, batch, reports, results)))
+    queries._in_batches(spark, sf_dir)
+    assert seen and all("increment-results" in x for x in seen)
