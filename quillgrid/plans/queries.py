@@ -668,8 +668,7 @@ def q53_layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.rpad(F.concat(F.lit("item "), F.col("l_linenumber")), 14, " "), F.rpad("quantity", 12, " "), F.col("price"))
     head = F.array(F.lit("Order of items"), F.concat(F.rpad(F.lit("Item"), 14, " "), F.rpad(F.lit("Amount"), 12, " "), F.lit("Price")), F.concat(F.lit(" " * 14), F.rpad(F.lit("kg"), 12, " "), F.lit("CNY")))
     texts = i.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.concat(head, F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("t")))), lambda x: x["t"])), "\n").alias("text"))
-    lines = D.text_lines(texts).withColumnRenamed("doc_id", "report_id")
-    found = layout.facts(layout.cells(lines), U.unit_table(spark))
+    found = layout.table_facts(layout.tables(layout.rows_of_texts(texts)), U.unit_table(spark))
     return found.select("report_id", "row", "col", "label", "header", "unit", F.col("raw_value").cast("double").alias("value"))
 
 

@@ -281,7 +281,7 @@ class Platform:
         slots = report.select("report_id").crossJoin(self.catalogue.select("indicator_id"))
         units = U.unit_table(self.spark)
         rules: Layer = lambda open_: anchors.by_anchors(lines, self.catalogue).join(open_, ["report_id", "indicator_id"], "left_semi")
-        tables: Layer = lambda open_: layout.table_candidates(layout.facts(layout.cells(lines), units), self.catalogue, self.reports().select("report_id", "report_year")).join(open_, ["report_id", "indicator_id"], "left_semi")
+        tables: Layer = lambda open_: layout.table_candidates(layout.table_facts(layout.tables(layout.rows_of_lines(lines)), units), self.catalogue, self.reports().select("report_id", "report_year")).join(open_, ["report_id", "indicator_id"], "left_semi")
         known = S.CANDIDATE.fieldNames()
         # each layer has a table of the run's of its own name to read back from
         keep = lambda found, k: self._keep(U.normalise(found, units).select(*known), "candidates", S.CANDIDATE, run_id if k == 0 else f"{run_id}#{k}")

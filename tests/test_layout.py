@@ -121,3 +121,17 @@ def test_a_job_takes_what_only_a_table_has(spark, tmp_path):
     assert ("rule", "12") in found and ("table", "1,350") in found and ("table", "1,200") not in found
     results = {str(r["value"]): r["unit"] for r in p.results().where("value is not null").collect()}
     assert results["1350000.000000"] == "kWh" and results["0.080000"] == "t"
+
+
+def test_cells_are_neither_moved_nor_sorted(spark):
+    texts = spark.createDataFrame([("r1", f"{PAGE}\f{PAGE}"), ("r2", None), ("r3", "no table")], "doc_id string, text string")
+    found = layout.table_facts(layout.tables(layout.rows_of_texts(texts)), unit_table(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan and plan.count("Aggregate") == 1  # that of the units
+    lines = [(n, t) for n, t in enumerate(PAGE.split("\n"), 1)]
+    by_lines = layout.facts(layout.cells(lines_of(spark, {("r1", 1): lines, ("r1", 2): lines})), unit_table(spark))
+    assert sorted(found.collect(), key=str) == sorted(by_lines.collect(), key=str) and found.count() == 20
+    # labels hold down until the next one, also below rows without any
+    rows = [(1, "Item      Amount"), (2, "Paper     1"), (3, "          2"), (4, "Waste     3"), (5, "          4")]
+    own = layout.table_facts(layout.tables(layout.rows_of_lines(lines_of(spark, {("r", 1): rows}))), unit_table(spark))
+    assert sorted((r["row"], r["label"], r["header"]) for r in own.collect()) == [(2, "Paper", "Amount"), (3, "Paper", "Amount"), (4, "Waste", "Amount"), (5, "Waste", "Amount")]
