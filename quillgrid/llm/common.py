@@ -8,6 +8,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -70,6 +71,10 @@ def drop_written(spark: SparkSession, path: str) -> None:
 
 
 _KEPT: dict[tuple, Any] = {}
+_LOCK = threading.RLock()
+_uses = 0
+#: After so long without a new task a worker gives back what it has kept.
+IDLE_SECONDS = 2.0
 
 
 def kept(key: tuple, make: Callable[[], Any]) -> Any:
@@ -77,10 +82,13 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 
     Workers are used again by later stages: without this, the stores of all stages would add up.
     """
-    if key not in _KEPT:
-        forget()
-        _KEPT[key] = make()
-    return _KEPT[key]
+    global _uses
+    with _LOCK:
+        _uses += 1
+        if key not in _KEPT:
+            forget()
+            _KEPT[key] = make()
+        return _KEPT[key]
 
 
 def forget() -> None:
@@ -95,6 +103,26 @@ def forget() -> None:
         pass
 
 
+def forget_when_idle() -> None:
+    """Called at a task's end: ``forget`` unless another task takes what is kept within ``IDLE_SECONDS``.
+
+    A stage of two Python steps leaves twice as many workers as tasks run at once; later stages take them in turn, and
+    each would keep its own store while it waits.
+    """
+    if not _KEPT:
+        return
+    seen = _uses
+
+    def drop() -> None:
+        with _LOCK:
+            if _uses == seen:
+                forget()
+
+    timer = threading.Timer(IDLE_SECONDS, drop)
+    timer.daemon = True
+    timer.start()
+
+
 @contextmanager
 def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is run inside; the session's own setting comes back."""
@@ -130,5 +158,7 @@ def pieces(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20) ->
 
 
 def arrow_batches(batches: Iterable[pa.RecordBatch], column: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces; once they have ended, what the worker keeps may go."""
     for batch in batches:
         yield from pieces(batch, column, most_bytes)
+    forget_when_idle()
