@@ -16,6 +16,7 @@ import sys
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 #: Seconds that a finished job's state stays without news.
 KEEP_SECONDS = 30 * 86_400
 
-_FIELDS = (("ts", T.LongType()), ("event_id", T.LongType()), ("state", T.StringType()), ("started", T.LongType()), ("seen", T.ArrayType(T.LongType())))
-#: A job between batches: its last event, when it started, and the ids that count (times in microseconds).
+_FIELDS = (("ts", T.LongType()), ("event_id", T.LongType()), ("state", T.StringType()), ("started", T.LongType()), ("seen", T.BinaryType()))
+#: A job between batches: its last event, when it started, and the ids that count (times in microseconds, ids as bytes: Spark handles a list's items one by one).
 JOB_STATE = T.StructType([T.StructField(n, t) for n, t in _FIELDS])
 LIVE = T.StructType(
     [
@@ -59,11 +60,34 @@ def _time(micros: int | None) -> dt.datetime | None:
     return None if micros is None else _EPOCH + dt.timedelta(microseconds=micros)
 
 
+def _event(text: str) -> tuple[int | None, int | None, str | None]:
+    """Time, id and state out of ``packed``."""
+    at, event, *state = text.split(",", 2)
+    return _micros(dt.datetime.fromisoformat(at)) if at else None, int(event) if event else None, state[0] if state else None
+
+
+def packed(events: DataFrame) -> DataFrame:
+    """``job_id, event``: an event as one text, since Spark's Python worker takes rows apart value by value."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    event = F.concat_ws(",", text(F.col("ts").cast("timestamp_ntz")), text(F.col("event_id").cast("long")), "state")
+    return events.select(F.col("job_id").cast("string").alias("job_id"), event.alias("event"))
+
+
 def _order(ts: int | None, event: int | None, state: str | None) -> tuple:
     """As structs are ordered: a null comes first."""
     return tuple((x is not None, x or type(d)()) for x, d in ((ts, 0), (event, 0), (state, "")))
 
 
+def _ids(seen: bytes) -> set[int | None]:
+    """A leading byte says whether an event without an id was seen."""
+    ids: set[int | None] = set(np.frombuffer(seen[1:], "<i8").tolist())
+    return ids | {None} if seen[:1] == b"\1" else ids
+
+
+def _bytes(ids: set[int | None]) -> bytes:
+    return (b"\1" if None in ids else b"\0") + np.array(sorted(i for i in ids if i is not None), "<i8").tobytes()
+
+
 class JobStates(StatefulProcessor):
     def __init__(self, timeout: int, keep: int, final: tuple[str, ...]):
         self.timeout, self.keep, self.final = timeout, keep, final
@@ -74,31 +98,38 @@ class JobStates(StatefulProcessor):
         self.finished = handle.getValueState("finished", JOB_STATE, ttlDurationMs=self.keep * 1000)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.open.get() or self.finished.get()
-        ts, event, state, started, seen = held if held else (None, None, None, None, [])
-        ids, was = set(seen), started
+        opened = self.open.get()
+        closed = None if opened else self.finished.get()
+        held = opened or closed
+        ts, event, state, started, seen = held if held else (None, None, None, None, b"")
+        ids, was = _ids(seen), started
+        n = len(ids)
         for r in rows:
-            if r["event_id"] in ids:
+            own = _event(r[1])
+            at, i, named = own
+            if i in ids:
                 continue
-            ids.add(r["event_id"])
-            at = _micros(r["ts"])
-            if len(ids) == 1 or _order(at, r["event_id"], r["state"]) > _order(ts, event, state):
-                ts, event, state = at, r["event_id"], r["state"]
-            if r["state"] == "running" and at is not None:
+            ids.add(i)
+            if len(ids) == 1 or _order(*own) > _order(ts, event, state):
+                ts, event, state = own
+            if named == "running" and at is not None:
                 started = at if started is None else min(started, at)
-        if len(ids) == len(seen):
+        if len(ids) == n:
             return
         final = state in self.final
-        (self.finished if final else self.open).update((ts, event, state, started, sorted(ids)))
-        (self.open if final else self.finished).clear()
-        if started != was:  # a start that was earlier than thought leaves a later timer, whose row says nothing new
+        (self.finished if final else self.open).update((ts, event, state, started, _bytes(ids)))
+        if opened if final else closed:
+            (self.open if final else self.finished).clear()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        # past its time a job needs no timer, as its row says so at once; a start that was earlier than thought leaves a later timer, whose row says nothing new
+        if started != was and self._deadline(started) > now:
             self.handle.registerTimer(self._deadline(started))
-        yield self._row(key, (ts, event, state, started, ids), timerValues.getCurrentProcessingTimeInMs())
+        yield self._row(key, (ts, event, state, started), len(ids), now)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         held = self.open.get()
         if held and held[3] is not None and expiredTimerInfo.getExpiryTimeInMs() >= self._deadline(held[3]):
-            yield self._row(key, held, timerValues.getCurrentProcessingTimeInMs())
+            yield self._row(key, held[:4], len(_ids(held[4])), timerValues.getCurrentProcessingTimeInMs())
 
     def close(self) -> None:
         pass
@@ -107,16 +138,15 @@ class JobStates(StatefulProcessor):
         """The first millisecond at which a job that started then is over time, in whole seconds."""
         return (started // 1_000_000 + self.timeout + 1) * 1000
 
-    def _row(self, key: Any, held: Any, now: int) -> Row:
-        ts, event, state, started, seen = held
+    def _row(self, key: Any, held: Any, n_events: int, now: int) -> Row:
+        ts, event, state, started = held
         overdue = started is not None and state is not None and state not in self.final and now >= self._deadline(started)
-        return Row(job_id=key[0], state=state, ts=_time(ts), event_id=event, n_events=len(seen), started=_time(started), overdue=overdue)
+        return Row(job_id=key[0], state=state, ts=_time(ts), event_id=event, n_events=n_events, started=_time(started), overdue=overdue)
 
 
 def live_jobs(events: DataFrame, timeout: int = S.JOB_TIMEOUT_SECONDS, keep: int = KEEP_SECONDS) -> DataFrame:
     """A stream of ``job_id, state, ts, event_id, n_events, started, overdue``: a row for each change of a job, from a stream of job events."""
-    own = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("event_id").cast("long").alias("event_id"), "state", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return own.groupBy("job_id").transformWithState(JobStates(timeout, keep, S.FINAL_STATES), LIVE, "Update", "ProcessingTime")
+    return packed(events).groupBy("job_id").transformWithState(JobStates(timeout, keep, S.FINAL_STATES), LIVE, "Update", "ProcessingTime")
 
 
 def follow_jobs(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, target: str, timeout: int = S.JOB_TIMEOUT_SECONDS, keep: int = KEEP_SECONDS, max_files: int | None = None) -> None:

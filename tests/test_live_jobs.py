@@ -8,7 +8,7 @@ import time
 
 from quillgrid import schemas as S
 from quillgrid.operators import jobs
-from quillgrid.streaming.live_jobs import follow_jobs, overdue, read_live_jobs
+from quillgrid.streaming.live_jobs import JobStates, follow_jobs, overdue, packed, read_live_jobs
 
 
 def now():
@@ -63,3 +63,48 @@ def test_a_timer_marks_a_job_that_sends_nothing_more(spark, tmp_path):
     # a batch about another job is enough
     assert arrive(("other", 1, "queued", now(), None)) == {"slow": ("running", True), "done": ("succeeded", False), "other": ("queued", False)}
     assert arrive(("slow", 2, "failed", now(), "late"))["slow"] == ("failed", False)
+
+
+def test_an_overdue_job_needs_no_timer_and_events_go_as_one_value(spark):
+    class State:
+        def __init__(self):
+            self.held, self.cleared = None, 0
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held, self.cleared = None, self.cleared + 1
+
+    class Handle:
+        timers: list = []
+
+        def getValueState(self, *_, **__):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 1_000_000
+
+    at = lambda s: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)
+    rows_ = [("a", 1, "running", at(100), None), ("a", 1, "running", at(100), None), ("b", 2, "running", at(990), None), ("a", 3, "succeeded", at(200.25), None), ("c", None, "a,b", None, None), ("c", 4, None, at(5), None)]
+    events = packed(spark.createDataFrame(rows_, S.JOB_EVENT)).collect()
+    assert len(events[0]) == 2
+    p = JobStates(20, 60, S.FINAL_STATES)
+    p.init(Handle())
+    of = lambda job, own: [r.asDict() for r in p.handleInputRows((job,), iter([e for e in own if e["job_id"] == job]), Clock())]
+    assert of("a", events[:3])[0]["overdue"] and not Handle.timers and not p.finished.cleared
+    assert of("a", events[:2]) == []
+    done = of("a", events)[0]
+    assert (done["state"], done["n_events"], done["ts"], done["overdue"]) == ("succeeded", 2, at(200.25), False) and p.open.cleared == 1
+    p.init(Handle())
+    assert not of("b", events)[0]["overdue"] and Handle.timers == [1_011_000]
+    p.init(Handle())
+    odd = of("c", events)[0]
+    assert (odd["state"], odd["ts"], odd["event_id"], odd["n_events"]) == (None, at(5), 4, 2) and of("c", events) == []
