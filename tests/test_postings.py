@@ -69,3 +69,14 @@ def test_cover_takes_few_grams():
     assert P.cover("温室a") == [(0, "温室", False), (1, "室a", True)]
     assert P.cover("a") == [(0, "a", True)] and P.cover("ab") == [(0, "ab", True)]
     assert [g for _, g, _ in P.cover("温室气体x排放")] == ["温室", "气体", "x排放"]
+
+
+def test_texts_share_a_posting_and_none_is_moved(spark):
+    rows = [(i, f"common words {i}") for i in range(200)] + [(3, "common words 3"), (None, "common"), (500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = P.postings(df)
+    assert "Exchange" not in found.sortWithinPartitions("bucket", "gram")._jdf.queryExecution().executedPlan().toString()
+    kept = {r["gram"]: r for r in found.collect()}
+    assert len(kept) == found.count()  # one row for all documents of a block
+    own = kept["mon"]
+    assert own["docs"] == [i for i in range(200)] + [3] and own["ends"] == list(range(1, 202)) and own["at"] == [3] * 201
