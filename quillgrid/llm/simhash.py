@@ -11,17 +11,17 @@ equal population counts of both halves; a tile pair whose counts differ beyond t
 skipped, every other is compared in full with exclusive-or and bit counts in numpy. A task returns
 a minimum spanning forest of the links it finds, never all pairs.
 
-Similarity (``keep_one``). A set of distinct shingles is one node. First, nodes are linked by SimHash as above (of the distinct shingles, as repeats
-say nothing about a Jaccard similarity), and within each component so found all pairs are compared: links of ``least`` or more stay, and their components are the nodes' roots.
+Similarity (``keep_one``). A set of distinct shingles is one node. First, nodes are linked by SimHash (of the distinct shingles, as repeats
+say nothing about a Jaccard similarity; fingerprints meet where two of ``radius`` + 2 parts of their bits agree, so not all with all), and within each component so found all pairs are compared: links of ``least`` or more stay, and their components are the nodes' roots.
 Fingerprints can be far apart for such a pair, so an exact way follows for the rest, i.e. for pairs of different roots. The shingles of a set have an order (common ones last); of two similar sets,
 the first shared shingle lies in a prefix of both, of about 1 - ``least`` of their length. Rows are dealt by the prefix's
-shingles and pairs that sizes and places rule out are dropped; larger components of the others are split by
-sizes and parity maps, and within a component all pairs of sets are compared, in blocks of bounded size.
+shingles. Pairs that sizes, places and then the two sets' parity maps rule out are dropped one by one; only where over ``SMALL`` sets meet in one shingle, components of what sizes and places
+leave are taken first and split by maps. Within a component of what is left all pairs of sets are compared, in blocks of bounded size.
 
 Components. Each task turns its links into stars; these are contracted by alternating large and small stars
 until each node has one centre, with a table in the shared folder after each round. Nothing but a count reaches the driver.
 
-The comparison is exact and so grows with the square of the number of distinct fingerprints; block
+The comparison of ``near_duplicates`` is exact and so grows with the square of the number of distinct fingerprints; block
 size is bounded, hence so is a task's memory.
 
 Defined results: a null text is empty and has fingerprint zero, linked like any other; rows whose
@@ -57,7 +57,9 @@ STAR_NODES = 1 << 18
 #: Keeps rounding from making a bound too strict.
 SLACK = 1e-6
 #: Nodes of one shingle up to which each pair is tried, and of one group up to which sets are intersected one by one.
-SMALL, FEW = 16, 6
+SMALL, FEW = 64, 6
+#: Fingerprints of one key that are compared in one task, two blocks of them at most; cells that keys are counted by first.
+MOST_PRINTS, PRINT_CELLS = 8192, 1 << 16
 #: Blocks of a group: rows aimed at, in how many blocks at most, then rows and shingles of a block at most (but for one hash's unevenness).
 GROUP_ROWS, GROUP_WAYS, MOST_GROUP_ROWS, GROUP_SHINGLES = 256, 16, 1024, 1 << 20
 #: Larger groups are first split by parity maps: bytes of a map, those of sets of over LONG shingles, rows of a block.
@@ -338,7 +340,11 @@ def _spanning_of(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> lis
 
 def distinct_shingles(text: str, size: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+    own = np.fromiter(shingle_hashes(text, size), np.uint64)
+    own.sort()
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    return own[new]
 
 
 def fingerprint_of(own: np.ndarray) -> int:
@@ -431,53 +437,132 @@ def sets(source: DataFrame, size: int, least: float) -> DataFrame:
     return source.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, node long, n long, fp long, prefix binary, map binary")
 
 
-def fingerprint_links(prints: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+def whole_groups(batches: Iterable[pa.RecordBatch], least_rows: int = 100_000) -> Iterator[np.ndarray]:
+    """The batches' integer columns as the rows of an array, cut so that equal values of the first column, by which rows are sorted, stay together."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.stack([x.to_numpy().astype(np.int64) for x in b.columns])
+        # the last value's group may go on in the next batch
+        edge = int(np.searchsorted(rows[0], rows[0, -1]))
+        if edge or held and held[-1][0, -1] != rows[0, 0]:
+            held.append(rows[:, :edge])
+            if sum(x.shape[1] for x in held) >= least_rows:
+                yield np.concatenate(held, axis=1)
+                held = []
+            held.append(rows[:, edge:])
+        else:
+            held.append(rows)
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def near_prints(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all fingerprints of one key which links within ``radius`` connect, for rows sorted by key."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.diff(np.append(starts, len(key)))
+    out_a, out_b, bits = [np.empty(0, np.int64)], [np.empty(0, np.int64)], fp.view(np.uint64)
+    for x, y in _pairs_of(starts, many):
+        hit = np.bitwise_count(bits[x] ^ bits[y]) <= radius
+        out_a.append(fp[x[hit]])
+        out_b.append(fp[y[hit]])
+    for start, count in zip(starts[many > SMALL].tolist(), many[many > SMALL].tolist()):
+        own, of = fp[start : start + count], bits[start : start + count]
+        found = np.array(_spanning_of(count, lambda x, rest: np.bitwise_count(of[x] ^ of[rest]) <= radius), np.int64).reshape(-1, 2)
+        out_a.append(own[found[:, 0]])
+        out_b.append(own[found[:, 1]])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _pairs_of(starts: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within groups of 2 to ``SMALL`` rows, a distance of places at a time."""
+    some = (many > 1) & (many <= SMALL)
+    rest = np.repeat(many[some], many[some])
+    at = np.arange(len(rest)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
+    rest, at = rest - at, at + np.repeat(starts[some], many[some])
+    for lag in range(1, SMALL):
+        at = at[rest > lag]
+        rest = rest[rest > lag]
+        if not len(at):
+            return
+        yield at, at + lag
+
+
+def table_links(prints: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links that connect all of the distinct ``fp`` which links within ``radius`` connect.
+
+    Of ``radius`` + 2 parts of the bits, two such fingerprints agree in two at least, so each meets only those of its two
+    parts, once for each choice of two. Where many agree they are dealt to blocks, and every two blocks meet in one task.
+    """
+    parts = radius + 2
+    edges = [64 * i // parts for i in range(parts + 1)]
+    part = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(edges, edges[1:])]
+    masks = [(x | y) - (1 << 64 if (x | y) >> 63 else 0) for i, x in enumerate(part) for y in part[:i]]
+    met = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])).alias("key"))
+    # few cells are counted first, then only the keys of crowded ones
+    cell = F.pmod("key", F.lit(PRINT_CELLS)).cast("int")
+    crowded = met.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > MOST_PRINTS).select("cell")
+    ways = met.withColumn("cell", cell).join(F.broadcast(crowded), "cell", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_PRINTS)
+    ways = ways.select("key", F.ceil(F.col("n") / MOST_PRINTS).cast("int").alias("ways"))
+    placed = met.join(F.broadcast(ways), "key", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    block = F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("ways") - 1), lambda o: (F.col("ways") == 1) | (o != F.col("block")))
+    dealt = placed.withColumn("block", block).select("key", "fp", "block", F.explode(others).alias("other"))
+    sent = dealt.select(F.when((F.col("block") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "fp")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for rows in whole_groups(batches):
+            a, b = near_prints(*rows, radius)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
     """``a, b``: links that connect all nodes whose fingerprints' links within ``radius`` connect; equal fingerprints are linked too."""
     own = written(prints.where("fp is not null").select("fp", "node").distinct(), "fingerprints")
     first = written(own.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
     equal = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     of = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
-    near = links(first, radius, block_rows, least_blocks).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    near = table_links(first, radius).distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     return equal.unionByName(near)
 
 
-def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray, roots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of nodes of different ``roots`` whose prefixes share a shingle and that can reach ``least``, for rows sorted by shingle and node.
+def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray, roots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes of different ``roots`` whose prefixes share a shingle and that can reach ``least``, for rows sorted by shingle and node, and whether they are but links of a crowd.
 
     ``n`` is a node's number of shingles and ``left`` of those from this one on: two nodes whose first
-    shared shingle this is share no more than the lesser ``left``. Groups of over ``SMALL`` give a spanning forest.
+    shared shingle this is share no more than the lesser ``left``. Groups of over ``SMALL`` are crowds and give a spanning forest, others all pairs.
     """
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
     h, node, n, left, roots = h[new], node[new], n[new], left[new], roots[new]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
     many = np.diff(np.append(starts, len(h)))
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    pairs, links = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
     share = least / (1 + least)
 
     def can(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
         least_n, most_n = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         return (roots[x] != roots[y]) & (least_n >= least * most_n - SLACK) & (np.minimum(left[x], left[y]) >= share * (n[x] + n[y]) - SLACK)
 
-    at = np.flatnonzero(np.repeat((many > 1) & (many <= SMALL), many))
-    for lag in range(1, SMALL):
-        x, y = at[:-lag], at[lag:]
-        same = h[x] == h[y]
-        if not same.any():
-            break
-        x, y = x[same], y[same]
+    for x, y in _pairs_of(starts, many):
         hit = can(x, y)
-        out_a.append(node[x[hit]])
-        out_b.append(node[y[hit]])
+        pairs.append(np.stack([node[x[hit]], node[y[hit]]], axis=1))
     for start, count in zip(starts[many > SMALL].tolist(), many[many > SMALL].tolist()):
         found = np.array(_spanning_of(count, lambda x, rest: can(start + x, start + rest)), np.int64).reshape(-1, 2) + start
-        out_a.append(node[found[:, 0]])
-        out_b.append(node[found[:, 1]])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        links.append(node[found])
+    # nodes of a group are sorted, so a pair is told by its order
+    own, of_crowd = np.unique(np.concatenate(pairs), axis=0), np.concatenate(links)
+    both = np.concatenate([own, of_crowd])
+    return both[:, 0], both[:, 1], np.arange(len(both)) >= len(own)
 
 
-def candidate_links(prints: DataFrame, least: float) -> DataFrame:
-    """``a, b``: links that connect all nodes of different roots whose similarity can be ``least`` or more."""
+def bucket_pairs(prints: DataFrame, least: float) -> DataFrame:
+    """``a, b, crowd``: all pairs that ``bucket_links`` finds, each once, and links that connect those of crowds."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -497,38 +582,57 @@ def candidate_links(prints: DataFrame, least: float) -> DataFrame:
                 up[x] = x = up[y]
             return x
 
-        def linked(parts: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = bucket_links(*np.concatenate(parts, axis=1), least)
-            out = []
-            for x, y in zip(a.tolist(), b.tolist()):
-                u, v = root(x), root(y)
+        for rows in whole_groups(batches):
+            a, b, crowd = bucket_links(*rows, least)
+            keep = ~crowd
+            for at in np.flatnonzero(crowd).tolist():
+                u, v = root(int(a[at])), root(int(b[at]))
                 if u != v:
                     up[max(u, v)] = min(u, v)
-                    out.append((x, y))
-            got = np.array(out, np.int64).reshape(-1, 2)
-            return pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-
-        held: list[np.ndarray] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(5)])
-            # the last shingle's group may go on in the next batch
-            edge = int(np.searchsorted(rows[0], rows[0, -1]))
-            if edge or held and held[-1][0, -1] != rows[0, 0]:
-                held.append(rows[:, :edge])
-                if sum(x.shape[1] for x in held) >= 100_000:
-                    yield linked(held)
-                    held = []
-                held.append(rows[:, edge:]) if edge else held.append(rows)
-            else:
-                held.append(rows)
-        if held:
-            yield linked(held)
+                    keep[at] = True
+            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep]), pa.array(crowd[keep])], ["a", "b", "crowd"])
 
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = prints.where("prefix is not null").select("node", "n", "prefix", "root").mapInArrow(cut, "h long, node long, n int, left int, root long")
-    return rows.repartition(tasks, "h").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long")
+    return rows.repartition(tasks, "h").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long, crowd boolean").distinct()
+
+
+def map_pairs(n: np.ndarray, m: np.ndarray, first: list[bytes], second: list[bytes], least: float) -> np.ndarray:
+    """Which of the pairs of sets of ``n`` and ``m`` shingles their parity maps don't rule out; a longer map is folded."""
+    share = (1 - least) / (1 + least)
+    bits = np.zeros(len(first), np.int64)
+    lengths = np.array([(len(x), len(y)) for x, y in zip(first, second)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(lengths, axis=0).tolist():
+        at, short = np.flatnonzero((lengths == (a, b)).all(axis=1)), min(a, b)
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(maps[i] for i in at.tolist()), np.uint64).reshape(len(at), -1, short // 8), axis=1) for maps in (first, second))
+        bits[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return bits <= share * (n + m) + SLACK
+
+
+def checked_pairs(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """``a, b``: the pairs that parity maps don't rule out, each held against its own two maps."""
+    maps = prints.where("map is not null").select("node", "n", "map").dropDuplicates(["node"])
+    of = lambda name, n, map_: maps.select(F.col("node").alias(name), F.col("n").alias(n), F.col("map").alias(map_))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in arrow_batches(batches, column=4, most_bytes=1 << 20):
+            can = map_pairs(b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist(), b.column(5).to_pylist(), least)
+            yield pa.record_batch([b.column(0).filter(pa.array(can)), b.column(1).filter(pa.array(can))], ["a", "b"])
+
+    met = pairs.join(of("a", "n_a", "map_a"), "a").join(of("b", "n_b", "map_b"), "b")
+    return met.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(run, "a long, b long")
+
+
+def candidate_links(prints: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links that connect all nodes of different roots whose similarity can be ``least`` or more.
+
+    Pairs are ruled out one by one, so that chance meetings don't join into ever larger groups; only crowds of one shingle are
+    taken as groups, which ``refined`` splits.
+    """
+    found = written(bucket_pairs(prints, least), "pairs")
+    coarse = groups_of(found.where("crowd"), "coarse")
+    return checked_pairs(found.where("not crowd"), prints, least).unionByName(refined(coarse, prints, least))
 
 
 def similar_links(own: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -665,8 +769,7 @@ def resemblances(docs: DataFrame, size: int, least: float, radius: int = 4, id_c
     nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least_row"), F.first("n").alias("n"))
     near = written(similar(fingerprint_links(prints, radius), nodes, source, size, least, "near"), "near-links")
     rooted = prints.where("prefix is not null").join(components(near, "near-roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    coarse = groups_of(candidate_links(rooted, least), "coarse")
-    rest = similar(refined(coarse, rooted, least), nodes, source, size, least)
+    rest = similar(candidate_links(rooted, least), nodes, source, size, least)
     return prints.join(components(near.unionByName(rest)), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
 
 
