@@ -339,12 +339,28 @@ def _spanning_of(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> lis
 
 
 def distinct_shingles(text: str, size: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    own = np.fromiter(shingle_hashes(text, size), np.uint64)
-    own.sort()
-    new = np.ones(len(own), bool)
-    new[1:] = own[1:] != own[:-1]
-    return own[new]
+    """The sorted distinct shingles of a text as hashes: of their words' XXH64, each weighted by its place, and their number."""
+    import xxhash
+
+    own = text.encode("utf-8", "surrogatepass").lower().split()
+    if not own:
+        return np.empty(0, np.uint64)
+    # one hash a word and no other step a word: shingles are put together in numpy
+    each = np.frombuffer(b"".join(map(xxhash.xxh64_digest, own)), "<u8")
+    wide = min(size, len(own))
+    many = len(own) - wide + 1
+    found = np.full(many, wide, np.uint64)
+    for i in range(wide):
+        # an odd weight of its own for each place
+        found += each[i : i + many] * np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        found ^= found >> np.uint64(33)
+        found *= np.uint64(factor)
+    found ^= found >> np.uint64(33)
+    found.sort()
+    new = np.ones(many, bool)
+    new[1:] = found[1:] != found[:-1]
+    return found[new]
 
 
 def fingerprint_of(own: np.ndarray) -> int:
@@ -532,14 +548,20 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def bucket_links(h: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray, roots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of nodes of different ``roots`` whose prefixes share a shingle and that can reach ``least``, for rows sorted by shingle and node, and whether they are but links of a crowd.
+    """Pairs of nodes of different ``roots`` whose prefixes share a shingle and that can reach ``least``, for rows sorted by shingle, and whether they are but links of a crowd.
 
     ``n`` is a node's number of shingles and ``left`` of those from this one on: two nodes whose first
     shared shingle this is share no more than the lesser ``left``. Groups of over ``SMALL`` are crowds and give a spanning forest, others all pairs.
     """
+    # most shingles have one row, which is done with
+    same = h[1:] == h[:-1]
+    some = np.append(same, False) | np.append(False, same) if len(h) else np.empty(0, bool)
+    h, node, n, left, roots = h[some], node[some], n[some], left[some], roots[some]
+    order = np.lexsort((node, h))
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-    h, node, n, left, roots = h[new], node[new], n[new], left[new], roots[new]
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (node[order[1:]] != node[order[:-1]])
+    order = order[new]
+    h, node, n, left, roots = h[order], node[order], n[order], left[order], roots[order]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
     many = np.diff(np.append(starts, len(h)))
     pairs, links = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
@@ -594,7 +616,7 @@ def bucket_pairs(prints: DataFrame, least: float) -> DataFrame:
 
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = prints.where("prefix is not null").select("node", "n", "prefix", "root").mapInArrow(cut, "h long, node long, n int, left int, root long")
-    return rows.repartition(tasks, "h").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long, crowd boolean").distinct()
+    return rows.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(run, "a long, b long, crowd boolean").distinct()
 
 
 def map_pairs(n: np.ndarray, m: np.ndarray, first: list[bytes], second: list[bytes], least: float) -> np.ndarray:

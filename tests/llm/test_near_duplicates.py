@@ -103,3 +103,19 @@ def test_groups_stay_whole(cut):
     got = list(simhash.whole_groups(batches, least_rows=3))
     assert np.concatenate([x[0] for x in got]).tolist() == h.tolist() and all((x[0] == -x[1]).all() for x in got)
     assert all(x[0][-1] != y[0][0] for x, y in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 8])
+def test_shingles_as_their_words_say(size):
+    """As many distinct shingles as there are runs of words, and as many shared ones, whatever their order, case and repeats."""
+    rng = np.random.default_rng(size)
+    few = ["a", "b", "c", "A", "\u00e9", "\u00c9", "x" * 40, "\ud800"]
+    texts = ["", " \n", "a", "a b", "b a", "a a", "a a a"] + [" ".join(rng.choice(few, int(k))) for k in rng.integers(1, 40, 60)]
+    plain = []
+    for x in texts:
+        own = "".join(c.lower() if c.isascii() else c for c in x).split()
+        plain.append({tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1))} if own else set())
+    got = [simhash.distinct_shingles(x, size) for x in texts]
+    assert all((np.sort(x) == x).all() for x in got) and [len(x) for x in got] == [len(x) for x in plain]
+    for i in range(len(texts)):
+        assert [len(np.intersect1d(got[i], y)) for y in got[:i]] == [len(plain[i] & y) for y in plain[:i]]
